@@ -123,7 +123,8 @@ def candidates(files: DataFrame, block_bytes: int) -> DataFrame:
                 for off in sorted(exits, reverse=True):  # later ones are resolved already
                     to = exits[off]
                     exits[off] = exits.get(to, -1) if to < stop else to if to <= size else -1
-                yield pd.DataFrame({"path": [path] * len(exits), "off": list(exits.keys()), "next": list(exits.values())})
+                if exits:
+                    yield pd.DataFrame({"path": [path] * len(exits), "off": list(exits.keys()), "next": list(exits.values())})
 
     return written(spans.repartition("path", "begin").mapInPandas(work, "path string, off long, next long"), "candidates")
 
