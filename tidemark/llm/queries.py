@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import pii, simhash, token_store, warc
+from tidemark.llm import line_quality, pii, simhash, token_store, warc
 
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -21,6 +21,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.quality_rules(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
@@ -35,6 +40,7 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op7_pii": op7_pii,
     "op8_token_store": op8_token_store,
