@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,8 +39,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hashed(*cols: Column | str) -> Column:
-    return F.xxhash64(*cols)
+def small_batches(spark: SparkSession, rows: int = 1_024) -> None:
+    """Rows per Arrow batch from now on: some texts are very long, and a task holds a few copies of its batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def kept_by_worker(name: str, make: Callable[[], Any]) -> Any:
+    """``make()``'s object, one per Python worker process, which Spark uses for task after task."""
+    store = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+class Recent(dict):
+    """Remembers what ``make`` gave for a key: at least its last ``size`` new keys and, after ``turn``, at most twice as many."""
+
+    def __init__(self, size: int, make: Callable[[Any], Any] | None = None):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """To be called between batches: forget what has not been asked for since the call before the last."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that the caller has to put in."""
+        new = keys - self.keys()
+        again = new & self.old.keys()
+        self.update((k, self.old[k]) for k in again)
+        return list(new - again)
 
 
 def _state(edges: DataFrame) -> tuple:
