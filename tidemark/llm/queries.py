@@ -6,8 +6,9 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import line_quality, pii, piece_codec, simhash, site_quality, token_store, warc
+from tidemark.llm import line_dedup, line_quality, pii, piece_codec, simhash, site_quality, token_store, warc
 
 #: Where the public vocabularies lie.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -34,6 +35,11 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "text", F.col("tidemark_lines.total").alias("n_lines"), F.col("tidemark_lines.dropped").alias("n_dropped"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_token_store": op8_token_store,
     "op10_site_quality": op10_site_quality,
