@@ -13,8 +13,11 @@ follow each other in doc_id order.  A reader refuses a shard whose dictionary ha
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -24,38 +27,62 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-from tidemark.llm.common import scratch, written
+from tidemark.llm.common import Recent, kept_by_worker, scratch, small_batches, written
 from tidemark.llm.files import open_at, put
 
 MAGIC, END = b"TIDS0001", b"TIDSEND1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u8")])
-#: Words whose ids a task remembers at most.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker surely remembers; it may hold twice as many.
+CACHE_WORDS = 250_000
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose normaliser and splitter never look across white space.
 
-    Such a text's ids are its words' ids in order, so the library encodes each distinct word once (in batches).
-    Splits at the space, tab, line feed and carriage return; other white space stays inside a word for the library.
+    Such a text's ids are its words' ids in order, so the library encodes each distinct word once.  Splits at the space,
+    tab, line feed and carriage return; other white space stays inside a word for the library.  A word of Latin letters
+    with closing marks is its lower-cased letters and its marks, which the vocabulary's model takes as they are, where
+    a probe shows that this tokenizer does so.
     """
 
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#|]*)")
+    PROBE = "The Über-Größe, it's ÉTÉ!! naïve... señor; x*** (A) 12 don't&&& Ab1c|"
+
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words, self.letters, self.marks = Recent(CACHE_WORDS, self._word), Recent(CACHE_WORDS, self._letters), {}
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = "".join(chr(c) for c in [*range(65, 91), *range(97, 123), *range(192, 256)])
+        self.alphabet = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in latin})
+        self.model, self.plain = self.tokenizer.model, True
+        self.plain = self([self.PROBE]) == [self._encode(self.PROBE)]
+        self.words.clear()
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters.translate(self.alphabet))]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        match = self.PLAIN.fullmatch(word) if self.plain else None
+        if match is None:
+            return self._encode(word)
+        letters, marks = match.groups()
+        if marks not in self.marks:
+            self.marks[marks] = self._encode(marks)
+        return self.letters[letters.lower()] + self.marks[marks]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split) - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known = {"": b""}
-            new = list(set().union(*split) - {""})
-        for e, w in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        for kept in (self.words, self.letters):
+            kept.turn()
+        if len(self.marks) > CACHE_WORDS:
+            self.marks.clear()
+        get = self.words.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 65_536, documents: int = 1_000) -> bytes:
@@ -63,7 +90,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 65_536, docume
 
     Empty where the sample is too small to train on; frames are then compressed without one.
     """
-    rows = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("doc_id").alias("at")).orderBy("at", "text").limit(documents).collect()
+    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    rows = docs.join(F.broadcast(ids), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("text").collect()
     ids = [x[:16_384] for x in WordEncoder(tokenizer)([r["text"] for r in rows]) if x]
     try:
         return zstandard.train_dictionary(size, ids).as_bytes() if len(ids) >= 64 else b""
@@ -83,7 +111,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = TaskContext.get().partitionId()
         path = f"{folder}/ids-{shard:06d}.tids"
-        encode, pack = WordEncoder(tokenizer), _compressor(dictionary)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
+        encode, pack = kept_by_worker(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), _compressor(dictionary)
         last, index = struct.pack("<I", end_id), []
         first = next(batches, None)
         if first is None:
@@ -174,6 +203,7 @@ def token_store(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     Every row of ``docs(doc_id, text, ...)`` gives a row; null and empty texts have the end id alone.  Rows with equal
     doc_ids follow each other by their texts' hashes; null doc_ids come first.  No rows: no shards, no rows.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     folder = scratch(docs.sparkSession, "token-ids")
     return read_shards(write_shards(docs, folder, tokenizer, train_dictionary(docs, tokenizer), end_id), folder)
