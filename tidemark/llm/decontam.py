@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -75,13 +76,24 @@ class Terms:
         other = len(terms)
         self.known = Recent(CACHE_WORDS, lambda x: terms.get(x.strip(EDGE), other))
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """All texts' terms one after another, the number of words of each, and the words."""
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' terms one after another, and the number of words of each."""
         self.known.turn()
         split = [(t or "").lower().split() for t in texts]
         size = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.known.__getitem__
-        return np.fromiter((get(w) for words in split for w in words), np.int32, int(size.sum())), size, split
+        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(size.sum())), size
+
+
+def _sums(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of ``vectors`` over each piece's ids, the last vector (of no term) being zero."""
+    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    term = np.flatnonzero(ids < len(vectors) - 1)
+    out = np.zeros((len(starts), vectors.shape[1]), vectors.dtype)
+    if len(term):
+        own = piece[term]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] = np.add.reduceat(vectors[ids[term]], first)
+    return out
 
 
 def _pieces(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,19 +121,19 @@ def sketch(docs: DataFrame, bench: Benchmark, rank: int) -> tuple[np.ndarray, np
         df, z = np.zeros(n_terms + 1, np.int64), np.zeros((n_terms + 1, rank))
         for b in batches:
             for at in range(0, len(b), 64):
-                ids, size, _ = lookup(b["text"].iloc[at : at + 64].tolist())
-                if not len(ids):
-                    continue
+                ids, size = lookup(b["text"].iloc[at : at + 64].tolist())
                 starts, _ = _pieces(size, PASSAGE)
+                df[n_terms] += len(starts)
+                rows = _sums(test, ids, starts)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                rows = np.add.reduceat(test[ids], starts)
                 order = np.argsort(ids, kind="stable")
+                order = order[: np.count_nonzero(ids < n_terms)]
                 term, own = ids[order], passage[order]
-                first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-                z[term[first]] += np.add.reduceat(rows[own], first)
-                new = np.append(True, (term[1:] != term[:-1]) | (own[1:] != own[:-1]))
-                df += np.bincount(term[new], minlength=n_terms + 1)
-                df[n_terms] += len(starts) - int(np.count_nonzero(new & (term == n_terms)))
+                if len(order):
+                    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
+                    z[term[first]] += np.add.reduceat(rows[own], first)
+                    new = np.append(True, (term[1:] != term[:-1]) | (own[1:] != own[:-1]))
+                    df += np.bincount(term[new], minlength=n_terms + 1)
         out = pd.DataFrame(z, columns=columns)
         out.insert(0, "df", df)
         out.insert(0, "term", np.arange(n_terms + 1))
@@ -153,7 +165,7 @@ def latent_space(df: np.ndarray, z: np.ndarray, passages: int, rank: int) -> np.
     return out
 
 
-def common_length(words: list[str], masks: dict[str, int]) -> int:
+def common_length(words: list[int], masks: dict[int, int]) -> int:
     """Length of the longest common subsequence of ``words`` and the words whose positions ``masks`` holds."""
     row = 0
     for w in words:
@@ -163,13 +175,26 @@ def common_length(words: list[str], masks: dict[str, int]) -> int:
     return row.bit_count()
 
 
-def masks_of(words: list[str]) -> dict[str, int]:
-    out: dict[str, int] = {}
+def masks_of(words: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
     for k, w in enumerate(words):
         out[w] = out.get(w, 0) | 1 << k
     return out
 
 
+def _enough(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, has: np.ndarray, wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which windows ``ids[begin:end]`` may have a common subsequence of ``need`` words with their item.
+
+    Two bounds: the window's words that are words of the item (``has``), and the item's words (``wanted``, padded with -1)
+    that are in the window.
+    """
+    at = begin[:, None] + np.arange((end - begin).max())
+    there = np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], has.shape[1] - 1)
+    first = np.flatnonzero(has[item[:, None], there].sum(axis=1) >= need)
+    present = [np.isin(wanted[item[k]], there[k]).sum() for k in first] if there.shape[1] > 1024 else (wanted[item[first]][:, :, None] == there[first][:, None, :]).any(axis=2).sum(axis=1)
+    return first[np.asarray(present) >= need[first]]
+
+
 def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage`` of the leaks that pass the checks."""
     terms, items, queries = bench.terms, bench.items, bench.queries()
@@ -180,43 +205,56 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lookup = Terms(terms)
-        item_masks = [(masks_of(words), masks_of(last), len(words), len(last)) for _, words, last in items]
+        numbers = [([terms[w] for w in words], [terms[w] for w in last]) for _, words, last in items]
+        item_masks = [(masks_of(words), masks_of(last), len(words), len(last)) for words, last in numbers]
+        has = np.zeros((len(items), len(terms) + 1), bool)
+        for k, (words, _) in enumerate(numbers):
+            has[k, words] = True
+        wanted = np.full((len(items), max(len(words) for words, _ in numbers)), -1, np.int32)
+        for k, (words, _) in enumerate(numbers):
+            wanted[k, : len(words)] = words
+        length = np.array([len(words) for words, _ in numbers])
         by_scale = {s: np.flatnonzero(scale == s) for s in SCALES}
         number = np.array([k for k, _ in queries])
         for b in batches:
             found = []
             for at in range(0, len(b), 64):
                 part = b.iloc[at : at + 64]
-                ids, size, words = lookup(part["text"].tolist())
+                ids, size = lookup(part["text"].tolist())
                 if not len(ids):
                     continue
                 starts, text = _pieces(size, BLOCK)
-                blocks = np.add.reduceat(space[ids], starts)
-                offsets = np.cumsum(size) - size
+                ends = np.cumsum(size)
                 left = np.searchsorted(text, text, side="right") - np.arange(len(text))  # blocks to the text's end
                 best: dict[tuple[int, int], tuple] = {}
-                window, length = blocks, 1
+                window, reach = _sums(space, ids, starts), 1
                 for s in SCALES:
-                    while length < s:  # twice the blocks each time, within the text
+                    while reach < s:  # twice the blocks each time, within the text
                         more = np.zeros_like(window)
-                        more[:-length] = np.where((left[:-length] > length)[:, None], window[length:], 0)
-                        window, length = window + more, 2 * length
+                        more[:-reach] = np.where((left[:-reach] > reach)[:, None], window[reach:], 0)
+                        window, reach = window + more, 2 * reach
                     mine = by_scale[s]
                     if not len(mine):
                         continue
-                    norm = np.maximum(np.linalg.norm(window, axis=1), 1e-9)
+                    unit = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
                     for low in range(0, len(mine), 512):
-                        cosine = (window @ q[mine[low : low + 512]].T) / norm[:, None]
-                        for r, c in zip(*np.nonzero(cosine >= min_cosine)):
-                            k, t = int(number[mine[low + c]]), int(text[r])
-                            masks, last, n, n_last = item_masks[k]
-                            begin = int(starts[r] - offsets[t])
-                            spare = BLOCK if n <= QUERY_WORDS else n  # a long item reaches beyond its passage's window
-                            near = [w.strip(EDGE) for w in words[t][max(0, begin - spare) : begin + s * BLOCK + spare]]
-                            common = common_length(near, masks)
-                            if common >= partial * n:
-                                got = (common, common_length(near, last) / n_last, float(cosine[r, c]))
-                                best[t, k] = max(best.get((t, k), got), got)
+                        cosine = unit @ q[mine[low : low + 512]].T
+                        row, col = np.nonzero(cosine >= min_cosine)
+                        item = number[mine[low + col]]
+                        spare = np.where(length[item] <= QUERY_WORDS, BLOCK, length[item])  # a long item reaches beyond its passage's window
+                        begin = np.maximum(starts[row] - spare, (ends - size)[text[row]])
+                        end = np.minimum(starts[row] + s * BLOCK + spare, ends[text[row]])
+                        for k in range(0, len(row), 256):
+                            sl = slice(k, k + 256)
+                            enough = _enough(ids, begin[sl], end[sl], item[sl], has, wanted, partial * length[item[sl]]) + k
+                            for i in enough.tolist():
+                                key = int(text[row[i]]), int(item[i])
+                                masks, last, n, n_last = item_masks[key[1]]
+                                near = ids[begin[i] : end[i]].tolist()
+                                common = common_length(near, masks)
+                                if common >= partial * n:
+                                    got = (common, common_length(near, last) / n_last, float(cosine[row[i], col[i]]))
+                                    best[key] = max(best.get(key, got), got)
                 for (t, k), (common, last_part, cos) in best.items():
                     share = common / len(items[k][1])
                     if share >= cover or share >= partial and last_part >= answer:
@@ -229,7 +267,7 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 64, min_cosine: float = 0.55, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 5_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 64, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000
 ) -> DataFrame:
     """A row for every document and benchmark item found in it: ``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage``.
 
