@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, written
+from tidemark.llm.common import connected_components, small_batches, written
 
 #: Variants that a task lists at once; a larger block is cut by further bits first.
 BLOCK_VARIANTS = 2_000_000
@@ -48,14 +48,15 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, fp)`` for every row of ``docs``; fp is the unsigned fingerprint's bits as a long."""
+    """``(doc_id, th, fp)`` for every row of ``docs``: th is the text's hash, fp the unsigned fingerprint's bits as a long."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(work, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("th", F.xxhash64("text")).mapInPandas(work, "doc_id long, th long, fp long")
 
 
 def flips(bits: int, most: int) -> np.ndarray:
@@ -138,6 +139,13 @@ def links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
     return blocks.groupBy("block").applyInPandas(link, "a long, b long")
 
 
+def _rooted(each: DataFrame, radius: int) -> DataFrame:
+    """``fp, first_id, root`` of every fingerprint of ``each``: its smallest doc_id, and its component's fingerprint."""
+    classes = written(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    comp = connected_components(links(classes.select("fp"), classes.count(), radius)).withColumnRenamed("node", "fp")
+    return classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text, ...)``; other columns are ignored.
 
@@ -146,12 +154,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     any other; repeated rows are all returned; a null doc_id is returned and never is the smallest (null where its
     component has no other).  An odd ``radius`` is reached with variants of half of it, rounded up, and checked.
     """
+    small_batches(docs.sparkSession)
     each = written(fingerprints(docs, width), "fingerprints")
-    classes = written(each.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    edges = links(classes.select("fp"), classes.count(), radius)
-    comp = connected_components(edges).withColumnRenamed("node", "fp")
-    rooted = classes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(each, radius)
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return each.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+    """One row of ``docs`` per component of near duplicates: that of the smallest doc_id (null last), then text hash."""
+    small_batches(docs.sparkSession)
+    each = written(fingerprints(docs, width), "fingerprints")
+    roots = each.join(_rooted(each, radius).select("fp", "root"), "fp")
+    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    first = first.select(F.col("first.none").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("did"), F.col("first.th").alias("th"))
+    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    rows = docs.withColumns({"tidemark_none": F.col("doc_id").isNull(), "tidemark_did": did, "tidemark_th": F.xxhash64(F.col("text").cast("string"))})
+    match = (F.col("tidemark_none") == F.col("none")) & (F.col("tidemark_did") == F.col("did")) & (F.col("tidemark_th") == F.col("th"))
+    return rows.join(first, match, "left_semi").dropDuplicates(["tidemark_none", "tidemark_did", "tidemark_th"]).select(docs.columns)
