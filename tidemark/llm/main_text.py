@@ -188,11 +188,14 @@ def fit(pages: DataFrame, sample: int = 2_000) -> Weights:
 def weight_of(weights: Weights, kind: str, labelled: bool, inside: bool, barred: bool) -> float:
     """A token's score for each of its words, or of the tag.
 
-    On a page with one article element, words outside it count against the region like barred ones.
+    On a page with one article element, words outside it count against the region.  Words in elements that are no article
+    text are left out of the region anyway, so a block of them between two paragraphs costs little.
     """
     if kind.startswith("tag "):
         return weights.get(kind, -0.1)
-    if barred or labelled and not inside:
+    if barred:
+        return -0.05
+    if labelled and not inside:
         return -2.0
     return weights.get(kind.replace("inside ", "").replace("outside ", ""), -0.3 if kind.endswith("link") else 1.0)
 

@@ -100,6 +100,8 @@ class Codec:
         return out
 
     def _units(self, text: str) -> list[str]:
+        if MARK in text:  # the model knows no difference
+            text = text.replace(MARK, " ")
         if "  " in text or text[:1] == " " or text[-1:] == " ":
             return [u[1:] for u in re.findall(" +[^ ]*", " " + text)]
         return text.split(" ") if text else []
