@@ -24,6 +24,8 @@ from tidemark.llm.files import open_at, put
 MAGIC, BREAK = b"WARC/1.0\r\n", b"\r\n\r\n"
 #: A record's header is at most this long; longer ones are no candidates and are never written.
 HEADER_BYTES = 1 << 16
+#: Repeated payloads (50 bytes each) that are sent to all tasks at most.
+BROADCAST_DIGESTS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -39,12 +41,15 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """``page_id, url, html, digest, refers_to``: refers_to is the smallest page_id of an equal payload, null for it.
 
     Payloads under ``min_bytes`` are never revisits.  The smallest page_ids are found by an aggregation that combines
-    before its shuffle; the join back may split a payload that a large share of the pages has.
+    before its shuffle.  Those of repeated payloads are sent to all tasks where they are at most ``BROADCAST_DIGESTS``, so
+    that pages stay where they are read; else the join may split a payload that a large share of the pages has.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     rows = rows.withColumn("digest", base32_sha1(F.col("html")))
     light = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
     first = light.where(F.octet_length("html") >= min_bytes).groupBy(base32_sha1(F.col("html")).alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = written(first, "repeated")
+    first = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= min_bytes)
     return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("first")).alias("refers_to"))
 
