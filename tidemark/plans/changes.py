@@ -122,7 +122,7 @@ set_changes AS (SELECT competitor_id, change_type, severity, entity_key, competi
     UNION ALL SELECT competitor_id, entity_key, name, '{noun}_removed', 'low' FROM so ANTI JOIN sn USING (competitor_id, entity_key))) WHERE k <= {cap})"""
 
 
-_PAGES = """po AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, url || '#' || page_id AS url, sha256(html) AS h FROM pages WHERE page_id % 8 <> 0),
+PAGE_CHANGES = """po AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, url || '#' || page_id AS url, sha256(html) AS h FROM pages WHERE page_id % 8 <> 0),
 pn AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, url || '#' || page_id AS url, sha256(CASE WHEN page_id % 5 = 0 THEN html || '!' ELSE html END) AS h FROM pages WHERE page_id % 7 <> 0),
 pj AS (SELECT *, row_number() OVER (PARTITION BY competitor_id, change_type ORDER BY url) AS k FROM (SELECT coalesce(po.competitor_id, pn.competitor_id) AS competitor_id, coalesce(po.url, pn.url) AS url,
   CASE WHEN po.url IS NULL THEN 'page_added' WHEN pn.url IS NULL THEN 'page_removed' WHEN po.h <> pn.h THEN 'content_changed' END AS change_type FROM po FULL OUTER JOIN pn ON po.competitor_id = pn.competitor_id AND po.url = pn.url) WHERE change_type IS NOT NULL),
@@ -130,7 +130,7 @@ page_changes AS (SELECT competitor_id, change_type, 'low' AS severity, url AS en
   UNION ALL SELECT competitor_id, 'content_changed', CASE WHEN count(*) < 3 THEN 'low' ELSE 'medium' END, 'pages', competitor_id || ': ' || count(*) || ' pages changed', count(*)::DOUBLE, NULL, string_agg(CASE WHEN k <= 20 THEN url END, ',' ORDER BY url) FROM pj WHERE change_type = 'content_changed' GROUP BY competitor_id)"""
 
 _RANK = "(CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 END)"
-_FEED = f"""{_PLANS}, {_set_sql(10, 11, 'product', 'high', 10)}, {_PAGES},
+_FEED = f"""{_PLANS}, {_set_sql(10, 11, 'product', 'high', 10)}, {PAGE_CHANGES},
 feed AS (SELECT competitor_id, change_type, severity, entity_key, row_number() OVER (PARTITION BY competitor_id ORDER BY {_RANK} DESC, stage, change_type, entity_key) AS position FROM (
   SELECT 0 AS stage, * FROM plan_changes UNION ALL SELECT 1, * FROM set_changes UNION ALL SELECT 2, * FROM page_changes) WHERE competitor_id IN (SELECT p_brand FROM part WHERE p_partkey % 3 = 0))"""
 _RULES = """r0 AS (SELECT c_custkey AS rule_id, c_nationkey AS organization_id, CASE WHEN c_custkey % 2 = 0 THEN 'Brand#' || (c_custkey % 5 + 1) || (c_custkey % 3 + 1) END AS rule_competitor, c_custkey % 7 <> 0 AS is_active,
@@ -143,7 +143,7 @@ ORACLE_SQL = {
     "plan_diff_by_severity": f"WITH {_PLANS} SELECT change_type, severity, count(*) AS n FROM plan_changes GROUP BY ALL",
     "product_set_diff": f"WITH {_set_sql(10, 11, 'product', 'high', 10)} SELECT * FROM set_changes",
     "feature_set_diff": f"WITH {_set_sql(11, 10, 'feature', 'medium', 3)} SELECT * FROM set_changes",
-    "page_diff": f"WITH {_PAGES} SELECT * FROM page_changes",
+    "page_diff": f"WITH {PAGE_CHANGES} SELECT * FROM page_changes",
     "positioning_changes": r"""WITH b AS (SELECT doc_id - 1 AS id, text || ' new words' AS text FROM documents),
 w AS (SELECT CAST(d.doc_id AS VARCHAR) AS competitor_id, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '')) AS y FROM documents d JOIN b ON b.id = d.doc_id WHERE d.text <> ''),
 j AS (SELECT competitor_id, len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) AS j FROM w)
