@@ -60,7 +60,7 @@ def test_ranking_caps(spark):
     links = [("a.com", f"https://a.com/blog/{k}", "", k) for k in range(9)] + [("a.com", "https://a.com/privacy", "", 20), ("a.com", "https://a.com/pricing", "", 21), ("a.com", "https://a.com/x.pdf", "", 22), ("a.com", "https://b.com/pricing", "", 23)]
     df = spark.createDataFrame(links, "site string, url string, anchor string, seq long")
     rows = discovery.ranked(discovery.classified(df), 10).orderBy("position").collect()
-    assert [r["page_type"] for r in rows] == ["pricing", "blog", "blog", "blog"]
+    assert [r["page_type"] for r in rows] == ["pricing", "blog", "blog", "blog", "other"]
 
 
 def test_texts(spark):
