@@ -101,7 +101,7 @@ def worst_threat(scores: DataFrame, *keys: str) -> DataFrame:
     """The worst level per key; with no keys one row, ``unknown`` for no scores."""
     rank = F.array_position(F.array(*map(F.lit, THREATS)), F.col("threat_level"))
     worst = F.max(F.when(rank > 0, rank))
-    return scores.groupBy(*keys).agg(F.coalesce(F.element_at(F.array(*map(F.lit, THREATS)), worst.cast("int")), F.lit("unknown")).alias("worst"))
+    return scores.groupBy(*keys).agg(F.when(worst.isNull(), "unknown").otherwise(F.get(F.array(*map(F.lit, THREATS)), F.coalesce(worst, F.lit(1)).cast("int") - 1)).alias("worst"))
 
 
 def market_gaps(dims: DataFrame, below: float = 55.0, most: int = 4) -> DataFrame:
