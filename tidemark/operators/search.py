@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.constants import STOPWORDS
 
 #: Query vectors in one block; the block is sent to every task that scans the stored vectors.
-BLOCK_QUERIES = 1_000
+BLOCK_QUERIES = 200
 
 
 def dot(a: Column, b: Column) -> Column:
