@@ -34,7 +34,7 @@ NEVER = frozenset("nav aside form button select option input label head menu dia
 ARTICLE = ("article", "main")
 #: Words of class, id and role names that mark an element as no article text.
 HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
+    "ad ads adv adsbygoogle advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
     "alert popup modal overlay newsletter subscribe subscription signup login search searchbox sidebar side rail menu nav navbar navigation breadcrumb "
     "breadcrumbs toc pagination pager footer masthead topbar toolbar share sharing social follow related recommended recommendations more-stories "
     "trending widget comment comments reply replies respond disqus discussion complementary contentinfo copyright legal disclaimer skip hidden".split()
