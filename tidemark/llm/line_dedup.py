@@ -22,45 +22,92 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, written
 
-#: Up to so many candidate lines (24 bytes each) are sent to all tasks; more are joined by a shuffle.
+#: Candidate lines (28 bytes each) that are sent to all tasks at most.
 BROADCAST_LINES = 400_000
 LAST = 2**63 - 1
 
 
-def normal(line: Column) -> Column:
-    """What lines are compared by: lower case, white space as single spaces, trimmed."""
-    odd = F.regexp_like(line, F.lit("[\\t-\\r]|  "))
-    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, "[ \\t-\\r]+", " ")).otherwise(line)))
+def words_of(line: str) -> list[str]:
+    """What lines are compared by: their lower-case words between white space."""
+    return line.lower().split()
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """``did, th, line_no, line, n, h`` of the lines with at least ``min_words`` words, in their compared form.
+def _keys(parts: list[str]) -> np.ndarray:
+    """Hashes as longs; none is 0."""
+    out = np.array([xxhash.xxh64_intdigest(x, 42) for x in parts], np.uint64)
+    out[out == 0] = 1
+    return out.view(np.int64)
 
-    ``did`` is the doc_id (the largest long where null) and ``th`` the text's hash; ``h`` is the line's hash.
+
+def halves_of(words: list[str]) -> list[str]:
+    """A line's first and last halves, as the shorter and as the longer of two lines one word apart (four, or two and two empty).
+
+    With q = (m - 1) div 2 words, m the shorter length, no one-word edit touches both the first and the last q words.
     """
+    out = []
+    for q in dict.fromkeys(((len(words) - 1) // 2, (len(words) - 2) // 2)):
+        out += [f"{q} first " + " ".join(words[:q]), f"{q} last " + " ".join(words[len(words) - q :])]
+    return out + [""] * (4 - len(out))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """``did, th, text``: the doc_id (the largest long where null), the text's hash, and the text."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("did", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    rows = rows.select("did", "th", "line_no", normal(F.col("raw")).alias("line"))
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.withColumn("n", n).where((F.col("line") != "") & (F.col("n") >= min_words)).withColumn("h", F.xxhash64("line"))
+    return rows.select("did", F.xxhash64("text").alias("th"), "text")
 
 
-def _at(did: str = "did", line_no: str = "line_no") -> Column:
-    """A place in the order of all lines, as one number."""
-    return F.col(did).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col(line_no)
+HALVES = ("first0", "last0", "first1", "last1")
 
 
-def halves(near_words: int) -> list[Column]:
-    """Keys of a line's first and last halves, as the shorter and as the longer of two lines one word apart.
+def lines_of(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
+    """``did, th, line_no, h`` and the halves' keys (0 for none) of the lines with at least ``min_words`` words."""
 
-    With q = (m - 1) div 2 words, m the shorter length, no one-word edit touches both the first and the last q words.
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 128):
+                part = b.iloc[at : at + 128]
+                rows, lines, halves, near = [], [], [], []
+                for did, th, text in zip(part["did"], part["th"], part["text"]):
+                    for k, raw in enumerate((text or "").split("\n")):
+                        words = words_of(raw)
+                        if len(words) >= min_words:
+                            rows.append((did, th, k))
+                            lines.append(" ".join(words))
+                            near.append(len(words) >= near_words)
+                            halves += halves_of(words) if near[-1] else [""] * 4
+                if rows:
+                    out = pd.DataFrame(rows, columns=["did", "th", "line_no"])
+                    out["h"] = _keys(lines)
+                    keys = np.where([x != "" for x in halves], _keys(halves), 0).reshape(-1, 4)
+                    yield pd.concat([out, pd.DataFrame(keys, columns=list(HALVES))], axis=1)
+
+    return _texts(docs).mapInPandas(work, "did long, th long, line_no int, h long, " + ", ".join(f"{c} long" for c in HALVES))
+
+
+def fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``h, did, line_no, line`` of the lines at ``places(did, th, line_no, h)``, in their compared form.
+
+    The places are sent to all tasks where they are at most ``BROADCAST_LINES``; more are joined by a shuffle.
     """
-    out = []
-    for less in (0, 1):
-        q = f"cast((n - 1 - {less}) div 2 as int)"
-        for side, sign in (("first", ""), ("last", "-")):
-            out.append(F.when(F.col("n") >= near_words, F.xxhash64(F.expr(q), F.lit(side), F.expr(f"substring_index(line, ' ', {sign}{q})"))).alias(f"{side}{less}"))
-    return out
+    few = places.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    wanted = places.groupBy("did", "th").agg(F.collect_set(F.struct("line_no", "h")).alias("places"))
+    found = _texts(docs).join(F.broadcast(wanted) if few else wanted, ["did", "th"])
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for did, text, at in zip(b["did"], b["text"], b["places"]):
+                raw = text.split("\n")
+                out += [(p["h"], did, p["line_no"], " ".join(words_of(raw[p["line_no"]]))) for p in at]
+            if out:
+                yield pd.DataFrame(out, columns=["h", "did", "line_no", "line"])
+
+    return found.select("did", "text", "places").mapInPandas(work, "h long, did long, line_no int, line string").dropDuplicates(["h"])
+
+
+def _at(did: str = "did", line_no: str = "line_no") -> Column:
+    """A place in the order of all lines, as one number."""
+    return F.col(did).cast("decimal(20,0)") * F.lit(2**32).cast("decimal(11,0)") + F.col(line_no)
 
 
 def variants_of(line: str) -> tuple[np.ndarray, np.uint64]:
@@ -103,21 +150,21 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return F.when(same, rest(long, first + 1) == rest(short, first + 1)).when(F.size(long) == F.size(short) + 1, rest(long, first + 1) == rest(short, first)).otherwise(False)
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, min_words: int, near_words: int) -> DataFrame:
-    """``h`` of every line of ``classes(h, at, first0, last0, first1, last1)`` that has an earlier line one word apart."""
-    sides = F.array_distinct(F.array("first0", "last0", "first1", "last1"))
-    keys = written(classes.where("first0 is not null").select("h", F.explode(sides).alias("half")), "halves")
+def near_lines(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``h`` of every line of ``classes(h, at, halves)`` that has an earlier line one word apart; ``named`` has all lines."""
+    keys = classes.where("first0 <> 0").select("h", F.explode(F.array_distinct(F.array(*HALVES))).alias("half")).where("half <> 0")
     shared = keys.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
-    wanted = written(classes.join(keys.join(shared, "half", "left_semi").select("h").distinct(), "h").select("h", "at"), "candidates")
-    count = wanted.count()
-    place = lines_of(docs, max(min_words, near_words)).withColumn("at", _at())
-    found = place.join(F.broadcast(wanted) if count <= BROADCAST_LINES else wanted, ["h", "at"]).dropDuplicates(["h"])
-    lines = written(found.select("h", "at", "did", "line_no", "line"), "lines")
-    each = written(variants(lines), "variants")
-    by_place = each.groupBy("key", "place").agg(F.min("at").alias("m"), F.count("*").alias("c"))
+    wanted = keys.join(shared, "half", "left_semi").select("h").distinct()
+    first = F.min(F.struct("did", "line_no", "th")).alias("first")
+    places = written(named.select("did", "th", "line_no", "h").join(wanted, "h").groupBy("h").agg(first).select("h", "first.*"), "candidates")
+    lines = written(fetch(docs, places).withColumn("at", _at()), "lines")
+    # Most variants have one line only: those of several are found by their keys alone, before anything else is moved.
+    several = variants(lines).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    each = written(variants(lines).join(several, "key", "left_semi"), "variants")
+    by_place = each.groupBy("key", "place").agg(F.min("at").alias("m"))
     whole, less = F.min(F.when(F.col("place") < 0, F.col("m"))), F.min(F.when(F.col("place") >= 0, F.col("m")))
-    by_key = by_place.groupBy("key").agg(whole.alias("whole"), less.alias("less"), F.sum("c").alias("c")).where("c > 1")
-    both = by_place.join(by_key.drop("c"), "key")
+    by_key = by_place.groupBy("key").agg(whole.alias("whole"), less.alias("less"))
+    both = by_place.join(by_key, "key")
     earliest = F.when(F.col("place") < 0, F.col("less")).otherwise(F.least("m", "whole"))  # skips nulls
     best = both.select("key", "place", earliest.alias("near"))
     partner = each.join(best, ["key", "place"]).where("near < at").groupBy("h").agg(F.min("near").alias("near"))
@@ -128,20 +175,19 @@ def near_lines(docs: DataFrame, classes: DataFrame, min_words: int, near_words:
 def dedup_lines(docs: DataFrame, min_words: int = 5, near_words: int = 8) -> DataFrame:
     """``docs`` with duplicate lines taken out of ``text``, and ``tidemark_lines(total, dropped)``; all rows stay.
 
-    Lines are compared in lower case with white space as single spaces.  A line of ``min_words`` words or more is dropped
+    Lines are compared by their lower-case words.  A line of ``min_words`` words or more is dropped
     if an earlier one (by doc_id, then line) equals it; one of ``near_words`` or more also if an earlier one is one word
     substitution, insertion or deletion away.  Shorter lines always stay.  Rows without a doc_id come last; rows that share
     a doc_id (or have none) do not drop each other's lines at the same place.  A null text stays null.
     """
     small_batches(docs.sparkSession)
-    named = lines_of(docs, min_words).select("h", _at().alias("at"), *halves(near_words))
-    sides = ["first0", "last0", "first1", "last1"]
-    classes = written(named.groupBy("h").agg(F.min("at").alias("at"), F.count("*").alias("c"), *[F.min(s).alias(s) for s in sides]), "line_classes")
-    near = written(near_lines(docs, classes, min_words, near_words), "near_lines").withColumn("near", F.lit(True))
+    named = written(lines_of(docs, min_words, near_words), "named_lines")
+    classes = written(named.groupBy("h").agg(F.min(_at()).alias("at"), F.count("*").alias("c"), *[F.min(s).alias(s) for s in HALVES]), "line_classes")
+    near = written(near_lines(docs, named, classes), "near_lines").withColumn("near", F.lit(True))
     several = classes.where("c > 1").select("h", "at")
     drop = several.join(near, "h", "full_outer").select("h", F.col("at").alias("first"), "near")
-    lines = lines_of(docs, min_words).select("did", "th", "line_no", "h", _at().alias("at"))
-    gone = lines.join(drop, "h").where(F.col("near").isNotNull() | (F.col("at") > F.col("first")))
+    lines = named.select("did", "th", "line_no", "h")
+    gone = lines.join(drop, "h").where(F.col("near").isNotNull() | (_at() > F.col("first")))
     gone = gone.groupBy("did", "th").agg(F.collect_set("line_no").alias("gone"))
     pieces = F.split(F.col("text").cast("string"), "\n", -1)
     rows = docs.withColumns({"tidemark_did": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tidemark_th": F.xxhash64(F.col("text").cast("string"))})
