@@ -156,7 +156,8 @@ def near_lines(docs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFra
     shared = keys.groupBy("half").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("half")
     wanted = keys.join(shared, "half", "left_semi").select("h").distinct()
     first = F.min(F.struct("did", "line_no", "th")).alias("first")
-    places = written(named.select("did", "th", "line_no", "h").join(wanted, "h").groupBy("h").agg(first).select("h", "first.*"), "candidates")
+    # Combined before it is shuffled, so a line that is very common weighs no more than another.
+    places = written(named.groupBy("h").agg(first).join(wanted, "h").select("h", "first.*"), "candidates")
     lines = written(fetch(docs, places).withColumn("at", _at()), "lines")
     # Most variants have one line only: those of several are found by their keys alone, before anything else is moved.
     several = variants(lines).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
