@@ -15,20 +15,25 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Recent, small_batches
+from tidemark.llm.common import Recent, kept_by_worker, small_batches
 
 #: Words per block; windows are whole blocks and start at every block.
 BLOCK = 8
 #: Words per passage in the decomposition.
 PASSAGE = 32
+#: Share of passages from which on a term is too frequent to tell passages apart.
+FREQUENT = 0.05
 #: Window lengths in blocks; a query takes the shortest that holds it wherever it begins.
 SCALES = (2, 4, 8)
 #: Words that a query has at most; longer items are several.
 QUERY_WORDS = SCALES[-1] * BLOCK - BLOCK
 EDGE = "\"'`.,;:!?()[]{}<>*#$%&|/\\-_=+~^@…«»“”‘’¿¡"
+#: Documents whose vectors a task has at once.
+DOCUMENTS = 128
 #: Words whose terms a task remembers (at most twice as many).
 CACHE_WORDS = 250_000
 
@@ -84,10 +89,15 @@ class Terms:
         return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(size.sum())), size
 
 
+def _lookup(terms: dict[str, int]) -> Terms:
+    """A worker's lookup of these terms, kept from task to task."""
+    return kept_by_worker(f"terms {xxhash.xxh3_128_hexdigest(' '.join(terms))}", lambda: Terms(terms))
+
+
 def _sums(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of ``vectors`` over each piece's ids, the last vector (of no term) being zero."""
+    """The sum of ``vectors`` over each piece's ids; ids whose vector is zero (no or too frequent terms) are passed over."""
     piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    term = np.flatnonzero(ids < len(vectors) - 1)
+    term = np.flatnonzero(vectors.any(axis=1)[ids])
     out = np.zeros((len(starts), vectors.shape[1]), vectors.dtype)
     if len(term):
         own = piece[term]
@@ -117,16 +127,16 @@ def sketch(docs: DataFrame, bench: Benchmark, rank: int) -> tuple[np.ndarray, np
     columns = [f"z{k}" for k in range(rank)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, test = Terms(terms), _test_matrix(n_terms, rank)
+        lookup, test = _lookup(terms), _test_matrix(n_terms, rank)
         df, z = np.zeros(n_terms + 1, np.int64), np.zeros((n_terms + 1, rank))
         for b in batches:
-            for at in range(0, len(b), 64):
-                ids, size = lookup(b["text"].iloc[at : at + 64].tolist())
+            for at in range(0, len(b), DOCUMENTS):
+                ids, size = lookup(b["text"].iloc[at : at + DOCUMENTS].tolist())
                 starts, _ = _pieces(size, PASSAGE)
                 df[n_terms] += len(starts)
                 rows = _sums(test, ids, starts)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                order = np.argsort(ids, kind="stable")
+                order = np.argsort(ids.astype(np.uint16) if n_terms < 65_536 else ids, kind="stable")  # short keys are sorted by digits
                 order = order[: np.count_nonzero(ids < n_terms)]
                 term, own = ids[order], passage[order]
                 if len(order):
@@ -149,9 +159,10 @@ def sketch(docs: DataFrame, bench: Benchmark, rank: int) -> tuple[np.ndarray, np
 def latent_space(df: np.ndarray, z: np.ndarray, passages: int, rank: int) -> np.ndarray:
     """Each term's latent vector times its IDF; the last row, for all other words, is zero.
 
-    Latent axes are scaled to equal spread over the corpus, so that those of frequent words do not rule the cosine.
+    Latent axes are scaled to equal spread over the corpus, so that those of frequent words do not rule the cosine; terms
+    in over a ``FREQUENT`` share of the passages say nothing about a passage and get zero.
     """
-    idf = np.maximum(np.log((1 + passages) / (1 + df)), 0.05)
+    idf = np.where(df > FREQUENT * passages, 0.0, np.log((1 + passages) / (1 + df)))
     test = _test_matrix(len(df), rank)[:-1].astype(float)
     core = test.T @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -204,7 +215,7 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
     names = ["doc_id", "item_id", "cosine", "lcs_words", "coverage", "answer_coverage"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = Terms(terms)
+        lookup = _lookup(terms)
         numbers = [([terms[w] for w in words], [terms[w] for w in last]) for _, words, last in items]
         item_masks = [(masks_of(words), masks_of(last), len(words), len(last)) for words, last in numbers]
         has = np.zeros((len(items), len(terms) + 1), bool)
@@ -218,8 +229,8 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
         number = np.array([k for k, _ in queries])
         for b in batches:
             found = []
-            for at in range(0, len(b), 64):
-                part = b.iloc[at : at + 64]
+            for at in range(0, len(b), DOCUMENTS):
+                part = b.iloc[at : at + DOCUMENTS]
                 ids, size = lookup(part["text"].tolist())
                 if not len(ids):
                     continue
@@ -267,7 +278,7 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 64, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 96, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000
 ) -> DataFrame:
     """A row for every document and benchmark item found in it: ``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage``.
 
