@@ -327,6 +327,29 @@ def test_best_region():
         assert sum(s[a:b]) == best
 
 
+STORY = [f"<div><p>{prose(40 + k, 60)}</p></div>" for k in range(5)]
+TEASER = f"<article><h2>{prose(1, 4)}</h2><p>{prose(2, 12)}</p></article>"
+LAYOUTS = {
+    "none": ["<div>", *STORY, "</div>"],
+    "teaser before": [TEASER, "<div>", *STORY, "</div>"],
+    "teaser after": ["<div>", *STORY, "</div>", TEASER],
+    "story and teaser outside": ["<article>", *STORY, "</article>", f"<div><p>{prose(3, 15)}</p></div>"],
+    "several": [f"<article>{x}</article>" for x in STORY],
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_region_is_the_best_one(name):
+    """The output is the text of the best of all regions, also where the only article element is a teaser."""
+    weights = {"word p": 4.0, "word h2": 4.0, "tag p": -0.05, "tag div": -0.3, "edge": -97.0}
+    source = f"<html><body><nav><a>Home</a></nav>{''.join(LAYOUTS[name])}<footer>Imprint</footer></body></html>"
+    page = main_text.read_page(source)
+    scores = np.cumsum([0.0, *main_text.scores_of(page, weights)])
+    best = max(scores[b] - scores[a] for a in range(len(scores)) for b in range(a, len(scores)))
+    texts = {main_text.text_of(page, a, b) for a in range(len(scores)) for b in range(a, len(scores)) if scores[b] - scores[a] > best - 1e-9}
+    assert texts == {main_text.extract(source, weights)} == {" ".join(prose(40 + k, 60) for k in range(5))}
+
+
 # 10
 def test_site_quality(spark):
     good = [(k, prose(k, 60).capitalize() + ".", "clean" if k % 2 else "mixed") for k in range(120)]
