@@ -75,6 +75,31 @@ def test_ball_hashing_in_small_blocks(spark, monkeypatch):
     assert len(set(zip(got, label.tolist()))) == len(set(got)) == len(set(label.tolist()))
 
 
+def edited(k, n):
+    """A text of 200 words with ``n`` words replaced, far enough apart that each takes five shingles."""
+    words = prose(4_000 + k, 200).split()
+    for j in range(n):
+        words[10 + j * 15] = f"edit{k}x{j}"
+    return " ".join(words)
+
+
+def test_similar_texts_are_one_group(spark, monkeypatch):
+    """Groups by brute force over all pairs' shingle sets, also where a bucket has more texts than are all compared."""
+    rows = ODD[:-1] + [(k, edited(k, 0)) for k in range(30)] + [(100 + k, edited(k, k % 10)) for k in range(30)]
+    rows += [(200 + k, edited(99, 2).replace("edit99x0", f"own{k}")) for k in range(90)]
+    sets = [set(zip(*[(w := (t or "").lower().split())[i:] for i in range(5)])) or {tuple(w)} - {()} for _, t in rows]
+    alike = [[a == b or bool(x | y) and len(x & y) >= 0.8 * len(x | y) or not (x | y) for b, y in enumerate(sets)] for a, x in enumerate(sets)]
+    label = list(range(len(rows)))
+    for _ in range(8):
+        label = [min(label[j] for j in range(len(rows)) if alike[i][j]) for i in range(len(rows))]
+    assert 60 > len(set(label)) - len(ODD) > 30
+    monkeypatch.setattr(simhash, "PIVOTS", 16)
+    kept = simhash.keep_first(frame(spark, rows), 5, 4, 0.8)
+    want = {min((rows[i][0] for i in range(len(rows)) if label[i] == c and rows[i][0] is not None), default=None) for c in set(label)}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(want)
+    assert simhash.keep_first(empty(spark), 5, 4, 0.8).count() == 0
+
+
 # 2
 def test_decontamination(spark):
     items = [(k, prose(1000 + k, 15 + 4 * k)) for k in range(12)] + [(50, prose(77, 150)), (None, "short one"), (51, ""), (52, None)]
