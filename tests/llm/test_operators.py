@@ -118,6 +118,15 @@ def test_decontamination(spark):
     assert decontam.find_leaks(empty(spark), bench).count() == 0 and decontam.find_leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("others", [0, 40, 2])
+def test_widespread_leaks_are_found(spark, others):
+    """A document alone in its table, a leak copied into a third of the rows, and one in nearly all of them."""
+    bench = spark.createDataFrame([(k, prose(1000 + k, 40)) for k in range(5)], "item_id long, text string")
+    hot = [(500 + k, f"{prose(600 + k, 20)} {prose(1002, 40)} {prose(700 + k, 20)}") for k in range(20 if others else 1)]
+    found = decontam.find_leaks(frame(spark, hot + [(k, prose(k, 80)) for k in range(others)]), bench)
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == {(i, 2) for i, _ in hot}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):

@@ -2,12 +2,14 @@
 
 Terms are the benchmark's words.  A randomised singular value decomposition of the corpus's TF-IDF passages (Nystroem form:
 one distributed pass gives document frequencies and the passages' Gram matrix times a random test matrix) yields a latent
-space in which every window of every text is compared with every benchmark passage by cosine.  Close windows are then
-checked: the longest common subsequence of words must cover most of the item, or enough of it with its answer.
+space in which every window of every text is compared with every benchmark passage by cosine.  A leak in a large share of
+the passages has little spread left in that space, so windows with enough words of a passage are taken too, whatever their
+cosine.  Close windows are then checked: the longest common subsequence of words must cover most of the item, or enough of it with its answer.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,8 +27,8 @@ from tidemark.llm.common import Recent, kept_by_worker, small_batches
 BLOCK = 8
 #: Words per passage in the decomposition.
 PASSAGE = 32
-#: Share of passages from which on a term is too frequent to tell passages apart.
-FREQUENT = 0.05
+#: IDF that a term has at least: no share of the passages takes a leak's words away.
+LEAST_IDF = 0.05
 #: Window lengths in blocks; a query takes the shortest that holds it wherever it begins.
 SCALES = (2, 4, 8)
 #: Words that a query has at most; longer items are several.
@@ -95,7 +97,7 @@ def _lookup(terms: dict[str, int]) -> Terms:
 
 
 def _sums(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of ``vectors`` over each piece's ids; ids whose vector is zero (no or too frequent terms) are passed over."""
+    """The sum of ``vectors`` over each piece's ids; ids whose vector is zero (no terms) are passed over."""
     piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
     term = np.flatnonzero(vectors.any(axis=1)[ids])
     out = np.zeros((len(starts), vectors.shape[1]), vectors.dtype)
@@ -114,6 +116,25 @@ def _pieces(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(size) - size, count) + within * length, text
 
 
+def _held(member: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many of each block's words ``member`` marks for each query; it has a row per term and one for other words."""
+    out = np.zeros((len(starts), member.shape[1]), np.uint8)
+    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+    marked = np.flatnonzero(member.any(axis=1)[ids])
+    for at in range(0, len(marked), 8192):
+        own = piece[marked[at : at + 8192]]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[first]] += np.add.reduceat(member[ids[marked[at : at + 8192]]], first, dtype=np.uint8)
+    return out
+
+
+def rare_words(words: list[int], df: np.ndarray, partial: float) -> tuple[list[int], int]:
+    """A query's rarest seven tenths of words, and how many of them a window with ``partial`` of all its words has at least."""
+    need = math.ceil(partial * len(words))
+    rare = sorted(words, key=lambda w: (df[w], w))[: max(-(-7 * len(words) // 10), len(words) - need + 1)]
+    return rare, need - (len(words) - len(rare))
+
+
 def _test_matrix(terms: int, rank: int) -> np.ndarray:
     return np.vstack([np.random.default_rng(7).standard_normal((terms, rank)), np.zeros((1, rank))]).astype(np.float32)
 
@@ -159,10 +180,10 @@ def sketch(docs: DataFrame, bench: Benchmark, rank: int) -> tuple[np.ndarray, np
 def latent_space(df: np.ndarray, z: np.ndarray, passages: int, rank: int) -> np.ndarray:
     """Each term's latent vector times its IDF; the last row, for all other words, is zero.
 
-    Latent axes are scaled to equal spread over the corpus, so that those of frequent words do not rule the cosine; terms
-    in over a ``FREQUENT`` share of the passages say nothing about a passage and get zero.
+    Latent axes are scaled to equal spread over the corpus, so that those of frequent words do not rule the cosine.  A
+    term in all passages still has ``LEAST_IDF``, so a leak copied into most of them is found.
     """
-    idf = np.where(df > FREQUENT * passages, 0.0, np.log((1 + passages) / (1 + df)))
+    idf = np.maximum(np.log((1 + passages) / (1 + df)), LEAST_IDF)
     test = _test_matrix(len(df), rank)[:-1].astype(float)
     core = test.T @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
@@ -206,7 +227,7 @@ def _enough(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarra
     return first[np.asarray(present) >= need[first]]
 
 
-def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
+def search(docs: DataFrame, bench: Benchmark, df: np.ndarray, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage`` of the leaks that pass the checks."""
     terms, items, queries = bench.terms, bench.items, bench.queries()
     q = np.array([np.sum([space[terms[w]] for w in words], axis=0) for _, words in queries], np.float32)
@@ -227,6 +248,11 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
         length = np.array([len(words) for words, _ in numbers])
         by_scale = {s: np.flatnonzero(scale == s) for s in SCALES}
         number = np.array([k for k, _ in queries])
+        member = np.zeros((len(terms) + 1, len(queries)), np.uint8)
+        least = np.ones(len(queries), np.int64)
+        for k, (_, words) in enumerate(queries):
+            rare, least[k] = rare_words([terms[w] for w in words], df, partial)
+            member[rare, k] = 1
         for b in batches:
             found = []
             for at in range(0, len(b), DOCUMENTS):
@@ -238,11 +264,12 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
                 ends = np.cumsum(size)
                 left = np.searchsorted(text, text, side="right") - np.arange(len(text))  # blocks to the text's end
                 best: dict[tuple[int, int], tuple] = {}
-                window, reach = _sums(space, ids, starts), 1
+                window, held, reach = _sums(space, ids, starts), _held(member, ids, starts), 1
                 for s in SCALES:
                     while reach < s:  # twice the blocks each time, within the text
                         more = np.zeros_like(window)
                         more[:-reach] = np.where((left[:-reach] > reach)[:, None], window[reach:], 0)
+                        held[:-reach] += np.where((left[:-reach] > reach)[:, None], held[reach:], 0).astype(np.uint8)
                         window, reach = window + more, 2 * reach
                     mine = by_scale[s]
                     if not len(mine):
@@ -250,7 +277,8 @@ def search(docs: DataFrame, bench: Benchmark, space: np.ndarray, min_cosine: flo
                     unit = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
                     for low in range(0, len(mine), 512):
                         cosine = unit @ q[mine[low : low + 512]].T
-                        row, col = np.nonzero(cosine >= min_cosine)
+                        some = mine[low : low + 512]
+                        row, col = np.nonzero((cosine >= min_cosine) | (held[:, some] >= least[some]))
                         item = number[mine[low + col]]
                         spare = np.where(length[item] <= QUERY_WORDS, BLOCK, length[item])  # a long item reaches beyond its passage's window
                         begin = np.maximum(starts[row] - spare, (ends - size)[text[row]])
@@ -284,7 +312,8 @@ def find_leaks(
 
     ``coverage`` is the common subsequence's share of the item's words.  A leak covers ``cover`` of the item, or ``partial``
     of it with ``answer`` of its answer.  The benchmark is taken in blocks of about ``block_items`` items, so what is sent to
-    the tasks has a bound; every block is compared with every text.  Wordless items and texts never match; repeated rows
+    the tasks has a bound; every block is compared with every text.  ``cosine`` may be below ``min_cosine`` where
+    a window has ``partial`` of a passage's words.  Wordless items and texts never match; repeated rows
     each give their leaks; an empty table on either side gives no rows; null ids are kept.
     """
     small_batches(docs.sparkSession)
@@ -294,7 +323,7 @@ def find_leaks(
     for k in range(parts):
         bench = Benchmark.of(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect())
         if bench.items:
-            space = latent_space(*sketch(docs, bench, rank), rank)
-            found = search(docs, bench, space, min_cosine, cover, partial, answer)
+            df, z, passages = sketch(docs, bench, rank)
+            found = search(docs, bench, df, latent_space(df, z, passages, rank), min_cosine, cover, partial, answer)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double")
