@@ -267,6 +267,17 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_short_lines_are_deduplicated(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "read more\n\none two three four five\nHome\n"), (2, "Read  More\n\none two other four five\nhome\nnew line"), (3, "one two three four\none two three four five six\nread more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "\nnew line", 3: "one two three four"}
+    assert {r["doc_id"]: r["text"] for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()} == want
+
+
 # 7
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

@@ -40,7 +40,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_words=1, near_words=5)
     return done.select("doc_id", "text", F.col("tidemark_lines.total").alias("n_lines"), F.col("tidemark_lines.dropped").alias("n_dropped"))
 
 
