@@ -29,14 +29,24 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, similarity, position`` of the ``k`` most similar rows of ``stored(vec_id, vec)`` for each query.
 
-    A stated query set goes against all rows in blocks of a known size; each task keeps its own best ``k`` of a query
-    (ranks are limited before the shuffle), so no query's rows meet in one task.
+    A stated query set of any size goes against all rows in blocks of ``BLOCK_QUERIES``; each task keeps its own best ``k``
+    of a query (ranks are limited before the shuffle), so no query's rows meet in one task.  A query_id's rows are in one block.
     """
-    rows = queries.select("query_id", "vec").collect() if queries.limit(BLOCK_QUERIES + 1).count() <= BLOCK_QUERIES else None
-    if rows is None:
-        raise ValueError(f"more than {BLOCK_QUERIES} query vectors: call with blocks of them")
-    if not rows:
+    rows = sorted(queries.select("query_id", "vec").toLocalIterator(), key=lambda r: (r["query_id"] is not None, r["query_id"] or 0))
+    out, at = None, 0
+    while at < len(rows):
+        end = min(at + BLOCK_QUERIES, len(rows))
+        while end < len(rows) and rows[end]["query_id"] == rows[end - 1]["query_id"]:
+            end += 1
+        found = _block_topk(stored, rows[at:end], k)
+        out, at = found if out is None else out.unionByName(found), end
+    if out is None:
         return stored.select(F.lit(None).cast("long").alias("query_id"), "vec_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("position")).limit(0)
+    return out
+
+
+def _block_topk(stored: DataFrame, rows: list, k: int) -> DataFrame:
+    """:func:`vector_topk` of one block of query rows."""
     block = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["vec"]]).alias("q")) for r in rows])
     pairs = stored.select("vec_id", "vec", F.explode(block).alias("x")).select("x.query_id", "vec_id", F.bround(cosine(F.col("vec"), F.col("x.q")), 4).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id")
