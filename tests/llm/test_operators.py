@@ -118,6 +118,16 @@ def test_decontamination(spark):
     assert decontam.find_leaks(empty(spark), bench).count() == 0 and decontam.find_leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_with_null_and_repeated_ids_go(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, prose(1000 + k, 40)) for k in range(3)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = f"{prose(1, 30)} {prose(1001, 40)}"
+    rows = [(None, leak), (None, prose(2, 50)), (7, leak), (7, prose(3, 50)), (8, None)] + [(20 + k, prose(30 + k, 50)) for k in range(10)]
+    left = corpus_pipeline.benchmark_decontamination(spark, frame(spark, rows), str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter(x for x in rows if x[1] != leak)
+
+
 @pytest.mark.parametrize("others", [0, 40, 2])
 def test_widespread_leaks_are_found(spark, others):
     """A document alone in its table, a leak copied into a third of the rows, and one in nearly all of them."""

@@ -228,12 +228,12 @@ def _enough(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarra
 
 
 def search(docs: DataFrame, bench: Benchmark, df: np.ndarray, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
-    """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage`` of the leaks that pass the checks."""
+    """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage, th`` of the leaks that pass the checks; th is the text's hash."""
     terms, items, queries = bench.terms, bench.items, bench.queries()
     q = np.array([np.sum([space[terms[w]] for w in words], axis=0) for _, words in queries], np.float32)
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
     scale = np.array([next((s for s in SCALES if s * BLOCK >= len(words) + BLOCK), SCALES[-1]) for _, words in queries])
-    names = ["doc_id", "item_id", "cosine", "lcs_words", "coverage", "answer_coverage"]
+    names = ["doc_id", "item_id", "cosine", "lcs_words", "coverage", "answer_coverage", "th"]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lookup = _lookup(terms)
@@ -297,16 +297,16 @@ def search(docs: DataFrame, bench: Benchmark, df: np.ndarray, space: np.ndarray,
                 for (t, k), (common, last_part, cos) in best.items():
                     share = common / len(items[k][1])
                     if share >= cover or share >= partial and last_part >= answer:
-                        found.append((part["doc_id"].iloc[t], items[k][0], cos, common, share, last_part))
+                        found.append((part["doc_id"].iloc[t], items[k][0], cos, common, share, last_part, part["th"].iloc[t]))
             if found:
                 yield pd.DataFrame(found, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(work, "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double")
+    return rows.withColumn("th", F.xxhash64("text")).mapInPandas(work, "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double, th long")
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 96, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000
+    docs: DataFrame, benchmark: DataFrame, rank: int = 96, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000, hashes: bool = False
 ) -> DataFrame:
     """A row for every document and benchmark item found in it: ``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage``.
 
@@ -314,7 +314,8 @@ def find_leaks(
     of it with ``answer`` of its answer.  The benchmark is taken in blocks of about ``block_items`` items, so what is sent to
     the tasks has a bound; every block is compared with every text.  ``cosine`` may be below ``min_cosine`` where
     a window has ``partial`` of a passage's words.  Wordless items and texts never match; repeated rows
-    each give their leaks; an empty table on either side gives no rows; null ids are kept.
+    each give their leaks; an empty table on either side gives no rows; null ids are kept.  ``hashes`` adds ``th``, the xxhash64
+    of the text, which names a document with a null or repeated doc_id.
     """
     small_batches(docs.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -326,4 +327,6 @@ def find_leaks(
             df, z, passages = sketch(docs, bench, rank)
             found = search(docs, bench, df, latent_space(df, z, passages, rank), min_cosine, cover, partial, answer)
             out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double")
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double, th long")
+    return out if hashes else out.drop("th")
