@@ -1,10 +1,13 @@
 """Benchmark passages in documents, by latent semantic retrieval and checks of order and answer.
 
-Terms are the benchmark's words.  A randomised singular value decomposition of the corpus's TF-IDF passages (Nystroem form:
-one distributed pass gives document frequencies and the passages' Gram matrix times a random test matrix) yields a latent
-space in which every window of every text is compared with every benchmark passage by cosine.  A leak in a large share of
-the passages has little spread left in that space, so windows with enough words of a passage are taken too, whatever their
-cosine.  Close windows are then checked: the longest common subsequence of words must cover most of the item, or enough of it with its answer.
+Terms are the benchmark's words.  Every text is read once, as the numbers of its words' terms.  From these, one pass gives
+the passages' document frequencies and a second their weighted Gram matrix times a random test matrix (the Nystroem form
+of the randomised singular value decomposition of the TF-IDF passages).  In the latent space that results, windows of
+every text are compared with the benchmark's items by cosine.  Close windows are then checked: the longest common
+subsequence of words must cover most of the item, or enough of it with its answer.
+
+A window gets a vector only where it holds so many of an item's rarest words that it could pass the check at all, which an
+inverted index of these words tells; that spares vectors and loses no leak.
 """
 
 from __future__ import annotations
@@ -13,36 +16,39 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Recent, kept_by_worker, small_batches
+from tidemark.llm.common import small_batches, written
 
-#: Words per block; windows are whole blocks and start at every block.
-BLOCK = 8
 #: Words per passage in the decomposition.
 PASSAGE = 32
 #: IDF that a term has at least: no share of the passages takes a leak's words away.
 LEAST_IDF = 0.05
-#: Window lengths in blocks; a query takes the shortest that holds it wherever it begins.
-SCALES = (2, 4, 8)
-#: Words that a query has at most; longer items are several.
-QUERY_WORDS = SCALES[-1] * BLOCK - BLOCK
-EDGE = "\"'`.,;:!?()[]{}<>*#$%&|/\\-_=+~^@…«»“”‘’¿¡"
-#: Documents whose vectors a task has at once.
-DOCUMENTS = 128
-#: Words whose terms a task remembers (at most twice as many).
-CACHE_WORDS = 250_000
+#: ASCII marks, and other marks and white space: they part words.
+MARKS = bytes.maketrans(b"\"'`.,;:!?()[]{}<>*#$%&|/\\-_=+~^@\x1c\x1d\x1e\x1f", b" " * 36)
+OTHER_MARKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000«»“”‘’…¿¡]")
+#: Documents that a task works on at once.
+DOCUMENTS = 256
+#: Cells of a task's Gram matrix; with more terms, columns are combined by random signs.
+CELLS = 1 << 20
+
+
+def plain(text: str | None) -> bytes:
+    """The text lower-cased in UTF-8, with spaces in place of marks: what stands between white space is a word."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = OTHER_MARKS.sub(" ", text)
+    return text.encode("utf-8", "replace").translate(MARKS).strip()
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased words without marks at their edges; what is only marks is no word."""
-    return [w for x in (text or "").lower().split() if (w := x.strip(EDGE))]
+    return plain(text).decode().split()
 
 
 def answer_of(text: str | None) -> list[str]:
@@ -67,133 +73,121 @@ class Benchmark:
         items = [x for x in items if x[1]]
         return cls(items, {w: k for k, w in enumerate(sorted({w for _, words, _ in items for w in words}))})
 
-    def queries(self) -> list[tuple[int, list[str]]]:
-        """Item number and words of each passage to look for; a long item's passages overlap by half."""
-        out = []
-        for k, (_, words, _) in enumerate(self.items):
-            step = QUERY_WORDS // 2
-            out += [(k, words[i : i + QUERY_WORDS]) for i in range(0, max(1, len(words) - step), step)] if len(words) > QUERY_WORDS else [(k, words)]
-        return out
 
+def term_numbers(terms: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' terms one after another (words that are no terms get the number of terms), and the number of words of each."""
+    words = pc.ascii_split_whitespace(pa.array([plain(t) or None for t in texts], pa.binary()).cast(pa.string()))
+    size = pc.list_value_length(words).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    found = pc.index_in(words.flatten(), value_set=pa.array(list(terms), pa.string()))
+    return found.fill_null(len(terms)).to_numpy(zero_copy_only=False), size
 
-class Terms:
-    """Term numbers of whole texts' words; words that are no terms get the number of terms."""
 
-    def __init__(self, terms: dict[str, int]):
-        other = len(terms)
-        self.known = Recent(CACHE_WORDS, lambda x: terms.get(x.strip(EDGE), other))
+def _pieces(size: np.ndarray, length: int) -> np.ndarray:
+    """For each word of texts of ``size`` words, one after another, the number of its piece of ``length`` words; pieces do not cross texts."""
+    count = -(-size // length)
+    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(np.cumsum(count) - count, size) + within // length
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' terms one after another, and the number of words of each."""
-        self.known.turn()
-        split = [(t or "").lower().split() for t in texts]
-        size = np.fromiter(map(len, split), np.int64, len(split))
-        return np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(size.sum())), size
 
+def numbered(docs: DataFrame, bench: Benchmark) -> DataFrame:
+    """``doc_id, th, ids`` of every text with its words' terms (th is the text's hash), and ``term, n``: each task's document frequencies.
 
-def _lookup(terms: dict[str, int]) -> Terms:
-    """A worker's lookup of these terms, kept from task to task."""
-    return kept_by_worker(f"terms {xxhash.xxh3_128_hexdigest(' '.join(terms))}", lambda: Terms(terms))
+    ``ids`` are unsigned integers of 16 bits (32 where there are more terms).  Term number ``len(terms)`` stands for all
+    other words; its n counts the passages.
+    """
+    terms, other = bench.terms, len(bench.terms)
+    kind = _kind(other)
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        df = np.zeros(other + 1, np.int64)
+        for b in batches:
+            for at in range(0, len(b), DOCUMENTS):
+                part = b.iloc[at : at + DOCUMENTS]
+                ids, size = term_numbers(terms, part["text"].tolist())
+                if len(ids):
+                    piece = _pieces(size, PASSAGE)
+                    order = np.argsort(ids.astype(kind), kind="stable")  # short numbers are sorted by digits
+                    term, piece_of = ids[order], piece[order]
+                    new = np.append(True, (term[1:] != term[:-1]) | (piece_of[1:] != piece_of[:-1]))
+                    df[:other] += np.bincount(term[new], minlength=other + 1)[:other]
+                    df[other] += piece[-1] + 1
+                ends, ids = np.cumsum(size).tolist(), ids.astype(kind)
+                yield pd.DataFrame({"doc_id": part["doc_id"], "th": part["th"], "ids": [ids[e - n : e].tobytes() for n, e in zip(size.tolist(), ends)]})
+        yield pd.DataFrame({"term": np.arange(other + 1), "n": df})
 
-def _sums(vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of ``vectors`` over each piece's ids; ids whose vector is zero (no terms) are passed over."""
-    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    term = np.flatnonzero(vectors.any(axis=1)[ids])
-    out = np.zeros((len(starts), vectors.shape[1]), vectors.dtype)
-    if len(term):
-        own = piece[term]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out[own[first]] = np.add.reduceat(vectors[ids[term]], first)
-    return out
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for out in work(batches):
+            out = out.reindex(columns=["doc_id", "th", "ids", "term", "n"])
+            yield out.astype({"doc_id": "Int64", "th": "Int64", "term": "Int64", "n": "Int64"})
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    return written(rows.mapInPandas(whole, "doc_id long, th long, ids binary, term int, n long"), "numbered")
 
-def _pieces(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the pieces of at most ``length`` words that each text is cut into, and each piece's text."""
-    count = -(-size // length)
-    text = np.repeat(np.arange(len(size)), count)
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return np.repeat(np.cumsum(size) - size, count) + within * length, text
-
-
-def _held(member: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many of each block's words ``member`` marks for each query; it has a row per term and one for other words."""
-    out = np.zeros((len(starts), member.shape[1]), np.uint8)
-    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-    marked = np.flatnonzero(member.any(axis=1)[ids])
-    for at in range(0, len(marked), 8192):
-        own = piece[marked[at : at + 8192]]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        out[own[first]] += np.add.reduceat(member[ids[marked[at : at + 8192]]], first, dtype=np.uint8)
-    return out
 
+def _kind(terms: int) -> str:
+    return "<u2" if terms < 65_535 else "<u4"
 
-def rare_words(words: list[int], df: np.ndarray, partial: float) -> tuple[list[int], int]:
-    """A query's rarest seven tenths of words, and how many of them a window with ``partial`` of all its words has at least."""
-    need = math.ceil(partial * len(words))
-    rare = sorted(words, key=lambda w: (df[w], w))[: max(-(-7 * len(words) // 10), len(words) - need + 1)]
-    return rare, need - (len(words) - len(rare))
+
+def _joined(ids: list[bytes], terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers of texts one after another, and the number of words of each."""
+    kind = np.dtype(_kind(terms))
+    size = np.fromiter((len(x) // kind.itemsize for x in ids), np.int64, len(ids))
+    return np.frombuffer(b"".join(ids), kind).astype(np.int64), size
 
 
 def _test_matrix(terms: int, rank: int) -> np.ndarray:
-    return np.vstack([np.random.default_rng(7).standard_normal((terms, rank)), np.zeros((1, rank))]).astype(np.float32)
+    return np.random.default_rng(7).standard_normal((terms, rank))
 
 
-def sketch(docs: DataFrame, bench: Benchmark, rank: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Document frequency of each term, passages' Gram matrix times the test matrix, and the number of passages.
+def sketch(texts: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
+    """The TF-IDF passages' Gram matrix times the test matrix, a row per term.
 
-    Each task adds up its passages and sends one row per term; Spark adds the tasks' rows.
+    A task counts the pairs of terms in its passages, weights them and sends one row per term; Spark adds the tasks' rows.
     """
-    terms, n_terms = bench.terms, len(bench.terms)
+    n = len(idf)
+    width = n if n * n <= CELLS else max(rank, CELLS // n)
     columns = [f"z{k}" for k in range(rank)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup, test = _lookup(terms), _test_matrix(n_terms, rank)
-        df, z = np.zeros(n_terms + 1, np.int64), np.zeros((n_terms + 1, rank))
+        rng = np.random.default_rng(5)
+        column, sign = (np.arange(n), np.ones(n)) if width == n else (rng.integers(0, width, n), rng.choice([-1.0, 1.0], n))
+        gram, alone = np.zeros(n * width), np.zeros(n)
         for b in batches:
             for at in range(0, len(b), DOCUMENTS):
-                ids, size = lookup(b["text"].iloc[at : at + DOCUMENTS].tolist())
-                starts, _ = _pieces(size, PASSAGE)
-                df[n_terms] += len(starts)
-                rows = _sums(test, ids, starts)
-                passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-                order = np.argsort(ids.astype(np.uint16) if n_terms < 65_536 else ids, kind="stable")  # short keys are sorted by digits
-                order = order[: np.count_nonzero(ids < n_terms)]
-                term, own = ids[order], passage[order]
-                if len(order):
-                    first = np.flatnonzero(np.append(True, term[1:] != term[:-1]))
-                    z[term[first]] += np.add.reduceat(rows[own], first)
-                    new = np.append(True, (term[1:] != term[:-1]) | (own[1:] != own[:-1]))
-                    df += np.bincount(term[new], minlength=n_terms + 1)
-        out = pd.DataFrame(z, columns=columns)
-        out.insert(0, "df", df)
-        out.insert(0, "term", np.arange(n_terms + 1))
+                ids, size = _joined(b["ids"].iloc[at : at + DOCUMENTS].tolist(), n)
+                known = np.flatnonzero(ids < n)
+                t, piece = ids[known], _pieces(size, PASSAGE)[known]
+                alone += np.bincount(t, minlength=n)
+                for d in range(1, min(PASSAGE, len(t))):
+                    near = np.flatnonzero(piece[d:] == piece[:-d])
+                    x, y = t[near], t[near + d]
+                    np.add.at(gram, x * width + column[y], sign[y])
+                    np.add.at(gram, y * width + column[x], sign[x])
+        test = _test_matrix(n, rank) * idf[:, None]
+        small = np.zeros((width, rank))
+        np.add.at(small, column, test * sign[:, None])
+        z = gram.reshape(n, width) @ small
+        out = pd.DataFrame((z + alone[:, None] * test) * idf[:, None], columns=columns)
+        out.insert(0, "term", np.arange(n))
         yield out
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInPandas(work, "term int, df long, " + ", ".join(f"{c} double" for c in columns))
-    total = rows.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("term")
-    df = total["df"].to_numpy() if len(total) else np.zeros(n_terms + 1, np.int64)
-    z = total[columns].to_numpy() if len(total) else np.zeros((n_terms + 1, rank))
-    return df[:-1], z[:-1], int(df[-1])
+    rows = texts.select("ids").mapInPandas(work, "term int, " + ", ".join(f"{c} double" for c in columns))
+    total = rows.groupBy("term").agg(*[F.sum(c).alias(c) for c in columns]).toPandas().sort_values("term")
+    return total[columns].to_numpy() if len(total) else np.zeros((n, rank))
 
 
-def latent_space(df: np.ndarray, z: np.ndarray, passages: int, rank: int) -> np.ndarray:
+def latent_space(idf: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Each term's latent vector times its IDF; the last row, for all other words, is zero.
 
-    Latent axes are scaled to equal spread over the corpus, so that those of frequent words do not rule the cosine.  A
-    term in all passages still has ``LEAST_IDF``, so a leak copied into most of them is found.
+    Axes keep a fourth root of their spread, so that those of frequent words do not rule the cosine.
     """
-    idf = np.maximum(np.log((1 + passages) / (1 + df)), LEAST_IDF)
-    test = _test_matrix(len(df), rank)[:-1].astype(float)
-    core = test.T @ z
+    core = _test_matrix(*z.shape).T @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > max(values.max(), 0) * 1e-9 if len(values) else np.zeros(0, bool)
-    if not good.any():
-        return np.zeros((len(df) + 1, rank), np.float32)
-    half = vectors[:, good] / np.sqrt(values[good])
-    space, spread, _ = np.linalg.svd((idf[:, None] * z) @ half, full_matrices=False)
-    out = np.zeros((len(df) + 1, rank), np.float32)
-    out[:-1, : space.shape[1]] = idf[:, None] * space / np.maximum(spread, spread.max() * 1e-6)
+    out = np.zeros((len(idf) + 1, z.shape[1]))
+    if good.any():
+        space, spread, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        out[:-1, : space.shape[1]] = idf[:, None] * space / np.maximum(spread, spread.max() * 1e-6) ** 0.75
     return out
 
 
@@ -214,108 +208,133 @@ def masks_of(words: list[int]) -> dict[int, int]:
     return out
 
 
-def _enough(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray, has: np.ndarray, wanted: np.ndarray, need: np.ndarray) -> np.ndarray:
-    """Which windows ``ids[begin:end]`` may have a common subsequence of ``need`` words with their item.
+def rare_words(words: list[int], df: np.ndarray, partial: float) -> tuple[list[int], int]:
+    """An item's rarest eleven twentieths of words, and how many of them a window with ``partial`` of all its words has at least."""
+    need = math.ceil(partial * len(words))
+    rare = sorted(words, key=lambda w: (df[w], w))[: max(-(-11 * len(words) // 20), len(words) - need + 1)]
+    return rare, need - (len(words) - len(rare))
 
-    Two bounds: the window's words that are words of the item (``has``), and the item's words (``wanted``, padded with -1)
-    that are in the window.
-    """
-    at = begin[:, None] + np.arange((end - begin).max())
-    there = np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], has.shape[1] - 1)
-    first = np.flatnonzero(has[item[:, None], there].sum(axis=1) >= need)
-    present = [np.isin(wanted[item[k]], there[k]).sum() for k in first] if there.shape[1] > 1024 else (wanted[item[first]][:, :, None] == there[first][:, None, :]).any(axis=2).sum(axis=1)
-    return first[np.asarray(present) >= need[first]]
 
+@dataclass
+class Index:
+    """The items' words, their rarest ones by term, and their latent vectors."""
+
+    length: np.ndarray
+    masks: list[tuple[dict[int, int], dict[int, int], int]]
+    first: np.ndarray  # where each term's items begin in ``items``
+    items: np.ndarray
+    least: np.ndarray
+    words: np.ndarray  # a row per item, filled up with -1
+    need: np.ndarray
+    vectors: np.ndarray
+    space: np.ndarray
 
-def search(docs: DataFrame, bench: Benchmark, df: np.ndarray, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
-    """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage, th`` of the leaks that pass the checks; th is the text's hash."""
-    terms, items, queries = bench.terms, bench.items, bench.queries()
-    q = np.array([np.sum([space[terms[w]] for w in words], axis=0) for _, words in queries], np.float32)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
-    scale = np.array([next((s for s in SCALES if s * BLOCK >= len(words) + BLOCK), SCALES[-1]) for _, words in queries])
-    names = ["doc_id", "item_id", "cosine", "lcs_words", "coverage", "answer_coverage", "th"]
+    @classmethod
+    def of(cls, bench: Benchmark, df: np.ndarray, space: np.ndarray, partial: float) -> Index:
+        numbers = [([bench.terms[w] for w in words], [bench.terms[w] for w in last]) for _, words, last in bench.items]
+        rare = [rare_words(words, df, partial) for words, _ in numbers]
+        pairs = np.array(sorted({(t, k) for k, (words, _) in enumerate(rare) for t in words}), np.int64)
+        vectors = np.array([space[words].sum(axis=0) for words, _ in numbers])
+        length = np.array([len(words) for words, _ in numbers])
+        table = np.full((len(length), length.max()), -1, np.int64)
+        for k, (words, _) in enumerate(numbers):
+            table[k, : len(words)] = words
+        return cls(
+            length, [(masks_of(words), masks_of(last), len(last)) for words, last in numbers],
+            np.searchsorted(pairs[:, 0], np.arange(len(bench.terms) + 2)), pairs[:, 1], np.array([n for _, n in rare]), table, np.ceil(partial * length),
+            vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), space,
+        )
+
+    def strides(self) -> np.ndarray:
+        """Windows of an item start at multiples of half its length and are two and a half times as long."""
+        return np.maximum(self.length // 2, 1)
+
+    def windows(self, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Item, text, begin and end of every window that has the least number of the item's rarest words."""
+        n_items = self.first[ids + 1] - self.first[ids]
+        at = np.flatnonzero(n_items)
+        count = n_items[at]
+        own = np.repeat(at, count)
+        item = self.items[np.repeat(self.first[ids[at]] - (np.cumsum(count) - count), count) + np.arange(len(own))]
+        order = np.argsort(item, kind="stable")
+        item, own = item[order], own[order]
+        text = np.repeat(np.arange(len(size)), size)
+        start = np.cumsum(size) - size
+        last = np.minimum(np.arange(len(own)) + self.least[item] - 1, max(len(own) - 1, 0))
+        enough = (np.arange(len(own)) + self.least[item] <= len(own)) & (item[last] == item)
+        hit = np.flatnonzero(enough)
+        a, b = own[hit], own[last[hit]]
+        near = (text[a] == text[b]) & (b - a < 2 * self.length[item[hit]] + self.strides()[item[hit]])
+        hit, a, b = hit[near], a[near], b[near]
+        item, doc, stride = item[hit], text[a], self.strides()[item[hit]]
+        a, b = a - start[doc], b - start[doc]
+        reach = 2 * self.length[item] + stride
+        low, high = np.maximum(-(-(b + 1 - reach) // stride), 0), a // stride
+        found = [np.column_stack([item, doc, (low + j) * stride])[low + j <= high] for j in range(int((high - low).max(initial=-1)) + 1)]
+        item, doc, begin = np.unique(np.concatenate(found), axis=0).T if found else np.zeros((3, 0), np.int64)
+        end = np.minimum(begin + 2 * self.length[item] + self.strides()[item], size[doc]) + start[doc]
+        out = item, doc, begin + start[doc], end
+        keep = [self._enough(ids, *(x[k : k + 256] for x in (item, out[2], end))) for k in range(0, len(item), 256)]
+        return tuple(x[np.concatenate(keep)] for x in out) if keep else out
+
+    def _enough(self, ids: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which windows hold so many of their item's words that the common subsequence can be long enough, whatever the order."""
+        at = begin[:, None] + np.arange((end - begin).max())
+        there = np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], len(self.space))
+        count = np.zeros(len(item), np.int64)
+        for k in range(0, self.words.shape[1], 16):
+            count += (self.words[item, k : k + 16][:, :, None] == there[:, None, :]).any(axis=2).sum(axis=1)
+        return count >= self.need[item]
+
+    def cosine(self, ids: np.ndarray, item: int, begin: int, end: int) -> float:
+        """Of the item and the part of a window from the first to the last of the item's words."""
+        masks = self.masks[item][0]
+        there = [k for k, w in enumerate(ids[begin:end].tolist()) if w in masks]
+        vector = self.space[ids[begin + there[0] : begin + there[-1] + 1]].sum(axis=0)
+        return float(vector @ self.vectors[item] / max(np.linalg.norm(vector), 1e-12))
+
+
+def search(texts: DataFrame, bench: Benchmark, df: np.ndarray, space: np.ndarray, min_cosine: float, cover: float, partial: float, answer: float) -> DataFrame:
+    """``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage, th`` of the leaks that pass the checks."""
+    index, ids_of = Index.of(bench, df, space, partial), [x[0] for x in bench.items]
+    names, n_terms = ["doc_id", "item_id", "cosine", "lcs_words", "coverage", "answer_coverage", "th"], len(bench.terms)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup = _lookup(terms)
-        numbers = [([terms[w] for w in words], [terms[w] for w in last]) for _, words, last in items]
-        item_masks = [(masks_of(words), masks_of(last), len(words), len(last)) for words, last in numbers]
-        has = np.zeros((len(items), len(terms) + 1), bool)
-        for k, (words, _) in enumerate(numbers):
-            has[k, words] = True
-        wanted = np.full((len(items), max(len(words) for words, _ in numbers)), -1, np.int32)
-        for k, (words, _) in enumerate(numbers):
-            wanted[k, : len(words)] = words
-        length = np.array([len(words) for words, _ in numbers])
-        by_scale = {s: np.flatnonzero(scale == s) for s in SCALES}
-        number = np.array([k for k, _ in queries])
-        member = np.zeros((len(terms) + 1, len(queries)), np.uint8)
-        least = np.ones(len(queries), np.int64)
-        for k, (_, words) in enumerate(queries):
-            rare, least[k] = rare_words([terms[w] for w in words], df, partial)
-            member[rare, k] = 1
         for b in batches:
             found = []
             for at in range(0, len(b), DOCUMENTS):
                 part = b.iloc[at : at + DOCUMENTS]
-                ids, size = lookup(part["text"].tolist())
-                if not len(ids):
-                    continue
-                starts, text = _pieces(size, BLOCK)
-                ends = np.cumsum(size)
-                left = np.searchsorted(text, text, side="right") - np.arange(len(text))  # blocks to the text's end
+                ids, size = _joined(part["ids"].tolist(), n_terms)
                 best: dict[tuple[int, int], tuple] = {}
-                window, held, reach = _sums(space, ids, starts), _held(member, ids, starts), 1
-                for s in SCALES:
-                    while reach < s:  # twice the blocks each time, within the text
-                        more = np.zeros_like(window)
-                        more[:-reach] = np.where((left[:-reach] > reach)[:, None], window[reach:], 0)
-                        held[:-reach] += np.where((left[:-reach] > reach)[:, None], held[reach:], 0).astype(np.uint8)
-                        window, reach = window + more, 2 * reach
-                    mine = by_scale[s]
-                    if not len(mine):
-                        continue
-                    unit = window / np.maximum(np.linalg.norm(window, axis=1, keepdims=True), 1e-9)
-                    for low in range(0, len(mine), 512):
-                        cosine = unit @ q[mine[low : low + 512]].T
-                        some = mine[low : low + 512]
-                        row, col = np.nonzero((cosine >= min_cosine) | (held[:, some] >= least[some]))
-                        item = number[mine[low + col]]
-                        spare = np.where(length[item] <= QUERY_WORDS, BLOCK, length[item])  # a long item reaches beyond its passage's window
-                        begin = np.maximum(starts[row] - spare, (ends - size)[text[row]])
-                        end = np.minimum(starts[row] + s * BLOCK + spare, ends[text[row]])
-                        for k in range(0, len(row), 256):
-                            sl = slice(k, k + 256)
-                            enough = _enough(ids, begin[sl], end[sl], item[sl], has, wanted, partial * length[item[sl]]) + k
-                            for i in enough.tolist():
-                                key = int(text[row[i]]), int(item[i])
-                                masks, last, n, n_last = item_masks[key[1]]
-                                near = ids[begin[i] : end[i]].tolist()
-                                common = common_length(near, masks)
-                                if common >= partial * n:
-                                    got = (common, common_length(near, last) / n_last, float(cosine[row[i], col[i]]))
-                                    best[key] = max(best.get(key, got), got)
-                for (t, k), (common, last_part, cos) in best.items():
-                    share = common / len(items[k][1])
-                    if share >= cover or share >= partial and last_part >= answer:
-                        found.append((part["doc_id"].iloc[t], items[k][0], cos, common, share, last_part, part["th"].iloc[t]))
+                for item, doc, begin, end in zip(*(x.tolist() for x in index.windows(ids, size))):
+                    cosine = index.cosine(ids, item, begin, end)
+                    if cosine >= min_cosine:
+                        words, (masks, last, n_last) = ids[begin:end].tolist(), index.masks[item]
+                        common = common_length(words, masks)
+                        if common >= partial * index.length[item]:
+                            got = (common, common_length(words, last) / n_last, cosine)
+                            best[doc, item] = max(best.get((doc, item), got), got)
+                for (doc, item), (common, last_part, cosine) in best.items():
+                    share = common / int(index.length[item])
+                    if share >= cover or last_part >= answer:
+                        found.append((part["doc_id"].iloc[doc], ids_of[item], cosine, common, share, last_part, part["th"].iloc[doc]))
             if found:
                 yield pd.DataFrame(found, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("th", F.xxhash64("text")).mapInPandas(work, "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double, th long")
+    return texts.select("doc_id", "th", "ids").mapInPandas(work, "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double, th long")
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, rank: int = 96, min_cosine: float = 0.5, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 1_000, hashes: bool = False
+    docs: DataFrame, benchmark: DataFrame, rank: int = 96, min_cosine: float = 0.25, cover: float = 0.8, partial: float = 0.6, answer: float = 0.75, block_items: int = 2_000, hashes: bool = False
 ) -> DataFrame:
     """A row for every document and benchmark item found in it: ``doc_id, item_id, cosine, lcs_words, coverage, answer_coverage``.
 
-    ``coverage`` is the common subsequence's share of the item's words.  A leak covers ``cover`` of the item, or ``partial``
-    of it with ``answer`` of its answer.  The benchmark is taken in blocks of about ``block_items`` items, so what is sent to
-    the tasks has a bound; every block is compared with every text.  ``cosine`` may be below ``min_cosine`` where
-    a window has ``partial`` of a passage's words.  Wordless items and texts never match; repeated rows
-    each give their leaks; an empty table on either side gives no rows; null ids are kept.  ``hashes`` adds ``th``, the xxhash64
-    of the text, which names a document with a null or repeated doc_id.
+    ``coverage`` is the common subsequence's share of the item's words, within a window of two and a half times the item's
+    length.  A leak covers ``cover`` of the item, or ``partial`` of it with ``answer`` of its answer, in a window whose
+    part with the item's words has a cosine of ``min_cosine`` or more.  The benchmark is taken in blocks of about
+    ``block_items`` items, so what is sent to the tasks has a bound; every block is compared with every text.  Wordless
+    items and texts never match; repeated rows each give their leaks; an empty table on either side gives no rows; null
+    ids are kept.  ``hashes`` adds ``th``, the xxhash64 of the text, which names a document with a null or repeated doc_id.
     """
     small_batches(docs.sparkSession)
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -324,8 +343,13 @@ def find_leaks(
     for k in range(parts):
         bench = Benchmark.of(rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect())
         if bench.items:
-            df, z, passages = sketch(docs, bench, rank)
-            found = search(docs, bench, df, latent_space(df, z, passages, rank), min_cosine, cover, partial, answer)
+            both = numbered(docs, bench)
+            counts, texts = both.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect(), both.where("term is null").drop("term", "n")
+            df = np.zeros(len(bench.terms) + 1, np.int64)
+            for r in counts:
+                df[r["term"]] = r["n"]
+            idf = np.maximum(np.log((1 + df[-1]) / (1 + df[:-1])), LEAST_IDF)
+            found = search(texts, bench, df, latent_space(idf, sketch(texts, idf, rank)), min_cosine, cover, partial, answer)
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, coverage double, answer_coverage double, th long")
