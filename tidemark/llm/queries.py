@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as vocabulary
 
 from tidemark.llm import decontam, line_dedup, line_quality, main_text, pii, piece_codec, simhash, site_quality, token_store, warc
 
-#: Where the public vocabularies lie.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+#: The public vocabularies that the queries use.
+PIECES, WORDS = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +27,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return line_quality.quality_rules(docs, line_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return line_quality.quality_rules(docs, line_quality.fit(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "pages")))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.token_store(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=2)
+    return token_store.token_store(table(spark, sf_dir, "documents"), WORDS, end_id=2)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return site_quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "tidemark_quality.*")
+    return site_quality.classify(docs, table(spark, sf_dir, "labels"), columns=["doc_id"]).select("doc_id", "tidemark_quality.*")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -111,22 +111,24 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, documents: int = 20_000, threshold: float = 0.5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, documents: int = 20_000, threshold: float = 0.5, columns: list[str] | None = None) -> DataFrame:
     """``docs`` with a struct ``tidemark_quality(evidence, prior, posterior, kept)`` for every row.
 
     Host is ``source``, path is ``source`` with ``lang``; null ones are groups of their own.  Without labels of both
     kinds there is no evidence: posteriors are 0.5 and all rows are kept.  A null or empty text has only its length's
-    evidence.  Repeated rows count as often as they occur and get equal verdicts.
+    evidence.  Repeated rows count as often as they occur and get equal verdicts.  ``columns`` names those of ``docs``
+    that are wanted (all by default); texts are read once, and the wanted columns are written with their evidence.
     """
     model = fit(docs, labels, documents)
     evidence = model.logit(F.col("text")) if model else F.lit(0.0)
-    host, path = F.col("source").cast("string"), F.col("lang").cast("string")
-    scored = docs.select(host.alias("host"), path.alias("path"), (1 / (1 + F.exp(-evidence))).alias("p"))
+    columns = docs.columns if columns is None else columns
+    inner = {"tidemark_host": F.col("source").cast("string"), "tidemark_path": F.col("lang").cast("string"), "tidemark_evidence": evidence}
+    rows = written(docs.select(*[F.col(f"`{c}`") for c in columns], *[c.alias(k) for k, c in inner.items()]), "evidence")
+    scored = rows.select(F.col("tidemark_host").alias("host"), F.col("tidemark_path").alias("path"), (1 / (1 + F.exp(-F.col("tidemark_evidence")))).alias("p"))
     priors, mean = posteriors(scored)
     priors = written(priors, "priors").alias("q")
-    rows = docs.withColumn("tidemark_evidence", evidence).alias("d")
-    match = F.col("d.source").cast("string").eqNullSafe(F.col("q.host")) & F.col("d.lang").cast("string").eqNullSafe(F.col("q.path"))
+    match = F.col("d.tidemark_host").eqNullSafe(F.col("q.host")) & F.col("d.tidemark_path").eqNullSafe(F.col("q.path"))
     total = F.col("d.tidemark_evidence") + _logit(F.col("q.prior")) - _logit(F.lit(float(mean)))
     posterior = 1 / (1 + F.exp(-total))
     verdict = F.struct(F.col("d.tidemark_evidence").alias("evidence"), F.col("q.prior").alias("prior"), posterior.alias("posterior"), (posterior >= threshold).alias("kept"))
-    return rows.join(priors, match, "left").select(*[F.col(f"d.`{c}`") for c in docs.columns], verdict.alias("tidemark_quality"))
+    return rows.alias("d").join(priors, match, "left").select(*[F.col(f"d.`{c}`") for c in columns], verdict.alias("tidemark_quality"))
