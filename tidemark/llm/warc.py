@@ -22,7 +22,7 @@ from tidemark.llm.common import scratch, written
 from tidemark.llm.files import open_at, put
 
 MAGIC, BREAK = b"WARC/1.0\r\n", b"\r\n\r\n"
-#: A record's header is at most this long; longer ones are no candidates and are never written.
+#: Bytes that are read beyond a block for a header that crosses its end, and then again until the header is whole.
 HEADER_BYTES = 1 << 16
 #: Repeated payloads (50 bytes each) that are sent to all tasks at most.
 BROADCAST_DIGESTS = 200_000
@@ -56,7 +56,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def record(page_id: int | None, url: str, html: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record with its closing line breaks.  Control characters and spaces in the address are percent-encoded."""
-    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)[:8192]
+    url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
     block = http + (html if refers_to is None else b"")
     head = [f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
@@ -98,7 +98,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = 64 << 20, mi
 
 def parse_header(raw: bytes, at: int) -> tuple[int, dict[str, str]] | None:
     """Where the block begins and the named fields, of a record header at ``at`` in ``raw``; None if it is none."""
-    end = raw.find(BREAK, at, at + HEADER_BYTES)
+    end = raw.find(BREAK, at)
     if end < 0:
         return None
     fields = {}
@@ -110,6 +110,15 @@ def parse_header(raw: bytes, at: int) -> tuple[int, dict[str, str]] | None:
     return (end + len(BREAK), fields) if fields.get("content-length", "").isdecimal() and "warc-type" in fields else None
 
 
+def whole_header(f, raw: bytes, begin: int, at: int, size: int) -> bytes:
+    """``raw``, which starts at ``begin`` in the file, with more of the file until the header at ``at`` ends."""
+    more = HEADER_BYTES
+    while raw.find(BREAK, at) < 0 and begin + len(raw) < size:
+        raw += f.read_at(min(more, size - begin - len(raw)), begin + len(raw))
+        more *= 2
+    return raw
+
+
 def candidates(files: DataFrame, block_bytes: int) -> DataFrame:
     """``path, off, next`` of every header-like place; next is where its chain leaves the block (-1: it breaks off)."""
     spans = files.select("path", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(block_bytes))).alias("begin"))
@@ -120,11 +129,12 @@ def candidates(files: DataFrame, block_bytes: int) -> DataFrame:
                 stop = min(begin + block_bytes, size)
                 with open_at(path) as f:
                     raw = f.read_at(min(stop + HEADER_BYTES, size) - begin, begin)
-                exits, at = {}, raw.find(MAGIC)
-                while 0 <= at < stop - begin:
-                    if head := parse_header(raw, at):
-                        exits[begin + at] = begin + head[0] + int(head[1]["content-length"]) + len(BREAK)
-                    at = raw.find(MAGIC, at + 1)
+                    exits, at = {}, raw.find(MAGIC)
+                    while 0 <= at < stop - begin:
+                        raw = whole_header(f, raw, begin, at, size)
+                        if head := parse_header(raw, at):
+                            exits[begin + at] = begin + head[0] + int(head[1]["content-length"]) + len(BREAK)
+                        at = raw.find(MAGIC, at + 1)
                 for off in sorted(exits, reverse=True):  # later ones are resolved already
                     to = exits[off]
                     exits[off] = exits.get(to, -1) if to < stop else to if to <= size else -1
@@ -169,6 +179,7 @@ def read_archives(files: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
                 with open_at(path) as f:
                     raw, begin = f.read_at(min(stop + HEADER_BYTES, size) - off, off), off
                     while off < stop:
+                        raw = whole_header(f, raw, begin, off - begin, size)
                         at, fields = parse_header(raw, off - begin)
                         end = begin + at + int(fields["content-length"])
                         block = raw[at : end - begin] if end - begin <= len(raw) else f.read_at(end - begin - at, begin + at)
