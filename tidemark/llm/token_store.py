@@ -34,6 +34,8 @@ from tidemark.llm.files import open_at, put
 
 MAGIC, END = b"TIDS0001", b"TIDSEND1"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u4"), ("ids", "<u8")])
+#: Bytes of ids in a sample for the dictionary, and of texts in a range of documents (several shards, where their frames are more).
+SAMPLE_BYTES, RANGE_BYTES = 16_384, 128 << 20
 #: Words whose ids a worker surely remembers; it may hold twice as many.
 CACHE_WORDS = 250_000
 
@@ -85,63 +87,82 @@ class WordEncoder:
         return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) for t in texts]
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 65_536, documents: int = 1_000) -> bytes:
-    """A dictionary from the ids of at most ``documents`` documents, those whose ids hash lowest.
+def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 65_536, documents: int = 1_000, samples: int = 4_096) -> bytes:
+    """A dictionary from the ids of at most ``documents`` documents, those whose doc_ids hash lowest.
 
-    Empty where the sample is too small to train on; frames are then compressed without one.
+    Tasks cut these documents' ids into samples of 16 KB; at most ``samples`` of them, those that hash lowest, train the
+    dictionary, which bounds what the driver holds.  Where they are too few to train on, their own ids are the dictionary;
+    it is empty where no document has ids.
     """
-    ids = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    rows = docs.join(F.broadcast(ids), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).orderBy("text").collect()
-    ids = [x[:16_384] for x in WordEncoder(tokenizer)([r["text"] for r in rows]) if x]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = kept_by_worker(f"words {tokenizer}", lambda: WordEncoder(tokenizer))
+        for b in batches:
+            ids = encode(b["text"].tolist())
+            yield pd.DataFrame({"ids": [x[k : k + SAMPLE_BYTES] for x in ids for k in range(0, len(x), SAMPLE_BYTES)]})
+
+    chosen = docs.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInPandas(work, "ids binary")
+    ids = [bytes(r["ids"]) for r in rows.orderBy(F.xxhash64("ids"), "ids").limit(samples).collect()]
     try:
-        return zstandard.train_dictionary(size, ids).as_bytes() if len(ids) >= 64 else b""
+        return zstandard.train_dictionary(size, ids).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(ids)[-size:]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes, end_id: int) -> DataFrame:
-    """Write ``docs(doc_id, text)`` as shards in ascending doc_id order; returns ``shard, path, docs, ids`` rows."""
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes, end_id: int, shard_bytes: int = 64 << 20) -> DataFrame:
+    """Write ``docs(doc_id, text)`` as shards in ascending doc_id order; returns ``part, roll, path, docs, ids`` rows.
+
+    Ranges of documents are as many as the texts' bytes ask for; a range's shards end at ``shard_bytes`` of frames.
+    """
     digest = hashlib.sha256(dictionary).digest()
     put(f"{folder}/dictionary.zdict", lambda out: out.write(dictionary))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = TaskContext.get().partitionId()
-        path = f"{folder}/ids-{shard:06d}.tids"
+        part = TaskContext.get().partitionId()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores
         encode, pack = kept_by_worker(f"words {tokenizer}", lambda: WordEncoder(tokenizer)), _compressor(dictionary)
-        last, index = struct.pack("<I", end_id), []
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def write(out) -> None:
-            out.write(MAGIC + digest)
-            at = len(MAGIC) + len(digest)
-            batch = first
-            while batch is not None:
-                for k in range(0, len(batch), 256):
-                    part = batch.iloc[k : k + 256]
-                    for ids, doc_id in zip(encode(part["text"].tolist()), part["doc_id"]):
-                        ids += last
-                        frame = pack.compress(ids)
-                        index.append((0 if pd.isna(doc_id) else int(doc_id), pd.isna(doc_id), at, len(frame), len(ids) // 4))
-                        out.write(frame)
-                        at += len(frame)
-                batch = next(batches, None)
-            out.write(np.array(index, ENTRY).tobytes())
-            out.write(struct.pack("<QQ", at, len(index)) + END)
-
-        put(path, write)
-        yield pd.DataFrame({"shard": [shard], "path": [path], "docs": [len(index)], "ids": [sum(x[4] for x in index)]})
+        last = struct.pack("<I", end_id)
+
+        def frames() -> Iterator[tuple]:
+            for b in batches:
+                for k in range(0, len(b), 256):
+                    some = b.iloc[k : k + 256]
+                    for ids, doc_id in zip(encode(some["text"].tolist()), some["doc_id"]):
+                        yield doc_id, len(ids) // 4 + 1, pack.compress(ids + last)
+
+        rows = frames()
+        ahead, roll = next(rows, None), 0
+        while ahead is not None:
+            path, index = f"{folder}/ids-{part:06d}-{roll:05d}.tids", []
+
+            def write(out) -> None:
+                nonlocal ahead
+                out.write(MAGIC + digest)
+                at = len(MAGIC) + len(digest)
+                while ahead is not None and at < shard_bytes:
+                    doc_id, n, frame = ahead
+                    index.append((0 if pd.isna(doc_id) else int(doc_id), pd.isna(doc_id), at, len(frame), n))
+                    out.write(frame)
+                    at += len(frame)
+                    ahead = next(rows, None)
+                out.write(np.array(index, ENTRY).tobytes())
+                out.write(struct.pack("<QQ", at, len(index)) + END)
+
+            put(path, write)
+            yield pd.DataFrame({"part": [part], "roll": [roll], "path": [path], "docs": [len(index)], "ids": [sum(x[4] for x in index)]})
+            roll += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
-    return written(ordered.mapInPandas(work, "shard int, path string, docs long, ids long"), "shards")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    return written(ordered.mapInPandas(work, "part int, roll int, path string, docs long, ids long"), "shards")
 
 
 class Shard:
@@ -172,9 +193,9 @@ def read_shards(shards: DataFrame, folder: str) -> DataFrame:
     The driver holds one row per shard, for the number of ids before each.
     """
     spark = shards.sparkSession
-    rows = sorted((r["shard"], r["path"], r["ids"]) for r in shards.collect())
-    before = [0, *accumulate(r[2] for r in rows)]
-    plan = spark.createDataFrame([(p, b) for (_, p, _), b in zip(rows, before)], "path string, start long")
+    rows = sorted((r["part"], r["roll"], r["path"], r["ids"]) for r in shards.collect())
+    before = [0, *accumulate(r[3] for r in rows)]
+    plan = spark.createDataFrame([(r[2], b) for r, b in zip(rows, before)], "path string, start long")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         dictionary = None
