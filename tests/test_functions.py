@@ -30,6 +30,10 @@ def test_prices(spark):
         ("http://example.com", "http://example.com/"),
         ("http://example.com:8080//", "http://example.com:8080/"),
         ("not a url", "not a url"),
+        ("https://a.com/?q=a b&c=&d", "https://a.com/?c=&d=&q=a+b"),
+        ("https://a.com/?q=%C3%BC&p=a%2Fb*~", "https://a.com/?p=a%2Fb%2A~&q=%C3%BC"),
+        ("https://a.com/x;v=1?UTM_Source=z", "https://a.com/x"),
+        ("https://[2606:4700::1111]/a", "https://[2606:4700::1111]/a"),
     ],
 )
 def test_normalize(spark, url, out):
@@ -39,8 +43,10 @@ def test_normalize(spark, url, out):
 @pytest.mark.parametrize(
     "url, code",
     [
-        ("ftp://a.com", "scheme_not_allowed"), ("http://u:p@a.com/", "credentials_in_url"), ("http:///x", "missing_host"), ("http://a.com:22/", "port_not_allowed"), ("http://localhost/", "blocked_host"), ("http://db.internal/", "blocked_host"),
-        ("http://127.0.0.1/", "private_address"), ("http://169.254.169.254/", "private_address"), ("http://100.64.0.1/", "private_address"), ("http://8.8.8.8/", None), ("http://intranet/", "single_label"), ("https://example.com/", None),
+        ("ftp://a.com", "scheme_not_allowed"), ("http://u:p@a.com/", "credentials_in_url"), ("http:///x", "missing_hostname"), ("http://a.com:22/", "port_not_allowed"), ("http://localhost/", "host_not_allowed"), ("http://db.internal/", "host_not_allowed"),
+        ("http://127.0.0.1/", "private_address"), ("http://169.254.169.254/", "private_address"), ("http://100.64.0.1/", "private_address"), ("http://8.8.8.8/", None), ("http://intranet/", "host_not_allowed"), ("https://example.com/", None),
+        ("http://[::1]/", "private_address"), ("http://[fd00::1]/", "private_address"), ("http://[fe80::1]/", "private_address"), ("http://[::ffff:10.0.0.1]/", "private_address"), ("http://[::ffff:8.8.8.8]/", None), ("http://[2606:4700::1111]/", None),
+        ("http://[2606:4700::1111]:8080/", "port_not_allowed"), ("http://[2001:db8::1]/", "private_address"), ("http://[fec0::1]/", "private_address"), ("http://[bad]/", "private_address"),
     ],
 )
 def test_safety(spark, url, code):
@@ -70,6 +76,29 @@ def test_texts(spark):
     assert one(spark, "Pro-Plan  é!", text.normalize_name) == "pro plan é"
 
 
+def rules(spark, body, agent, *paths):
+    files = spark.createDataFrame([("o", body)], "origin string, body string")
+    pages = spark.createDataFrame([("o", f"https://o{p}") for p in paths], "origin string, url string")
+    found = {r["url"]: r["allowed"] for r in discovery.allowed(pages, discovery.robots_rules(files, agent)).collect()}
+    return [found[f"https://o{p}"] for p in paths]
+
+
+@pytest.mark.parametrize(
+    "body, agent, paths, want",
+    [
+        ("User-agent: a\nUser-agent: b\nDisallow: /x", "a", ("/x", "/y"), [False, True]),
+        ("User-agent: a\nUser-agent: b\nDisallow: /x", "b/2.0", ("/x", "/y"), [False, True]),
+        ("User-agent: a\nDisallow: /x\n\nUser-agent: *\nDisallow: /y", "other", ("/x", "/y"), [True, False]),
+        ("User-agent: a\nDisallow: /x\n\nUser-agent: *\nDisallow: /y", "a", ("/x", "/y"), [False, True]),
+        ("User-agent: *\nDisallow:\n", "a", ("/x",), [True]),
+        ("User-agent: *  # all\r\nDisallow: / # none\r\n", "a", ("/x",), [False]),
+        ("", "a", ("/x",), [True]),
+    ],
+)
+def test_robots_groups(spark, body, agent, paths, want):
+    assert rules(spark, body, agent, *paths) == want
+
+
 def test_robots(spark):
     files = spark.createDataFrame([("o", "User-agent: *\nAllow: /a/ok\nDisallow: /a\nSitemap: https://o/s.xml\n")], "origin string, body string")
     pages = spark.createDataFrame([("o", "https://o/a/ok/1"), ("o", "https://o/a/2"), ("o", "https://o/b"), ("p", "https://p/a")], "origin string, url string")

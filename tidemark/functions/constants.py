@@ -44,6 +44,7 @@ INJECTIONS = {
     "exfiltration_request": r"(?i)\b(send|post|upload|exfiltrate)\b[^.\n]{0,40}\b(api[\s_-]?key|token|secret|credential|password)\b",
 }
 INVISIBLE = "[​-‏‪-‮⁠-⁤﻿]"
+# Words that lexical vectors leave out.
 STOPWORDS = frozenset("a an and are as at be by for from has have in is it its of on or that the to was were will with you your we our us this these those they them their he she his her".split())
 # Monitoring hours by importance, plan limits, social hosts.
 MONITOR_HOURS = {"critical": 12, "high": 24, "medium": 72, "low": 168}

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import CURRENCY_CODES, CURRENCY_SYMBOLS, PERIOD_PATTERN, PERIODS
+from tidemark.functions.text import let, matches
 
 
 def parse_amount(raw: Column) -> Column:
@@ -13,20 +14,25 @@ def parse_amount(raw: Column) -> Column:
 
     Null for what is no number, negative ones and ones over ten million.
     """
-    c = F.regexp_replace(F.trim(raw), "[  ]", "")
-    dot = F.length(c) - F.instr(F.reverse(c), ".")
-    comma = F.length(c) - F.instr(F.reverse(c), ",")
-    has_dot, has_comma = F.contains(c, F.lit(".")), F.contains(c, F.lit(","))
     drop = lambda x, s: F.replace(x, F.lit(s), F.lit(""))
-    text = (
-        F.when(~has_dot & ~has_comma, c)
-        .when(has_dot & ~has_comma, F.when(F.length(c) - dot - 1 == 3, drop(c, ".")).otherwise(c))
-        .when(has_comma & ~has_dot, F.when(F.length(c) - comma - 1 == 3, drop(c, ",")).otherwise(F.replace(c, F.lit(","), F.lit("."))))
-        .when(dot > comma, drop(c, ","))
-        .otherwise(F.replace(drop(c, "."), F.lit(","), F.lit(".")))
-    )
-    value = F.when(F.regexp_like(text, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")), text.try_cast("double"))
-    return F.when(value.between(0, 10_000_000), value)
+
+    def plain(c: Column) -> Column:
+        tail = F.length(F.regexp_extract(c, "[.,]([^.,]*)$", 1)) == 3
+        dots, commas = F.contains(c, F.lit(".")), F.contains(c, F.lit(","))
+        last_dot = F.regexp_like(c, F.lit(r"\.[^.,]*$"))
+        return (
+            F.when(~dots & ~commas, c)
+            .when(dots & ~commas, F.when(tail, drop(c, ".")).otherwise(c))
+            .when(commas & ~dots, F.when(tail, drop(c, ",")).otherwise(F.replace(c, F.lit(","), F.lit("."))))
+            .when(last_dot, drop(c, ","))
+            .otherwise(F.replace(drop(c, "."), F.lit(","), F.lit(".")))
+        )
+
+    def number(text: Column) -> Column:
+        value = F.when(F.regexp_like(text, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$")), text.try_cast("double"))
+        return let(value, lambda v: F.when(v.between(0, 10_000_000), v))
+
+    return let(F.regexp_replace(F.trim(raw), "[ \\u00A0]", ""), lambda c: let(plain(c), number))
 
 
 def price_pattern(strict: bool = True) -> str:
@@ -55,6 +61,32 @@ def prices_in(text: Column, strict: bool = True, most: int = 60) -> Column:
     return F.slice(F.array_distinct(good), 1, most)
 
 
+def detected(text: Column, strict: bool = True, most: int = 60, reach: int = 90) -> Column:
+    """``array<struct<raw, amount, currency, period, context, preceding>>`` of the prices in a text, the first of equal ones.
+
+    ``context`` has ``reach`` characters on both sides, ``preceding`` those before; ``period`` is the context's first period word.
+    """
+    pattern = price_pattern(strict)
+
+    def one(m: Column) -> Column:
+        part = lambda k: F.regexp_extract(m["value"], pattern, k)
+        before, start = part(2) != "", F.greatest(m["start"] - reach, F.lit(0))
+        context = F.trim(F.substring(text, start + 1, m["end"] + reach - start))
+        period = F.lower(F.concat(F.regexp_extract(context, PERIOD_PATTERN, 1), F.regexp_extract(context, PERIOD_PATTERN, 2)))
+        return F.struct(
+            F.trim(m["value"]).alias("raw"), parse_amount(F.when(before, part(2)).otherwise(part(3))).alias("amount"), currency_of(F.when(before, part(1)).otherwise(part(4))).alias("currency"),
+            F.nullif(period, F.lit("")).alias("period"), context.alias("context"), F.trim(F.substring(text, start + 1, m["start"] - start)).alias("preceding"),
+        )
+
+    good = F.filter(F.transform(matches(text, pattern), one), lambda x: x["amount"].isNotNull() & x["currency"].isNotNull())
+
+    def first(found: Column) -> Column:
+        keys = F.transform(found, lambda x: F.struct(x["amount"], x["currency"]))
+        return F.slice(let(keys, lambda k: F.filter(found, lambda x, i: F.array_position(k, F.struct(x["amount"], x["currency"])) == i + 1)), 1, most)
+
+    return F.when(F.regexp_like(text, F.lit("[0-9]")), let(good, first)).otherwise(F.slice(good, 1, 0))
+
+
 def billing_period(text: Column) -> Column:
     """The billing period that a text's first period words name; ``unknown`` without any."""
     found = F.lower(F.concat(F.regexp_extract(text, PERIOD_PATTERN, 1), F.regexp_extract(text, PERIOD_PATTERN, 2)))

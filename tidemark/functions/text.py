@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.constants import INJECTIONS, INVISIBLE, SEVERITIES
 
@@ -15,6 +18,20 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """``array<struct<start, end, value>>`` of a pattern's leftmost matches, in characters from 0, end exclusive."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    zipped = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("value")))
+    empty = F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + x["len"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, punctuation as spaces, white space collapsed and trimmed."""
     plain = F.regexp_replace(F.lower(name), r"(?U)[^\w\s]", " ")
@@ -55,6 +72,21 @@ def injection_flags(text: Column) -> Column:
     return F.filter(F.array(*hits), lambda x: x.isNotNull())
 
 
+@F.pandas_udf(StringType())
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Texts in Unicode's compatibility composition; Spark has no function for it."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def sanitize(text: Column, most: int) -> Column:
+    """``struct<text, flags, original_length, truncated>``: the text made harmless and cut, and which patterns the original has."""
+
+    def whole(clean: Column) -> Column:
+        return F.struct(F.substring(clean, 1, most).alias("text"), injection_flags(text).alias("flags"), F.length(text).alias("original_length"), (F.length(clean) > most).alias("truncated"))
+
+    return let(defang(nfkc(text)), whole)
+
+
 def defang(text: Column) -> Column:
     """Text with invisible and control characters gone, and fences, role markers, tool tags and long repeats made harmless."""
     for pattern, put in (

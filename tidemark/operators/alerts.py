@@ -39,3 +39,21 @@ def notifications(matches: DataFrame) -> DataFrame:
 
 def recipients(users: DataFrame, memberships: DataFrame) -> DataFrame:
     return memberships.join(users, "user_id").where("email is not null and email <> ''").select("organization_id", "user_id", "email").distinct()
+
+
+def after_delivery(outbox: DataFrame, results: DataFrame, most: int = 3) -> DataFrame:
+    """``outbox(notification_id, status, attempts)`` after ``results(notification_id, ok)``: sent, failed after ``most`` attempts, or still pending.
+
+    Rows are in the outbox before they are delivered; what is sent already and what was not tried stays as it is.
+    """
+    rows = outbox.join(results.groupBy("notification_id").agg(F.bool_or("ok").alias("ok")), "notification_id", "left")
+    tried = (F.col("status") == "pending") & F.col("ok").isNotNull()
+    n = F.when(tried, F.col("attempts") + 1).otherwise(F.col("attempts"))
+    status = F.when(~tried, F.col("status")).when(F.col("ok"), "sent").when(n >= most, "failed").otherwise("pending")
+    return rows.select("notification_id", status.alias("status"), n.alias("attempts"))
+
+
+def addressed(matches: DataFrame, recipients: DataFrame) -> DataFrame:
+    """Each organisation's matches by e-mail with all of its recipients: a row per change, rule and recipient."""
+    mail = matches.where(F.array_contains("channels", "email")).select("change_id", "rule_id", "organization_id")
+    return mail.join(recipients, "organization_id")

@@ -18,6 +18,31 @@ def classified(links: DataFrame) -> DataFrame:
     return rows.withColumn("c", urls.classify(F.col("url"), F.col("anchor"))).select("site", "url", "anchor", "seq", "c.page_type", "c.score")
 
 
+def candidates(links: DataFrame, sitemap: DataFrame, homes: DataFrame) -> DataFrame:
+    """``site, url, anchor, seq, source``: the home pages, then links, then sitemap pages, each in its own order.
+
+    ``links(site, url, anchor, seq)``, ``sitemap(site, url, seq)``, ``homes(site, url)``; equal URLs stay for the first to win.
+    """
+    home = homes.select("site", "url", F.lit("").alias("anchor"), F.lit(0).cast("long").alias("seq"), F.lit("home").alias("source"))
+    found = links.select("site", "url", "anchor", (F.col("seq") + 1).cast("long").alias("seq"), F.lit("link").alias("source"))
+    listed = sitemap.select("site", "url", F.lit("").alias("anchor"), (F.col("seq") + 2**40).cast("long").alias("seq"), F.lit("sitemap").alias("source"))
+    return home.unionByName(found).unionByName(listed)
+
+
+def plan(links: DataFrame, sitemap: DataFrame, homes: DataFrame, budget: int = 25, barred: DataFrame | None = None) -> DataFrame:
+    """Which pages of each site to read: candidates of all sources, classified, without ``barred(site, url)``, ranked under caps and budget."""
+    rows = classified(candidates(links, sitemap, homes))
+    if barred is not None:
+        rows = rows.join(barred.select("site", urls.normalize_url(F.col("url")).alias("url")).distinct(), ["site", "url"], "left_anti")
+    return ranked(rows, budget)
+
+
+def after_redirect(pages: DataFrame) -> DataFrame:
+    """``pages(url, final_url, page_type, ...)`` with the type of where a redirect led; a home page stays one."""
+    moved = F.col("final_url").isNotNull() & (F.col("final_url") != F.col("url")) & (F.col("page_type") != "home")
+    return pages.withColumn("page_type", F.when(moved, urls.classify(F.col("final_url"), F.lit(""))["page_type"]).otherwise(F.col("page_type")))
+
+
 def ranked(pages: DataFrame, limit: int) -> DataFrame:
     """The best ``limit`` pages of each site with at most the type's cap of each: best score, shortest URL, first seen.
 
@@ -51,16 +76,31 @@ def robots_sitemaps(files: DataFrame, most: int = 10) -> DataFrame:
 
 
 def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
-    """``origin, seq, path, allow`` of ``files(origin, body)``: the rules in the group of ``agent``."""
-    rows = files.select("origin", F.posexplode(F.split("body", "\n")).alias("seq", "line"))
-    rows = rows.select("origin", "seq", F.lower(F.trim(F.regexp_extract("line", r"^\s*([^:#]+):", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^[^:#]+:\s*([^#]*)", 1)).alias("v")).where("k <> ''")
-    group = F.last(F.when(F.col("k") == "user-agent", F.lower("v")), ignorenulls=True).over(Window.partitionBy("origin").orderBy("seq"))
-    rows = rows.withColumn("agent", group).where((F.col("agent") == agent.lower()) & F.col("k").isin("allow", "disallow") & (F.col("v") != ""))
-    return rows.select("origin", "seq", F.col("v").alias("path"), (F.col("k") == "allow").alias("allow"))
+    """``origin, seq, path, allow`` of ``files(origin, body)``: the rules of the group that applies to ``agent``.
+
+    User-agent lines that follow each other name one group; a blank line ends it.  The first group with a name that is
+    part of the agent's applies, else the first group of ``*``.  An empty Disallow allows everything.
+    """
+    rows = files.select("origin", F.posexplode(F.split("body", "\r?\n")).alias("seq", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    key, value = F.lower(F.trim(F.regexp_extract("line", r"^([^:]+):", 1))), F.trim(F.regexp_extract("line", r"^[^:]+:(.*)$", 1))
+    kind = F.when(F.col("line") == "", "blank").when(key == "user-agent", "agent").when(key.isin("allow", "disallow"), "rule")
+    rows = rows.select("origin", "seq", key.alias("k"), value.alias("v"), kind.alias("kind")).where("kind is not null")
+    order = Window.partitionBy("origin").orderBy("seq")
+    rows = rows.withColumn("before", F.lag("kind").over(order))
+    rows = rows.withColumn("start", (F.col("kind") == "blank") | (F.col("kind") == "agent") & ~F.col("before").eqNullSafe(F.lit("agent")))
+    rows = rows.withColumn("group", F.sum(F.col("start").cast("int")).over(order))
+    name = F.lower(F.split(F.lit(agent), "/")[0])
+    own = F.when(F.col("v") == "*", F.lit(agent == "*")).otherwise((F.col("v") != "") & F.contains(name, F.lower("v")))
+    agents = rows.where("kind = 'agent'").groupBy("origin", "group").agg(F.bool_or(own).alias("own"), F.bool_or(F.col("v") == "*").alias("any"))
+    rules = rows.where("kind = 'rule'").select("origin", "group", "seq", F.col("v").alias("path"), ((F.col("k") == "allow") | (F.col("v") == "")).alias("allow"))
+    # A group without rules that a blank line ends is none.
+    agents = agents.join(rules.select("origin", "group").distinct(), ["origin", "group"], "left_semi").where(F.col("own") | F.col("any"))
+    chosen = agents.groupBy("origin").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("group"))), F.min("group")).alias("group"))
+    return rules.join(chosen, ["origin", "group"]).select("origin", "seq", "path", "allow")
 
 
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """``pages(origin, url)`` with ``allowed``: the first rule whose path begins the page's decides, none allows."""
-    hit = F.startswith(urls.path(F.col("url")), F.col("path"))
+    hit = F.startswith(urls.path(F.col("url")), F.when(F.col("path") == "*", "").otherwise(F.col("path")))
     first = pages.select("origin", "url").distinct().join(rules, "origin").where(hit).groupBy("origin", "url").agg(F.min_by("allow", "seq").alias("allow"))
     return pages.join(first, ["origin", "url"], "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")

@@ -5,20 +5,26 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.constants import CTA_WORDS
+from tidemark.functions.constants import CTA_WORDS, SOCIAL_HOSTS
+from tidemark.functions.prices import detected
+from tidemark.functions.text import clean_text, injection_flags, words
+from tidemark.functions.urls import is_binary, normalize_url, same_site
 
 SCHEMA = (
     "page_id long, title string, meta_description string, canonical string, lang string, open_graph map<string,string>, h1 array<string>, h2 array<string>, h3 array<string>, "
-    "links array<struct<href: string, text: string>>, json_ld array<string>, ctas array<string>, text string"
+    "links array<struct<href: string, url: string, text: string>>, json_ld array<string>, ctas array<string>, text string"
 )
-SKIPPED = frozenset("script style noscript template svg iframe form".split())
-CHROME = frozenset("nav header footer aside".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: Elements whose text is not read: what is no content, and a page's chrome.
+UNREAD = frozenset("script style noscript template svg iframe form nav header footer aside head title".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+KEPT = frozenset(("title", "a", "button", "h1", "h2", "h3"))
+BODY, ROLE, MAIN = range(3)
 
 
 class _Reader(HTMLParser):
@@ -26,16 +32,17 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[str] = []
+        self.open: list[tuple[str, int]] = []  # names, and whether text inside is of the main part
         self.meta: dict[str, str] = {}
         self.graph: dict[str, str] = {}
         self.heads: dict[str, list[str]] = {"h1": [], "h2": [], "h3": []}
         self.links: list[dict[str, str]] = []
         self.labels: list[str] = []
         self.scripts: list[str] = []
-        self.texts: dict[str, list[str]] = {"body": [], "main": []}
+        self.texts: tuple[list[str], list[str], list[str]] = ([], [], [])
+        self.seen = [True, False, False]
         self.parts: dict[str, list[str]] = {}
-        self.href, self.ld = None, False
+        self.href, self.unread, self.inside = None, 0, [0, 0, 0]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -43,26 +50,36 @@ class _Reader(HTMLParser):
             self.meta.setdefault("lang", a["lang"][:16])
         elif tag == "meta":
             if a.get("name", "").lower() == "description":
-                self.meta.setdefault("description", a.get("content", ""))
-            if a.get("property", "").lower().startswith("og:"):
-                self.graph[a["property"].lower()] = a.get("content", "")[:500]
+                self.meta.setdefault("description", " ".join(a.get("content", "").split()))
+            if a.get("property", "").lower().startswith("og:") and (content := " ".join(a.get("content", "").split())):
+                self.graph[a["property"].lower()] = content[:500]
         elif tag == "link" and "canonical" in a.get("rel", "").lower().split():
             self.meta.setdefault("canonical", a.get("href", ""))
         if tag in VOID:
             return
-        self.open.append(tag)
-        self.ld = tag == "script" and "ld+json" in a.get("type", "").lower()
-        if tag in ("title", "a", "button", "h1", "h2", "h3") or self.ld:
+        part = MAIN if tag == "main" else ROLE if a.get("role", "").lower() == "main" else BODY
+        self.open.append((tag, part))
+        self.inside[part] += 1
+        self.seen[part] = True
+        self.unread += tag in UNREAD
+        if tag in KEPT or tag == "script" and "ld+json" in a.get("type", "").lower():
             self.parts[tag] = []
         if tag == "a":
             self.href = a.get("href", "")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.open:
+        if not any(name == tag for name, _ in reversed(self.open)):
             return
-        while (last := self.open.pop()) != tag:
-            self._close(last)
-        self._close(tag)
+        while self.pop() != tag:
+            pass
+
+    def pop(self) -> str:
+        """End the innermost open element."""
+        name, part = self.open.pop()
+        self.inside[part] -= 1
+        self.unread -= name in UNREAD
+        self._close(name)
+        return name
 
     def _close(self, tag: str) -> None:
         if tag not in self.parts:
@@ -83,31 +100,78 @@ class _Reader(HTMLParser):
     def handle_data(self, data: str) -> None:
         for part in self.parts.values():
             part.append(data)
-        if data.strip() and not SKIPPED & set(self.open) and not CHROME & set(self.open) and "head" not in self.open and "title" not in self.open:
-            self.texts["main" if "main" in self.open else "body"].append(data.strip())
+        if not self.unread and (text := data.strip()):
+            for part in (BODY, ROLE, MAIN):
+                if part == BODY or self.inside[part]:
+                    self.texts[part].append(text)
 
 
-def observe(page_id: int, source: str | None) -> tuple:
+def observe(page_id: int, url: str | None, source: str | None) -> tuple:
     r = _Reader()
     r.feed(source or "")
     r.close()
-    for tag in reversed(r.open):
-        r._close(tag)
+    while r.open:
+        r.pop()
     ctas = list({x.lower(): x for x in reversed([t for t in r.labels if len(t) <= 60 and any(w in t.lower() for w in CTA_WORDS)])}.values())[::-1][:15]
-    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\xa0]+", " ", "\n".join(r.texts["main"] or r.texts["body"])))
+    part = MAIN if r.seen[MAIN] else ROLE if r.seen[ROLE] else BODY
+    text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t\xa0]+", " ", "\n".join(r.texts[part]))).strip()
     m = r.meta
-    return (page_id, m.get("title") or None, m.get("description") or None, m.get("canonical") or None, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), r.links, r.scripts[:20], ctas, text)
+    links = [{**x, "url": absolute(url, x["href"])} for x in r.links]
+    canonical = absolute(url, m["canonical"]) if m.get("canonical") else None
+    return (page_id, m.get("title") or None, m.get("description") or None, canonical, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), links, r.scripts[:20], ctas, text)
+
+
+def absolute(base: str | None, href: str) -> str | None:
+    """A link's http or https target, resolved against its page; None for anything else."""
+    if not href or href.startswith(("#", "mailto:", "tel:", "javascript:", "data:")):
+        return None
+    try:
+        url = urljoin(base or "", href)
+    except ValueError:
+        return None
+    return url if url.startswith(("http://", "https://")) else None
 
 
 def observations(pages: DataFrame) -> DataFrame:
-    """Title, description, canonical URL, language, Open Graph, headings, links, JSON-LD, calls to action, readable text."""
+    """Title, description, canonical URL, language, Open Graph, headings, links, JSON-LD, calls to action, readable text.
+
+    One parse per page of ``pages(page_id, html)``; with a column ``url`` links are resolved against it.  The text is that
+    of the main element, else of an element of role main, else of the body, without chrome.
+    """
     names = [x.split()[0] for x in re.split(r", (?=\w+ (?:string|map|array|long))", SCHEMA)]
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([observe(*x) for x in zip(b["page_id"], b["html"])], columns=names)
+            yield pd.DataFrame([observe(*x) for x in zip(b["page_id"], b["url"], b["html"])], columns=names)
+
+    url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
+    return pages.select("page_id", url.alias("url"), "html").mapInPandas(work, SCHEMA)
+
 
-    return pages.select("page_id", "html").mapInPandas(work, SCHEMA)
+def hashes_and_prices(observed: DataFrame) -> DataFrame:
+    """``observed`` with ``word_count``, ``text_hash`` and ``prices`` of its text."""
+    return observed.withColumns({"word_count": F.size(words(F.coalesce("text", F.lit("")))), "text_hash": F.sha2(F.coalesce("text", F.lit("")), 256), "prices": detected(F.coalesce("text", F.lit("")))})
+
+
+def page_links(observed: DataFrame, sites: DataFrame, most_internal: int = 400, most_external: int = 200) -> DataFrame:
+    """``page_id, site, url, text, internal, position`` of each page's link targets, resolved, normalised and without binaries.
+
+    ``sites(page_id, site)`` gives the base domain, as ``domain`` where it has such a column.  Internal ones are the first of equal targets in page order, external
+    ones are sorted; at most so many of each per page.
+    """
+    rows = observed.select("page_id", F.posexplode("links").alias("seq", "l")).select("page_id", "seq", normalize_url(F.col("l.url")).alias("url"), "l.text").where("url is not null")
+    base = sites.select("page_id", "site", F.col("domain" if "domain" in sites.columns else "site").alias("base"))
+    rows = rows.join(base, "page_id").where(~is_binary(F.col("url")))
+    rows = rows.groupBy("page_id", "site", "base", "url").agg(F.min(F.struct("seq", "text")).alias("first"))
+    rows = rows.select("page_id", "site", "url", "first.text", "first.seq", same_site(F.col("url"), F.col("base")).alias("internal"))
+    order = Window.partitionBy("page_id", "internal").orderBy(F.when(F.col("internal"), F.col("seq")), "url")
+    rows = rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= F.when(F.col("internal"), most_internal).otherwise(most_external))
+    return rows.drop("seq")
+
+
+def social_hosts(url: Column) -> Column:
+    """Which social networks' hosts a URL names."""
+    return F.filter(F.array(*map(F.lit, SOCIAL_HOSTS)), lambda h: F.contains(url, h))
 
 
 def json_ld_types(observed: DataFrame) -> DataFrame:
@@ -118,10 +182,41 @@ def json_ld_types(observed: DataFrame) -> DataFrame:
     return block.select("page_id", F.explode(F.slice(F.coalesce(many, F.array(one)), 1, 5)).alias("type")).where("type is not null").distinct()
 
 
-def site_summary(observed: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per site: pages, what they lack, title length, words and links."""
-    words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
-    return observed.join(sites, "page_id").groupBy("site").agg(
-        F.count("*").alias("pages"), F.count_if(F.col("title").isNull()).alias("missing_title"), F.count_if(F.col("meta_description").isNull()).alias("missing_description"), F.count_if(F.size("h1") == 0).alias("missing_h1"),
-        F.bround(F.avg(F.length("title")), 2).alias("mean_title_length"), F.bround(F.avg(words), 2).alias("mean_words"), F.sum(F.size("links")).alias("links"), F.max(F.size("open_graph")).alias("open_graph_tags"),
+def seo_summary(observed: DataFrame, sites: DataFrame, links: DataFrame) -> DataFrame:
+    """Per ``site`` of ``sites(page_id, site, page_type)``: pages, what they lack, title length, words, links, JSON-LD types.
+
+    ``observed`` has ``word_count``; ``links`` is :func:`page_links`.  Three aggregates that combine before their shuffles.
+    """
+    pages = observed.join(sites, "page_id").groupBy("site").agg(
+        F.count("*").alias("pages_crawled"), F.count_if(F.col("title").isNull()).alias("pages_missing_title"), F.count_if(F.col("meta_description").isNull()).alias("pages_missing_meta_description"),
+        F.count_if(F.size("h1") == 0).alias("pages_missing_h1"), F.bround(F.avg(F.coalesce(F.length("title"), F.lit(0))), 4).alias("avg_title_length"), F.bround(F.avg("word_count"), 4).alias("avg_word_count"),
+        F.bool_or(F.coalesce(F.col("page_type") == "blog", F.lit(False))).alias("has_blog"), F.max(F.size("open_graph")).alias("open_graph_tag_count"), F.count_if(F.col("page_type") == "case_study").alias("case_study_pages"),
+        F.bool_or(F.coalesce(F.col("page_type") == "pricing", F.lit(False))).alias("pricing_page_found"),
     )
+    per = links.groupBy("site").agg(F.count_if("internal").alias("internal_link_count"))
+    out = links.where("not internal").select("site", "url").distinct()
+    out = out.groupBy("site").agg(F.count("*").alias("external_link_count"), F.size(F.array_distinct(F.flatten(F.collect_set(social_hosts(F.col("url")))))).alias("social_profile_count"))
+    types = json_ld_types(observed).join(sites.select("page_id", "site"), "page_id").select("site", "type").distinct()
+    types = types.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("type"))).where("k <= 20").groupBy("site").agg(F.array_sort(F.collect_list("type")).alias("structured_data_types"))
+    ctas = observed.join(sites.select("page_id", "site"), "page_id").select("site", F.explode("ctas").alias("cta")).groupBy("site").agg(F.countDistinct("cta").alias("cta_count"))
+    rows = pages.join(per, "site", "left").join(out, "site", "left").join(types, "site", "left").join(ctas, "site", "left")
+    rows = rows.na.fill(0, ["internal_link_count", "external_link_count", "social_profile_count", "cta_count"])
+    return rows.withColumn("structured_data_types", F.coalesce("structured_data_types", F.array().cast("array<string>")))
+
+
+def injection_pages(observed: DataFrame, sites: DataFrame, most: int = 20) -> DataFrame:
+    """``site, flags``: at most ``most`` pages of each site, by page_id, whose text addresses a model, with the patterns found."""
+    rows = observed.select("page_id", injection_flags(F.coalesce("text", F.lit(""))).alias("patterns")).where(F.size("patterns") > 0).join(sites.select("page_id", "site"), "page_id")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("site").orderBy("page_id"))).where(F.col("k") <= most)
+    return rows.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_id", "patterns"))).alias("flags"))
+
+
+def snapshots(observed: DataFrame, links: DataFrame, most_chars: int = 200_000, most_internal: int = 200, most_external: int = 100) -> DataFrame:
+    """A row per fetched page as it is stored: text and links under their caps, hashes whole."""
+    kept = links.where(F.col("position") <= F.when(F.col("internal"), most_internal).otherwise(most_external)).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("internal"), F.struct("position", "url")))).alias("i"), F.array_sort(F.collect_list(F.when(~F.col("internal"), F.struct("position", "url")))).alias("e")
+    )
+    none = F.array().cast("array<string>")
+    return observed.join(kept, "page_id", "left").select(
+        "page_id", clean_text(F.col("title")).alias("title"), "text_hash", F.substring("text", 1, most_chars).alias("text_content"), F.coalesce(F.col("i.url"), none).alias("internal_links"), F.coalesce(F.col("e.url"), none).alias("external_links")
+    )

@@ -31,12 +31,27 @@ def plans_from_prices(prices: DataFrame, most: int = 12) -> DataFrame:
     return rows.withColumn("_n", first).where("_n = 1").select("competitor_id", "name", "amount", "currency", "period", F.lit("observed").alias("source"))
 
 
-def pricing_note(prices: Column, named: Column, on_pricing: Column) -> Column:
-    return (
-        F.when(prices == 0, "No prices were found on the crawled pages.")
-        .when(on_pricing == 0, F.concat(prices.cast("string"), F.lit(" price(s) were found, none of them on a pricing page.")))
-        .when(named == 0, F.concat(prices.cast("string"), F.lit(" price(s) were found, none next to a plan name.")))
-    )
+def pricing_note(named: Column, unnamed: Column, observed: Column) -> Column:
+    """Why a site's pricing is as it is: counts of named plans, of candidates without a name, and of all observed prices; null where nothing is to say."""
+    n = lambda c: c.cast("string")
+    # The notes' texts.
+    none = "No prices were found on the crawled pages."
+    products = " price(s) were found on this site, but none of them sits next to a recognisable plan name. That usually means the prices belong to products rather than to subscription tiers. Configure an AI provider to interpret them."
+    more = " further price(s) were found that could not be matched to a named plan."
+    return F.when((named > 0) & (unnamed == 0), None).when(observed == 0, none).when(named == 0, F.concat(n(observed), F.lit(products))).otherwise(F.concat(n(unnamed), F.lit(more)))
+
+
+def pricing_notes(competitors: DataFrame, prices: DataFrame, most: int = 12) -> DataFrame:
+    """``competitor_id, observed, named, confidence, note`` of every competitor, from its ``prices(competitor_id, page_type, seq, preceding, context)``.
+
+    Candidates are the first ``most`` prices of pages of type pricing or unknown; with a named plan the confidence is 0.3, else 0.1.
+    """
+    seen = prices.groupBy("competitor_id").agg(F.count("*").alias("observed"))
+    few = prices.where("page_type is null or page_type = 'pricing'").withColumn("_n", F.row_number().over(Window.partitionBy("competitor_id").orderBy("seq"))).where(F.col("_n") <= most)
+    label = plan_label(F.col("preceding"), F.col("context"))
+    few = few.groupBy("competitor_id").agg(F.countDistinct(F.lower(label)).alias("named"), F.count_if(label.isNull()).alias("unnamed"))
+    rows = competitors.select("competitor_id").join(seen, "competitor_id", "left").join(few, "competitor_id", "left").na.fill(0, ["observed", "named", "unnamed"])
+    return rows.select("competitor_id", "observed", "named", F.when(F.col("named") > 0, 0.3).otherwise(0.1).alias("confidence"), pricing_note(F.col("named"), F.col("unnamed"), F.col("observed")).alias("note"))
 
 
 def catalogue_from_headings(headings: DataFrame) -> DataFrame:
@@ -48,8 +63,9 @@ def catalogue_from_headings(headings: DataFrame) -> DataFrame:
 
 def positioning(sites: DataFrame) -> DataFrame:
     """``sites(competitor_id, title, description, words, ctas)`` with a summary and what speaks for and against the site."""
-    strengths = F.array_compact(F.array(F.when(F.col("words") >= 1500, "detailed content"), F.when(F.col("ctas") > 0, "clear calls to action")))
-    weaknesses = F.array_compact(F.array(F.when(F.col("words") < 400, "thin content"), F.when(F.col("description").isNull(), "no meta description")))
+    # The insights' titles.
+    strengths = F.array_compact(F.array(F.when(F.col("ctas") > 0, "Clear conversion paths"), F.when(F.col("words") > 1500, "Substantial site content")))
+    weaknesses = F.array_compact(F.array(F.when(F.coalesce("description", F.lit("")) == "", "Missing meta description"), F.when((F.col("words") > 0) & (F.col("words") < 400), "Thin page content")))
     return sites.select("competitor_id", F.coalesce("description", "title").alias("summary"), strengths.alias("strengths"), weaknesses.alias("weaknesses"))
 
 

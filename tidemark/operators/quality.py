@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.functions.constants import SAFE_KEYS, SENSITIVE_PARTS
 
+#: Levels of nesting that are searched for sensitive keys.
+MOST_DEPTH = 4
+
 
 def admit(pages: DataFrame, types: tuple[str, ...] = ("text/html", "application/xhtml+xml"), cap: int = 2 << 20) -> DataFrame:
     """``pages(status, content_type, html)`` with ``reject_code`` (null: accepted), the body cut at ``cap`` and ``truncated``."""
@@ -27,7 +34,32 @@ def is_sensitive(key: Column) -> Column:
     return hits & ~F.lower(key).isin(*SAFE_KEYS)
 
 
-def scrub(properties: Column) -> Column:
-    """A JSON object's text with the values of sensitive top-level keys redacted."""
-    entries = F.from_json(properties, "map<string,string>")
-    return F.to_json(F.transform_values(entries, lambda k, v: F.when(is_sensitive(k), "[redacted]").otherwise(v)))
+def redacted(value, depth: int = 0):
+    """A JSON value with those of sensitive keys redacted, down to ``MOST_DEPTH`` levels of nesting."""
+    if depth > MOST_DEPTH:
+        return value
+    if isinstance(value, dict):
+        return {k: "[redacted]" if _sensitive(k) else redacted(v, depth + 1) for k, v in value.items()}
+    return [redacted(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+
+def _sensitive(key: str) -> bool:
+    return key.lower() not in SAFE_KEYS and any(part in key.lower() for part in SENSITIVE_PARTS)
+
+
+@F.pandas_udf(StringType())
+def scrub(properties: pd.Series) -> pd.Series:
+    """A JSON text with the values of sensitive keys redacted at every level; types stay.  What is no JSON is null."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(redacted(json.loads(text)), ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return properties.map(one)
+
+
+def audit_events(events: DataFrame, metadata: str = "metadata") -> DataFrame:
+    """Events for the audit trail: the map ``metadata`` without sensitive keys."""
+    return events.withColumn(metadata, F.map_filter(metadata, lambda k, v: ~is_sensitive(k)))

@@ -76,21 +76,26 @@ def threat_level(overall: Column, completeness: Column) -> Column:
     return F.when(overall.isNull() | (completeness < 0.5), "unknown").otherwise(level)
 
 
-def score_overall(inputs: DataFrame) -> DataFrame:
-    """``competitor_id, overall, completeness, confidence, threat_level``: weights renormalised over known dimensions, to fives.
+def scored(inputs: DataFrame, *keep: str) -> DataFrame:
+    """One row per competitor: ``keep``, its eight scores, ``overall, completeness, confidence, threat_level``.
 
-    One projection: dimensions are never shuffled, and rows stay one per competitor.
+    One projection over the inputs: scores are never shuffled.  Weights are renormalised over known dimensions, the
+    overall score is in fives.
     """
     scores = {k: F.bround(c, 1) for k, c in dimensions().items()}
-    rows = inputs.select("competitor_id", "ai_confidence", "pages_crawled", *[c.alias(k) for k, c in scores.items()])
+    rows = inputs.select("competitor_id", *keep, "ai_confidence", "pages_crawled", *[c.alias(k) for k, c in scores.items()])
     known = [F.when(F.col(k).isNotNull(), F.lit(w)).otherwise(0.0) for k, w in WEIGHTS.items()]
     weight, n = sum(known, F.lit(0.0)), sum((F.col(k).isNotNull().cast("int") for k in WEIGHTS), F.lit(0))
     value = sum((F.coalesce(F.col(k), F.lit(0.0)) * w for k, w in zip(WEIGHTS, known)), F.lit(0.0))
-    rows = rows.select(
-        "competitor_id", "ai_confidence", "pages_crawled", F.when(n > 0, F.bround(F.bround(value / F.nullif(weight, F.lit(0.0)), 6) / 5.0, 0) * 5.0).alias("overall"), F.bround(n / F.lit(8.0), 4).alias("completeness")
-    )
+    rows = rows.withColumns({"overall": F.when(n > 0, F.bround(F.bround(value / F.nullif(weight, F.lit(0.0)), 6) / 5.0, 0) * 5.0), "completeness": F.bround(n / F.lit(8.0), 4)})
     confidence = F.coalesce(0.6 * F.col("completeness") + 0.4 * F.col("ai_confidence"), F.col("completeness")) * F.when(F.col("pages_crawled") < 3, 0.7).otherwise(1.0)
-    return rows.select("competitor_id", "overall", "completeness", F.bround(F.greatest(F.least(confidence, F.lit(1.0)), F.lit(0.0)), 2).alias("confidence"), threat_level(F.col("overall"), F.col("completeness")).alias("threat_level"))
+    confidence = F.bround(F.greatest(F.least(confidence, F.lit(1.0)), F.lit(0.0)), 2)
+    return rows.select("competitor_id", *keep, *WEIGHTS, "overall", "completeness", confidence.alias("confidence"), threat_level(F.col("overall"), F.col("completeness")).alias("threat_level"))
+
+
+def score_overall(inputs: DataFrame) -> DataFrame:
+    """``competitor_id, overall, completeness, confidence, threat_level`` of :func:`scored`."""
+    return scored(inputs).drop(*WEIGHTS)
 
 
 def threat_distribution(scores: DataFrame) -> DataFrame:
@@ -104,18 +109,21 @@ def worst_threat(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy(*keys).agg(F.when(worst.isNull(), "unknown").otherwise(F.get(F.array(*map(F.lit, THREATS)), F.coalesce(worst, F.lit(1)).cast("int") - 1)).alias("worst"))
 
 
-def market_gaps(dims: DataFrame, below: float = 55.0, most: int = 4) -> DataFrame:
-    """Dimensions whose mean is low, weakest first, if at least half of the competitors (and two) have a score."""
-    total = dims.agg(F.countDistinct("competitor_id")).first()[0]
-    rows = dims.where("score is not null").groupBy("dimension").agg(F.avg("score").alias("mean"), F.count("*").alias("n"))
-    rows = rows.where((F.col("n") >= max(2, total // 2)) & (F.col("mean") < below))
+def market_gaps(scores: DataFrame, below: float = 55.0, most: int = 4) -> DataFrame:
+    """Dimensions of :func:`scored` rows whose mean is low, weakest first, if at least half of the competitors (and two) have a score.
+
+    One aggregate for all dimensions.
+    """
+    total = scores.agg(F.count("*").alias("total"), *[x for k in WEIGHTS for x in (F.avg(k).alias(f"{k}_mean"), F.count(k).alias(f"{k}_n"))])
+    each = F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(f"{k}_mean").alias("mean"), F.col(f"{k}_n").alias("n")) for k in WEIGHTS])
+    rows = total.select("total", F.inline(each))
+    rows = rows.where((F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("total") / 2))) & (F.col("mean") < below))
     return rows.orderBy("mean", "dimension").limit(most).select("dimension", F.bround("mean", 1).alias("mean"), "n")
 
 
-def comparison_matrix(dims: DataFrame, overall: DataFrame) -> DataFrame:
-    """One row per competitor with a column per dimension and the overall score."""
-    wide = dims.groupBy("competitor_id").pivot("dimension", list(WEIGHTS)).agg(F.first("score"))
-    return wide.join(overall.select("competitor_id", "overall", "threat_level"), "competitor_id")
+def comparison_matrix(scores: DataFrame) -> DataFrame:
+    """A column per dimension and the overall score of each competitor of :func:`scored` rows."""
+    return scores.select("competitor_id", *WEIGHTS, "overall", "threat_level")
 
 
 def review_sentiment(reviews: DataFrame) -> DataFrame:

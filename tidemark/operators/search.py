@@ -6,15 +6,21 @@ import hashlib
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tidemark.functions.constants import STOPWORDS
+from tidemark.operators.state import new_chunks
 
 #: Query vectors in one block; the block is sent to every task that scans the stored vectors.
 BLOCK_QUERIES = 200
+#: Tokens of asked items that are sent to all tasks at most.
+BROADCAST_TOKENS = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,28 +35,49 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, vec_id, similarity, position`` of the ``k`` most similar rows of ``stored(vec_id, vec)`` for each query.
 
-    A stated query set of any size goes against all rows in blocks of ``BLOCK_QUERIES``; each task keeps its own best ``k``
-    of a query (ranks are limited before the shuffle), so no query's rows meet in one task.  A query_id's rows are in one block.
+    A stated query set of any size goes against all rows in blocks of about ``BLOCK_QUERIES``: a block's vectors are sent
+    to the tasks, which multiply Arrow batches of stored vectors with them and keep each batch's best ``k`` of a query, so
+    no query's rows meet in one task.  A query_id's rows are in one block.  Similarities are rounded to four digits; where
+    a vector has no length or another number of components they are null and come last.
     """
-    rows = sorted(queries.select("query_id", "vec").toLocalIterator(), key=lambda r: (r["query_id"] is not None, r["query_id"] or 0))
-    out, at = None, 0
-    while at < len(rows):
-        end = min(at + BLOCK_QUERIES, len(rows))
-        while end < len(rows) and rows[end]["query_id"] == rows[end - 1]["query_id"]:
-            end += 1
-        found = _block_topk(stored, rows[at:end], k)
-        out, at = found if out is None else out.unionByName(found), end
+    blocks, out = max(1, -(-queries.count() // BLOCK_QUERIES)), None
+    for n in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "vec").collect()
+        if rows:
+            found = _block_topk(stored, rows, queries.schema["query_id"].dataType.simpleString(), k)
+            out = found if out is None else out.unionByName(found)
     if out is None:
         return stored.select(F.lit(None).cast("long").alias("query_id"), "vec_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("position")).limit(0)
     return out
 
 
-def _block_topk(stored: DataFrame, rows: list, k: int) -> DataFrame:
+def _unit(vectors: list, size: int) -> np.ndarray:
+    """Vectors at unit length, a row each; those without a length or with another size are not-a-number."""
+    out = np.full((len(vectors), size), np.nan)
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == size and all(x is not None for x in v):
+            out[i] = v
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return out / np.where((norm := np.linalg.norm(out, axis=1, keepdims=True)) == 0, np.nan, norm)
+
+
+def _block_topk(stored: DataFrame, rows: list, kind: str, k: int) -> DataFrame:
     """:func:`vector_topk` of one block of query rows."""
-    block = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.array(*[F.lit(float(x)) for x in r["vec"]]).alias("q")) for r in rows])
-    pairs = stored.select("vec_id", "vec", F.explode(block).alias("x")).select("x.query_id", "vec_id", F.bround(cosine(F.col("vec"), F.col("x.q")), 4).alias("similarity"))
+    ids, size = [r["query_id"] for r in rows], max((len(r["vec"]) for r in rows if r["vec"] is not None), default=0)
+    units = _unit([r["vec"] for r in rows], size).T
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            near = np.round(_unit(b["vec"].tolist(), size) @ units, 4)
+            order = np.lexsort((np.broadcast_to(b["vec_id"].to_numpy()[:, None], near.shape), np.where(np.isnan(near), np.inf, -near)), axis=0)[:k]
+            at = np.arange(len(ids))
+            yield pd.DataFrame({
+                "query_id": [ids[q] for _ in range(len(order)) for q in at], "vec_id": b["vec_id"].to_numpy()[order].ravel(), "similarity": pd.Series(near[order, at].ravel(), dtype="Float64").mask(np.isnan(near[order, at].ravel())),
+            })
+
+    best = stored.select("vec_id", "vec").mapInPandas(work, f"query_id {kind}, vec_id {stored.schema['vec_id'].dataType.simpleString()}, similarity double")
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id")
-    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
 def tokens(text: Column) -> Column:
@@ -59,12 +86,57 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOPWORDS)))
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("token", StringType()), StructField("weight", DoubleType())])))
+def weighted(tokens: pd.Series) -> pd.Series:
+    """Each text's different tokens with 1 + ln(count), scaled to unit length and rounded to six digits."""
+
+    def one(words: list[str] | None) -> list[dict]:
+        found = {w: 1 + math.log(n) for w, n in Counter(words if words is not None else ()).items()}
+        length = math.sqrt(sum(x * x for x in found.values()))
+        return [{"token": w, "weight": round(x / length, 6)} for w, x in found.items()]
+
+    return tokens.map(one)
+
+
 def lexical_weights(docs: DataFrame) -> DataFrame:
-    """Sparse lexical vectors ``doc_id, token, weight``: 1 + ln(count), scaled to unit length."""
-    counts = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    raw = counts.withColumn("w", 1 + F.log("n"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
-    return raw.select("doc_id", "token", F.bround(F.col("w") / norm, 6).alias("weight"))
+    """Sparse lexical vectors ``doc_id, token, weight``; a text is weighed within its row, nothing is shuffled."""
+    return docs.select("doc_id", F.inline(weighted(tokens(F.col("text")))))
+
+
+def lexical_search(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``item_id, doc_id, score, position`` of the ``k`` documents nearest to each row of ``asked(item_id, text)``.
+
+    All shared tokens count.  The asked items' tokens are sent to all tasks where they are at most ``BROADCAST_TOKENS``;
+    products are summed per item and document before the ranks are taken.
+    """
+    items = lexical_weights(asked.select(F.col("item_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("item_id"), "token", F.col("weight").alias("w"))
+    items = F.broadcast(items) if items.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS else items
+    pairs = lexical_weights(docs).join(items, "token")
+    score = pairs.groupBy("item_id", "doc_id").agg(F.bround(F.sum(F.col("weight") * F.col("w")), 4).alias("score"))
+    order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")
+    return score.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+
+def embed_new(docs: DataFrame, stored: DataFrame, dimensions: int = 256, most: int = 200) -> DataFrame:
+    """``competitor_id, doc_id, seq, chunk, content_hash, vector`` of the chunks of ``docs(competitor_id, doc_id, text)`` that ``stored(competitor_id, content_hash)`` lacks.
+
+    At most ``most`` new chunks per competitor, by document and place.
+    """
+    rows = chunks(docs.select("doc_id", "text")).join(docs.select("doc_id", "competitor_id"), "doc_id").withColumn("place", F.struct("doc_id", "seq"))
+    fresh = new_chunks(rows.withColumnRenamed("seq", "part").withColumnRenamed("place", "seq"), stored, most)
+    return fresh.select("competitor_id", "doc_id", F.col("part").alias("seq"), "chunk", "content_hash", hashed_vector(dimensions)(F.col("chunk")).alias("vector"))
+
+
+def chunk_search(embedded: DataFrame, names: DataFrame, asked: DataFrame, k: int, dimensions: int = 256, competitor: str | None = None, most_chars: int = 600) -> DataFrame:
+    """The ``k`` chunks nearest to each row of ``asked(query_id, text)``, with their competitor's name and the start of their text.
+
+    ``embedded`` is :func:`embed_new` with a ``vec_id`` per chunk; ``is_lexical`` tells that the vectors are hashed words.
+    """
+    rows = embedded if competitor is None else embedded.where(F.col("competitor_id") == competitor)
+    queries = asked.select("query_id", hashed_vector(dimensions)(F.col("text")).alias("vec"))
+    found = vector_topk(rows.select("vec_id", F.col("vector").alias("vec")), queries, k)
+    shown = rows.select("vec_id", "competitor_id", F.substring("chunk", 1, most_chars).alias("content")).join(names.select("competitor_id", "name"), "competitor_id")
+    return found.join(shown, "vec_id").withColumn("is_lexical", F.lit(True))
 
 
 def hashed_vector(dimensions: int):

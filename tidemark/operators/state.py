@@ -38,8 +38,10 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], values: list[st
     )
 
 
-def fingerprint(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """SHA-256 per key over its pages' URLs and hashes in URL order; a site's pages are few by the crawl's budget."""
+def fingerprint(pages: DataFrame, keys: list[str], budget: int = 500) -> DataFrame:
+    """SHA-256 per key over its pages' URLs and hashes in URL order: of the first ``budget`` pages by URL, as many as a crawl may have."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("url", "text_hash"))
+    pages = pages.withColumn("_n", rank).where(F.col("_n") <= budget)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("url", "text_hash"))), lambda p: F.concat(p["url"], p["text_hash"]))
     return pages.groupBy(*keys).agg(F.sha2(F.array_join(parts, ""), 256).alias("fingerprint"))
 
@@ -64,6 +66,46 @@ def retain(df: DataFrame, ts: str, as_of: Column, days: int, text: str) -> DataF
     return df.withColumn("cleared", F.coalesce(old, F.lit(False))).withColumn(text, F.when(F.col("cleared"), "").otherwise(F.col(text)))
 
 
+def unexpired(df: DataFrame, expires: str, as_of: Column, days: int) -> DataFrame:
+    """Rows that have not been expired for ``days`` days or more; those without an expiry stay."""
+    return df.where(F.col(expires).isNull() | (F.col(expires) >= as_of - F.make_interval(days=F.lit(days))))
+
+
+def seen(history: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """When each key was seen first and last."""
+    return history.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"))
+
+
+def page_upsert(stored: DataFrame, crawl: DataFrame) -> DataFrame:
+    """``stored(competitor_id, url_hash, title, page_type, is_active)`` merged with one crawl of the same columns but the last.
+
+    Pages of the crawl are active with their new title and type; stored pages of a crawled competitor that the crawl lacks
+    become inactive; pages of competitors that were not crawled stay.  ``action`` tells which it was.
+    """
+    keys = ["competitor_id", "url_hash"]
+    new = crawl.groupBy(*keys).agg(F.max(F.struct("title", "page_type")).alias("n"))
+    crawled = crawl.select("competitor_id").distinct().withColumn("crawled", F.lit(True))
+    both = stored.join(new, keys, "full_outer").join(crawled, "competitor_id", "left")
+    here, stale = F.col("n").isNotNull(), F.col("n").isNull() & F.coalesce("crawled", F.lit(False))
+    action = F.when(here & F.col("is_active").isNull(), "insert").when(here, "update").when(stale, "deactivate").otherwise("keep")
+    return both.select(
+        *keys, F.when(here, F.col("n.title")).otherwise(F.col("title")).alias("title"), F.when(here, F.col("n.page_type")).otherwise(F.col("page_type")).alias("page_type"),
+        F.when(here, True).when(stale, False).otherwise(F.col("is_active")).alias("is_active"), action.alias("action"),
+    )
+
+
+def load(plans: DataFrame, products: DataFrame, pages: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``competitor_id, kind, key, value``: the state that a new crawl is compared with, for all competitors.
+
+    Current plans and products, and the text hash of each active page's newest snapshot.
+    """
+    p = plans.where("is_current").select("competitor_id", F.lit("plan").alias("kind"), "key", F.col("amount").cast("string").alias("value"))
+    q = products.where("is_current").select("competitor_id", F.lit("product").alias("kind"), "key", F.lit(None).cast("string").alias("value"))
+    last = latest_struct(snapshots, ["page_id"], "fetched_at", "snapshot_id").select("page_id", "text_hash")
+    h = pages.where("is_active").join(last, "page_id").select("competitor_id", F.lit("page").alias("kind"), F.col("url").alias("key"), F.col("text_hash").alias("value"))
+    return p.unionByName(q).unionByName(h)
+
+
 def scoped(df: DataFrame, organization: str | None = None) -> DataFrame:
     """Live rows, of one organisation if it is named."""
     df = df.where("deleted_at is null") if "deleted_at" in df.columns else df

@@ -26,7 +26,7 @@ def product_set_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_set_diff(spark: SparkSession, d: str) -> DataFrame:
     part = t.table(spark, d, "part")
-    return changes.set_diff(t.products(part, True), t.products(part, False), "feature", "medium", cap=3)
+    return changes.set_diff(t.products(part, True), t.products(part, False), "feature", "medium")
 
 
 def page_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ ORACLE_SQL = {
     "plan_diff": f"WITH {_PLANS} SELECT * FROM plan_changes",
     "plan_diff_by_severity": f"WITH {_PLANS} SELECT change_type, severity, count(*) AS n FROM plan_changes GROUP BY ALL",
     "product_set_diff": f"WITH {_set_sql(10, 11, 'product', 'high', 10)} SELECT * FROM set_changes",
-    "feature_set_diff": f"WITH {_set_sql(11, 10, 'feature', 'medium', 3)} SELECT * FROM set_changes",
+    "feature_set_diff": f"WITH {_set_sql(11, 10, 'feature', 'medium', 10)} SELECT * FROM set_changes",
     "page_diff": f"WITH {PAGE_CHANGES} SELECT * FROM page_changes",
     "positioning_changes": r"""WITH b AS (SELECT doc_id - 1 AS id, text || ' new words' AS text FROM documents),
 w AS (SELECT CAST(d.doc_id AS VARCHAR) AS competitor_id, list_distinct(list_filter(regexp_split_to_array(lower(d.text), '\s+'), lambda x: x <> '')) AS x, list_distinct(list_filter(regexp_split_to_array(lower(b.text), '\s+'), lambda x: x <> '')) AS y FROM documents d JOIN b ON b.id = d.doc_id WHERE d.text <> ''),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import prices, urls
@@ -62,8 +62,10 @@ def robots_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
-    """Sitemaps put together from pages' URLs."""
-    pages = t.table(spark, d, "pages").select(urls.domain(F.col("url")).alias("site"), F.concat(F.lit("<url><loc> "), F.regexp_extract("url", "^([^?#]*)", 1), F.when(F.col("page_id") % 9 == 0, "map.xml").when(F.col("page_id") % 9 == 1, "a.png").otherwise(""), F.lit(" </loc></url>")).alias("x"))
+    """Sitemaps put together from pages' URLs, the first 500 of each site."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("x", "page_id"))
+    pages = t.table(spark, d, "pages").select(urls.domain(F.col("url")).alias("site"), F.concat(F.lit("<url><loc> "), F.regexp_extract("url", "^([^?#]*)", 1), F.when(F.col("page_id") % 9 == 0, "map.xml").when(F.col("page_id") % 9 == 1, "a.png").otherwise(""), F.lit(" </loc></url>")).alias("x"), "page_id")
+    pages = pages.withColumn("_n", rank).where("_n <= 500")
     return discovery.sitemap_urls(pages.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("xml")))
 
 
@@ -73,23 +75,17 @@ def page_observations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct link targets of each page, resolved to their site, first of equal ones."""
+    """Distinct link targets of each page as they stand, first of equal ones."""
     pages = t.table(spark, d, "pages")
     o = extract.observations(pages).select("page_id", F.posexplode("links").alias("seq", "l")).select("page_id", "seq", F.col("l.href").alias("href"))
     good = ~F.regexp_like("href", F.lit("(?i)^(#|mailto:|tel:|javascript:|data:)")) & (F.col("href") != "")
     return o.where(good).groupBy("page_id", "href").agg(F.min("seq").cast("long").alias("first_seq"))
 
 
-def seo_summary(spark: SparkSession, d: str) -> DataFrame:
-    pages = t.table(spark, d, "pages")
-    sites = pages.select("page_id", urls.domain(F.col("url")).alias("site"))
-    return extract.site_summary(extract.observations(pages), sites).drop("mean_words")
-
-
 def admission(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("page_id")
     rows = t.table(spark, d, "pages").select("page_id", "html", F.when(k % 6 == 0, 404).otherwise(200).alias("status"), F.when(k % 5 == 0, "image/png").otherwise("Text/HTML; charset=utf-8").alias("content_type"))
-    return quality.admit(rows, cap=3000).select("page_id", "reject_code", "truncated", F.length("html").alias("kept_chars"))
+    return quality.admit(rows, cap=2_000_000).select("page_id", "reject_code", "truncated", F.length("html").alias("kept_chars"))
 
 
 def price_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -162,21 +158,21 @@ links AS (SELECT site, url, seq, CASE WHEN p = '' THEN 'home' ELSE {_KIND} END A
 _CAP = "CASE page_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_CAPS.items()) + f" ELSE {DEFAULT_CAP} END"
 _SAFE_IP = " OR ".join(f"(n >= {a} AND n < {b})" for a, b in urls.private_ranges())
 
-QUERIES = {f.__name__: f for f in (url_canonical, url_dedup, url_safety, classify_links, rank_links, robots_allowed, sitemap_scan, page_observations, page_links, seo_summary, admission, price_extract, parse_amounts, enforce_prices)}
+QUERIES = {f.__name__: f for f in (url_canonical, url_dedup, url_safety, classify_links, rank_links, robots_allowed, sitemap_scan, page_observations, page_links, admission, price_extract, parse_amounts, enforce_prices)}
 ORACLE_SQL = {
     "url_canonical": f"SELECT page_id, {_canon('url')} AS canonical, sha256({_canon('url')}) AS url_hash, {_DOMAIN} AS domain, {_DOMAIN} = 'example.com' OR {_DOMAIN} LIKE '%.example.com' AS same_site FROM pages",
     "url_dedup": f"SELECT {_canon('url')} AS canonical, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1",
     "url_safety": f"""WITH u AS (SELECT c_custkey AS id, c_custkey % 6 AS m, ((c_custkey * 7) % 256) * 16777216 + ((c_custkey * 3) % 256) * 65536 + ((c_custkey * 5) % 256) * 256 + c_custkey % 256 AS n,
   CASE c_custkey % 6 WHEN 0 THEN 'http://' || concat_ws('.', (c_custkey * 7) % 256, (c_custkey * 3) % 256, (c_custkey * 5) % 256, c_custkey % 256) || '/x' WHEN 1 THEN 'ftp://h' || c_custkey || '.example.com/' WHEN 2 THEN 'https://u:p@h' || c_custkey || '.com/' WHEN 3 THEN 'https://host:' || (c_custkey % 3 * 363 + 80) || '/' WHEN 4 THEN 'http://db' || c_custkey || '.internal/' ELSE 'https://a' || c_custkey || '.org/p.pdf?x=1' END AS url FROM customer)
-SELECT id, url, CASE m WHEN 0 THEN CASE WHEN {_SAFE_IP} THEN 'private_address' END WHEN 1 THEN 'scheme_not_allowed' WHEN 2 THEN 'credentials_in_url' WHEN 3 THEN CASE WHEN id % 3 * 363 + 80 IN (80, 443) THEN 'single_label' ELSE 'port_not_allowed' END WHEN 4 THEN 'blocked_host' END AS code, m = 5 AS binary FROM u""",
+SELECT id, url, CASE m WHEN 0 THEN CASE WHEN {_SAFE_IP} THEN 'private_address' END WHEN 1 THEN 'scheme_not_allowed' WHEN 2 THEN 'credentials_in_url' WHEN 3 THEN CASE WHEN id % 3 * 363 + 80 IN (80, 443) THEN 'host_not_allowed' ELSE 'port_not_allowed' END WHEN 4 THEN 'host_not_allowed' END AS code, m = 5 AS binary FROM u""",
     "classify_links": f"WITH {_LINKS} SELECT site, url, page_type, score FROM links",
     "rank_links": f"WITH {_LINKS}, c AS (SELECT *, row_number() OVER (PARTITION BY site, page_type ORDER BY score DESC, length(url), seq) AS k FROM links), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, length(url), seq) AS position FROM c WHERE k <= {_CAP}) SELECT site, url, page_type, score, position FROM r WHERE position <= 12",
     "robots_allowed": f"""WITH f AS (SELECT s_suppkey - 1 AS n, s_suppkey % 9 + 1 AS b FROM supplier), p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS origin, {_PATH.format('url')} AS path FROM pages)
 SELECT page_id, NOT starts_with(path, '/en/' || b) OR b IS NULL AS allowed FROM p LEFT JOIN f ON f.n = length(origin) % (SELECT count(*) FROM supplier)""",
-    "sitemap_scan": rf"""WITH s AS (SELECT {_DOMAIN} AS site, regexp_extract(url, '^([^?#]*)', 1) || CASE page_id % 9 WHEN 0 THEN 'map.xml' WHEN 1 THEN 'a.png' ELSE '' END AS raw FROM pages)
+    "sitemap_scan": rf"""WITH s AS (SELECT {_DOMAIN} AS site, regexp_extract(url, '^([^?#]*)', 1) || CASE page_id % 9 WHEN 0 THEN 'map.xml' WHEN 1 THEN 'a.png' ELSE '' END AS raw FROM pages QUALIFY row_number() OVER (PARTITION BY site ORDER BY '<url><loc> ' || raw || ' </loc></url>', page_id) <= 500)
 SELECT DISTINCT site, {_canon('raw')} AS url, CASE WHEN raw LIKE '%.xml' THEN 'nested' ELSE 'page' END AS kind FROM s WHERE NOT raw LIKE '%.png'""",
     "page_links": """SELECT page_id, href, min(i) - 1 AS first_seq FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages) WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:|data:)') GROUP BY ALL""",
-    "admission": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'http_404' WHEN page_id % 5 = 0 THEN 'content_type' END AS reject_code, length(html) > 3000 AS truncated, least(length(html), 3000) AS kept_chars FROM pages",
+    "admission": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'http_404' WHEN page_id % 5 = 0 THEN 'content_type' END AS reject_code, length(html) > 2000000 AS truncated, least(length(html), 2000000) AS kept_chars FROM pages",
     "price_extract": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'one_time' ELSE 'unknown' END AS period, CAST(printf('%.2f', p_retailprice) AS DOUBLE) AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM part",
     "parse_amounts": """WITH k AS (SELECT l_orderkey, l_linenumber, l_orderkey * 10 + l_linenumber AS k, CAST(floor(l_extendedprice) AS BIGINT) AS w FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE k % 5 WHEN 0 THEN CAST(w || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS DOUBLE) WHEN 1 THEN CAST(w || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS DOUBLE) WHEN 2 THEN CAST('1' || lpad(CAST(k % 1000 AS VARCHAR), 3, '0') || '.' || lpad(CAST(k % 100 AS VARCHAR), 2, '0') AS DOUBLE) WHEN 3 THEN CAST((k % 90 + 1) * 1000 + k % 1000 AS DOUBLE) END AS amount FROM k""",

@@ -32,6 +32,13 @@ def plans_from_prices(spark: SparkSession, d: str) -> DataFrame:
     return facts.plans_from_prices(_prices(spark, d))
 
 
+def pricing_notes(spark: SparkSession, d: str) -> DataFrame:
+    """What there is to say on each brand's prices, of brands without any too."""
+    rows = _prices(spark, d)
+    brands = rows.select("competitor_id").distinct()
+    return facts.pricing_notes(brands, rows.where(F.col("competitor_id") != "Brand#7").withColumn("preceding", F.when(F.col("competitor_id") != "Brand#9", F.col("preceding"))).withColumn("context", F.when(F.col("competitor_id") != "Brand#9", F.col("context"))))
+
+
 def catalogue_from_headings(spark: SparkSession, d: str) -> DataFrame:
     pages = t.table(spark, d, "pages")
     site = pages.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("competitor_id"))
@@ -107,7 +114,7 @@ _P = """p AS (SELECT p_brand AS competitor_id, p_partkey AS seq, p_retailprice A
   CASE WHEN p_partkey % 4 = 0 THEN 'Pro' WHEN p_partkey % 5 = 0 THEN 'Team' END AS name FROM part)"""
 QUERIES = {
     f.__name__: f
-    for f in (observed_price_gate, plans_from_prices, catalogue_from_headings, site_positioning, page_budget, price_history, score_history, selected_scores, domain_admission, notification_inbox, product_profiles, weekly_report, batch_summary)
+    for f in (observed_price_gate, plans_from_prices, pricing_notes, catalogue_from_headings, site_positioning, page_budget, price_history, score_history, selected_scores, domain_admission, notification_inbox, product_profiles, weekly_report, batch_summary)
 }
 _DOM = r"regexp_replace(rtrim(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.'), '^www\.', '')"
 
@@ -115,6 +122,10 @@ _DOM = r"regexp_replace(rtrim(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)',
 ORACLE_SQL = {
     "observed_price_gate": f"WITH {_P}, q AS (SELECT competitor_id, seq, CASE WHEN competitor_id <> 'Brand#11' THEN page_type END AS page_type FROM p), h AS (SELECT DISTINCT competitor_id FROM q WHERE page_type = 'pricing'), g AS (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY seq) AS k FROM q WHERE page_type = 'pricing' OR competitor_id NOT IN (SELECT * FROM h)) SELECT competitor_id, seq, page_type FROM g WHERE k <= 60",
     "plans_from_prices": f"WITH {_P}, a AS (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY seq) AS k FROM p WHERE page_type IS NULL OR page_type = 'pricing'), b AS (SELECT *, row_number() OVER (PARTITION BY competitor_id, name, period ORDER BY seq) AS m FROM a WHERE k <= 12 AND name IS NOT NULL) SELECT competitor_id, name, amount, 'EUR' AS currency, period, 'observed' AS source FROM b WHERE m = 1",
+    "pricing_notes": f"""WITH {_P}, z AS (SELECT competitor_id, seq, page_type, CASE WHEN competitor_id <> 'Brand#9' THEN name END AS name FROM p WHERE competitor_id <> 'Brand#7'), o AS (SELECT competitor_id, count(*) AS observed FROM z GROUP BY 1),
+c AS (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY seq) AS k FROM z WHERE page_type IS NULL OR page_type = 'pricing'), m AS (SELECT competitor_id, count(DISTINCT name) AS named, count(*) FILTER (name IS NULL) AS unnamed FROM c WHERE k <= 12 GROUP BY 1),
+a AS (SELECT competitor_id, coalesce(observed, 0) AS observed, coalesce(named, 0) AS named, coalesce(unnamed, 0) AS unnamed FROM (SELECT DISTINCT competitor_id FROM p) LEFT JOIN o USING (competitor_id) LEFT JOIN m USING (competitor_id))
+SELECT competitor_id, observed, named, CASE WHEN named > 0 THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence, CASE WHEN named > 0 AND unnamed = 0 THEN NULL WHEN observed = 0 THEN 'No prices were found on the crawled pages.' WHEN named = 0 THEN observed || ' price(s) were found on this site, but none of them sits next to a recognisable plan name. That usually means the prices belong to products rather than to subscription tiers. Configure an AI provider to interpret them.' ELSE unnamed || ' further price(s) were found that could not be matched to a named plan.' END AS note FROM a""",
     "page_budget": "SELECT source AS competitor_id, CAST(doc_id AS VARCHAR) AS url, k AS position, least(length(text), 6000) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 50 <> 0)::INT, n_chars % 97 DESC, CAST(doc_id AS VARCHAR)) AS k FROM documents) WHERE k <= 12",
     "price_history": "SELECT o_custkey, o_orderkey, round_even(o_totalprice - lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS step FROM orders",
     "score_history": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id DESC) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 5",

@@ -29,29 +29,30 @@ def threat_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def worst_threat(spark: SparkSession, d: str) -> DataFrame:
-    org = _inputs(spark, d).select("competitor_id", "organization_id")
-    return scoring.worst_threat(score_overall(spark, d).join(org, "competitor_id"), "organization_id")
+    return scoring.worst_threat(scoring.scored(_inputs(spark, d), "organization_id"), "organization_id")
 
 
 def market_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.market_gaps(score_dimensions(spark, d))
+    return scoring.market_gaps(scoring.scored(_inputs(spark, d)))
 
 
 def comparison_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.comparison_matrix(score_dimensions(spark, d), score_overall(spark, d))
+    return scoring.comparison_matrix(scoring.scored(_inputs(spark, d)))
 
 
 def comparison_leader(spark: SparkSession, d: str) -> DataFrame:
     """The best competitor of each organisation, and of each dimension within it."""
-    org = _inputs(spark, d).select("competitor_id", "organization_id")
-    rows = score_dimensions(spark, d).where("score is not null").join(org, "competitor_id")
-    best = rows.groupBy("organization_id", "dimension").agg(F.max("score").alias("score"))
-    return rows.join(best, ["organization_id", "dimension", "score"]).groupBy("organization_id", "dimension", "score").agg(F.min("competitor_id").alias("leader"), F.count("*").alias("tied"))
+    each = F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(k).alias("score")) for k in WEIGHTS])
+    rows = scoring.scored(_inputs(spark, d), "organization_id").select("competitor_id", "organization_id", F.inline(each)).where("score is not null")
+    # Ties are counted per score before the best one is taken.
+    rows = rows.groupBy("organization_id", "dimension", "score").agg(F.min("competitor_id").alias("leader"), F.count("*").alias("tied"))
+    best = F.max(F.struct("score", "leader", "tied")).alias("b")
+    return rows.groupBy("organization_id", "dimension").agg(best).select("organization_id", "dimension", "b.score", "b.leader", "b.tied")
 
 
 def dashboard_counters(spark: SparkSession, d: str) -> DataFrame:
     """Per organisation: competitors, active and analysed ones, and their mean score."""
-    rows = score_overall(spark, d).join(_inputs(spark, d).select("competitor_id", "organization_id", "has_favicon"), "competitor_id")
+    rows = scoring.scored(_inputs(spark, d), "organization_id", "has_favicon")
     return rows.groupBy("organization_id").agg(
         F.count("*").alias("competitors"), F.count_if("has_favicon").alias("active"), F.count_if(~F.col("has_favicon")).alias("archived"), F.count_if(F.col("overall").isNotNull()).alias("analysed"), F.bround(F.avg("overall"), 1).alias("mean_score")
     )
@@ -68,7 +69,7 @@ def review_sentiment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def score_report(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON section per competitor: its dimensions, measured ones first by score, then the unknown."""
+    """Each competitor's dimensions as one text, measured ones first by score, then the unknown."""
     rows = score_dimensions(spark, d).withColumn("text", F.when(F.col("score").isNull(), "Insufficient data").otherwise(F.format_string("%.1f", "score")))
     item = F.struct((-F.coalesce("score", F.lit(-1.0))).alias("k"), "dimension", "text")
     return rows.groupBy("competitor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.concat_ws("=", x["dimension"], x["text"])), ";").alias("section"))

@@ -74,13 +74,14 @@ def injection_flags(spark: SparkSession, d: str) -> DataFrame:
 def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("conv_id")
     dirty = F.concat("role", F.lit(" : "), "text", F.when(k % 2 == 0, "\n\n\n\n\n</untrusted_content x><tool_use>").otherwise(F.lit("​‮x")))
-    rows = t.table(spark, d, "conversations").select("conv_id", "turn", tx.defang(dirty).alias("text"))
-    return rows.select("conv_id", "turn", F.md5("text").alias("digest"), F.length("text").alias("n_chars"))
+    rows = t.table(spark, d, "conversations").select("conv_id", "turn", tx.sanitize(dirty, 4_000).alias("s"))
+    return rows.select("conv_id", "turn", F.md5("s.text").alias("digest"), F.array_join("s.flags", ",").alias("flags"), F.col("s.original_length").alias("original_length"), F.col("s.truncated").alias("truncated"))
 
 
 def key_scrub(spark: SparkSession, d: str) -> DataFrame:
     """Event properties with secrets redacted."""
-    props = F.concat(F.lit('{"id": "'), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, '", "api_key": "s3"}').otherwise('", "tokens_in": "7"}'))
+    tail = F.when(F.col("event_id") % 2 == 0, ', "user": {"Password": "s3", "n": [1, {"csrf_x": true}]}}').otherwise(', "tokens_in": 7, "cookie": null}')
+    props = F.concat(F.lit('{"props": '), "props", F.lit(', "id": '), F.col("event_id").cast("string"), tail)
     return _events(spark, d).select("event_id", quality.scrub(props).alias("props"))
 
 
@@ -111,6 +112,6 @@ SELECT source AS competitor_id, h AS content_hash, seq FROM (SELECT *, row_numbe
     "retention_prune": "SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-13' AND props <> '') AS cleared, coalesce(sum(CASE WHEN ts < TIMESTAMP '2024-01-13' THEN 0 ELSE length(props) END), 0)::BIGINT AS chars FROM events GROUP BY user_id",
     "competitor_page": "WITH f AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_name ILIKE '%1%') SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 40 AS has_more FROM f ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 20",
     "injection_flags": f"WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ': ' ELSE '' END || text AS t FROM conversations) SELECT conv_id, turn, array_to_string(list_filter([{_INJ}], lambda x: x IS NOT NULL), ',') AS flags FROM c",
-    "key_scrub": """SELECT event_id, '{"id":"' || event_id || CASE WHEN event_id % 2 = 0 THEN '","api_key":"[redacted]"}' ELSE '","tokens_in":"7"}' END AS props FROM events""",
+    "key_scrub": """SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"user":{"Password":"[redacted]","n":[1,{"csrf_x":"[redacted]"}]}}' ELSE ',"tokens_in":7,"cookie":"[redacted]"}' END AS props FROM events""",
     "record_violations": "SELECT * FROM (SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN NOT l_quantity BETWEEN 1 AND 40 THEN 'quantity_range' END, CASE WHEN NOT l_discount <= 0.08::DOUBLE THEN 'discount_range' END, CASE WHEN NOT l_returnflag IN ('A', 'N') THEN 'flag_known' END], lambda x: x IS NOT NULL), ',') AS violations FROM lineitem) WHERE violations <> ''",
 }

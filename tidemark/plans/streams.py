@@ -11,44 +11,69 @@ from tidemark.sources import tables as t
 from tidemark.streaming import jobs
 
 
+#: How late events of the given tables come at most: every 97th comes one of five batches of a month later.
+LATE = "15 days"
+
+
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
-    out = jobs.run(jobs.request_windows(jobs.events(spark, d), ["user_id"], "6 hours", 2), jobs.append, "update")
+    out = jobs.run(jobs.request_windows(jobs.dealt(spark, d), ["user_id"], "6 hours", 2, LATE), jobs.append, "update")
     return jobs.last_update(out, ["window_start", "user_id"]).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 def stream_sliding_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = jobs.run(jobs.sliding_counts(jobs.events(spark, d), "event_type", "7 days", "1 day"), jobs.append, "update")
+    out = jobs.run(jobs.sliding_counts(jobs.dealt(spark, d), "event_type", "7 days", "1 day", LATE), jobs.append, "update")
     return jobs.last_update(out, ["window_start", "event_type"]).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.run(jobs.deliver_once(jobs.events(spark, d), ["event_id"]), jobs.append).select("event_id", "user_id")
+    return jobs.run(jobs.deliver_once(jobs.dealt(spark, d), ["event_id"], LATE), jobs.append).select("event_id", "user_id")
 
 
 def stream_usage(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.last_update(jobs.run(jobs.monthly_usage(jobs.events(spark, d), "user_id", "value"), jobs.append, "update"), ["user_id", "period"])
+    return jobs.last_update(jobs.run(jobs.monthly_usage(jobs.dealt(spark, d), "user_id", "value"), jobs.append, "update"), ["user_id", "period"])
 
 
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     """Values that differ by a tenth from the user's last one of the same type."""
-    return jobs.run(jobs.events(spark, d), jobs.value_changes(["user_id", "event_type"], "value", 0.1)).drop("batch")
+    return jobs.run(jobs.dealt(spark, d, late=2**40), jobs.value_changes(["user_id", "event_type"], "value", 0.1)).drop("batch")
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     """Events matched with rules made of nations."""
     k = F.col("n_nationkey")
     kinds, levels = F.array(*map(F.lit, ("click", "purchase", "error"))), F.array(*map(F.lit, SEVERITIES))
-    rules = t.table(spark, d, "nation").select(k.alias("rule_id"), kinds[(k % 3).cast("int")].alias("event_type"), levels[(k % 2 + 1).cast("int")].alias("min_severity")).where("rule_id < 9")
-    stream = jobs.events(spark, d).withColumn("severity", levels[(F.col("event_id") % 3).cast("int")])
+    rules = t.table(spark, d, "nation").select(k.alias("rule_id"), kinds[(k % 3).cast("int")].alias("event_type"), levels[(k % 2 + 1).cast("int")].alias("min_severity"))
+    stream = jobs.dealt(spark, d).withColumn("severity", levels[(F.col("event_id") % 3).cast("int")])
     return jobs.run(jobs.alert_matches(stream, F.broadcast(rules)), jobs.append).select("event_id", "rule_id", "severity")
 
 
-QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_sliding_counts, stream_dedup, stream_usage, stream_changes, stream_alerts)}
+def stream_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's and type's last value with when it was seen first and last."""
+    rows = jobs.last_batch(jobs.run(jobs.dealt(spark, d), jobs.catalogue(["user_id", "event_type"], ["value"])))
+    return rows.select("user_id", "event_type", "value", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")])
+
+
+def stream_replays(spark: SparkSession, d: str) -> DataFrame:
+    """Families that are revoked by the second use of a token: users are families, events of one key their tokens."""
+    stream = jobs.dealt(spark, d, late=2**40).select(F.col("user_id").alias("family"), (F.col("event_id") % 12).alias("token"), "ts", "event_id")
+    return jobs.run(jobs.revoked_families(stream, LATE), jobs.append).select("family", "token", F.date_format("revoked_at", "yyyy-MM-dd HH:mm:ss").alias("revoked_at"))
+
+
+def stream_stuck_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs that nothing finished in time: purchases start a user's job, views finish it."""
+    kind = F.when(F.col("event_type") == "purchase", "start").when(F.col("event_type") == "view", "finish")
+    stream = jobs.dealt(spark, d, late=2**40).select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind")).where("kind is not null")
+    return jobs.run(jobs.stuck_jobs(stream), jobs.append).drop("batch")
+
+
+QUERIES = {f.__name__: f for f in (stream_rate_limit, stream_sliding_counts, stream_dedup, stream_usage, stream_changes, stream_alerts, stream_catalogue, stream_replays, stream_stuck_jobs)}
 ORACLE_SQL = {
     "stream_rate_limit": BATCH["rate_limit_windows"],
     "stream_sliding_counts": "SELECT strftime(w, '%Y-%m-%d') AS window_start, event_type, count(*) AS n FROM (SELECT event_type, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAYS, date_trunc('day', ts), INTERVAL 1 DAY)) AS w FROM events) GROUP BY ALL",
     "stream_dedup": "SELECT DISTINCT event_id, user_id FROM events",
     "stream_usage": "SELECT user_id, strftime(ts, '%Y-%m') AS period, count(*) AS n, round_even(sum(value), 2) AS total FROM events GROUP BY ALL",
     "stream_changes": "SELECT user_id, event_type, event_id, before, after FROM (SELECT user_id, event_type, event_id, value AS after, lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events) WHERE abs(after - before) / nullif(abs(before), 0) >= 0.1::DOUBLE",
-    "stream_alerts": "SELECT event_id, n_nationkey AS rule_id, (['low', 'medium', 'high'])[event_id % 3 + 1] AS severity FROM events JOIN nation ON event_type = (['click', 'purchase', 'error'])[n_nationkey % 3 + 1] WHERE n_nationkey < 9 AND event_id % 3 >= n_nationkey % 2 + 1",
+    "stream_catalogue": "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM events GROUP BY ALL",
+    "stream_replays": "SELECT user_id AS family, event_id % 12 AS token, strftime(ts, '%Y-%m-%d %H:%M:%S') AS revoked_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 12 ORDER BY ts, event_id) AS k FROM events) WHERE k > 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "stream_alerts": "SELECT event_id, n_nationkey AS rule_id, (['low', 'medium', 'high'])[event_id % 3 + 1] AS severity FROM events JOIN nation ON event_type = (['click', 'purchase', 'error'])[n_nationkey % 3 + 1] WHERE event_id % 3 >= n_nationkey % 2 + 1",
 }

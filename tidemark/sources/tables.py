@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,67 @@ def append_by_date(df: DataFrame, path: str, ts: str) -> None:
     df.withColumn(day, F.to_date(ts)).write.mode("append").partitionBy(day).parquet(path)
 
 
+def fetched(urls: DataFrame, fetch: Callable[[str], dict]) -> DataFrame:
+    """Pages of ``urls(page_id, url)`` as ``fetch`` gives them: ``page_id, url, final_url, status, content_type, html, error``.
+
+    ``fetch`` returns a dictionary of these fields for one URL; an exception is that page's ``error``.  It runs in tasks.
+    """
+    names = ["page_id", "url", "final_url", "status", "content_type", "html", "error"]
+
+    def one(page_id: int, url: str) -> tuple:
+        try:
+            got = fetch(url)
+            return page_id, url, got.get("final_url", url), got.get("status"), got.get("content_type"), got.get("html"), None
+        except Exception as error:  # whatever the caller's function raises is the page's result
+            return page_id, url, None, None, None, None, f"{type(error).__name__}: {error}"
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([one(*x) for x in zip(b["page_id"], b["url"])], columns=names).astype({"status": "Int32"})
+
+    return urls.select(F.col("page_id").cast("long").alias("page_id"), "url").mapInPandas(work, "page_id long, url string, final_url string, status int, content_type string, html string, error string")
+
+
+def deliver(outbox: DataFrame, send: Callable[[dict], bool]) -> DataFrame:
+    """``notification_id, ok`` of the pending rows of an outbox, by ``send`` with each row as a dictionary; an exception is a failure."""
+
+    def one(row: dict) -> bool:
+        try:
+            return bool(send(row))
+        except Exception:  # a delivery that fails for whatever reason is tried again
+            return False
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"notification_id": b["notification_id"], "ok": [one(r) for r in b.to_dict("records")]})
+
+    kind = outbox.schema["notification_id"].dataType.simpleString()
+    return outbox.where("status = 'pending'").mapInPandas(work, f"notification_id {kind}, ok boolean")
+
+
+def reviews(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """Reviews from a Parquet folder; without one, none."""
+    schema = "key string, source string, source_url string, rating double, max_rating double"
+    return spark.createDataFrame([], schema) if path is None else spark.read.schema(schema).parquet(path)
+
+
+def demo(spark: SparkSession) -> dict[str, DataFrame]:
+    """A small made-up market to try things on: three competitors with plans, products, features, scores and one price change."""
+    names = ("Northwind Analytics", "Kestrel CRM", "Palisade Desk")
+    plans = [("d0", "Free", 0.0, False), ("d0", "Team", 89.0, False), ("d0", "Business", 249.0, False), ("d0", "Enterprise", None, True), ("d1", "Custom", None, True), ("d2", "Standard", 49.0, False)]
+    products = [("d0", "Insights"), ("d0", "Pipelines"), ("d1", "Contacts"), ("d2", "Inbox")]
+    features = [(f"d{k % 3}", f"Feature {k + 1}") for k in range(14)]
+    change = [("d0", "price_increased", "medium", "team|monthly", 79.0, 89.0, round(10 / 79, 4))]
+    return {
+        "competitors": spark.createDataFrame([(f"d{k}", "demo", n, f"https://{n.split()[0].lower()}.example/") for k, n in enumerate(names)], "competitor_id string, organization_id string, name string, website string"),
+        "plans": spark.createDataFrame(plans, "competitor_id string, name string, amount double, is_custom_pricing boolean"),
+        "products": spark.createDataFrame(products, "competitor_id string, name string"),
+        "features": spark.createDataFrame(features, "competitor_id string, name string"),
+        "scores": spark.createDataFrame([("d0", 75.0, "high"), ("d1", 40.0, "moderate"), ("d2", None, "unknown")], "competitor_id string, overall double, threat_level string"),
+        "changes": spark.createDataFrame(change, "competitor_id string, change_type string, severity string, entity_key string, before double, after double, magnitude double"),
+    }
+
+
 PERIODS = ("monthly", "yearly", "one_time")
 
 
