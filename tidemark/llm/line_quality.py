@@ -1,7 +1,10 @@
 """Quality rules with line labels: a linear-chain CRF marks each line as content or boilerplate.
 
-The CRF's weights are trained here, on the lines of a bounded sample of labelled documents (a line has its document's
-quality).  Viterbi decoding labels every line of every whole text; the share of words on content lines decides.
+The CRF's weights are trained here, on line sequences of two bounded samples.  Pages that label themselves give true line
+labels: their blocks inside and outside the article.  Labelled documents give weak ones: a good document's lines are
+content, but for lines that other documents repeat; a bad document's are boilerplate, but for those that read like good
+documents' lines.  So labels change within a sequence.  Viterbi decoding labels every line of every whole text; the share
+of words on content lines decides.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.main_text import BLOCK, read_page
+
 SYMBOLS = "#*$%&|<>"
 SYMBOL = re.compile("[#*$%&|<>]")
 WINDOW = 8
@@ -131,18 +136,21 @@ class Crf:
         return np.array(out[::-1])
 
 
-def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Crf:
-    """Maximum conditional likelihood by Adam over padded sequences, each with one label for all its lines."""
+Sequence = tuple[np.ndarray, np.ndarray]
+
+
+def train(sequences: list[Sequence], rounds: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Crf:
+    """Maximum conditional likelihood by Adam over padded sequences of feature rows and labels."""
     most = max(len(x) for x, _ in sequences)
     rows = np.zeros((most, len(sequences), len(FEATURES)))
-    live = np.zeros((most, len(sequences)))
-    label = np.array([y for _, y in sequences])
-    for k, (x, _) in enumerate(sequences):
-        rows[: len(x), k], live[: len(x), k] = x, 1
+    live, label = np.zeros((most, len(sequences))), np.zeros((most, len(sequences)), int)
+    for k, (x, y) in enumerate(sequences):
+        rows[: len(x), k], live[: len(x), k], label[: len(x), k] = x, 1, y
     emit, move = np.zeros((len(FEATURES), 2)), np.zeros((2, 2))
     m1, m2 = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)]
     lines, pairs = live.sum(), live[1:].sum()
-    true_move = np.diag([(live[1:] * (label == y)).sum() for y in (0, 1)])
+    true_move = np.array([[(live[1:] * (label[:-1] == x) * (label[1:] == y)).sum() for y in (0, 1)] for x in (0, 1)])
+    true = np.stack([live * (label == 0), live * (label == 1)], axis=2)
     for step in range(1, rounds + 1):
         e = rows @ emit
         forward, backward = np.zeros_like(e), np.zeros_like(e)
@@ -155,7 +163,6 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 200, rate: floa
         whole = np.logaddexp(forward[-1, :, 0], forward[-1, :, 1])
         odds = np.exp(forward + backward - whole[:, None]) * live[:, :, None]
         joint = np.exp(forward[:-1, :, :, None] + move + (e + backward)[1:, :, None, :] - whole[:, None, None]) * live[1:, :, None, None]
-        true = np.stack([live * (label == 0), live * (label == 1)], axis=2)
         grads = [np.einsum("tsf,tsy->fy", rows, true - odds) / lines - decay * emit, (true_move - joint.sum(axis=(0, 1))) / max(pairs, 1) - decay * move]
         for k, (w, g) in enumerate(zip((emit, move), grads)):
             m1[k] = 0.9 * m1[k] + 0.1 * g
@@ -164,19 +171,95 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 200, rate: floa
     return Crf(emit, move)
 
 
-def fit(docs: DataFrame, labels: DataFrame, documents: int = 2_000) -> Crf | None:
-    """A CRF from at most ``documents`` labelled documents, those whose doc_ids hash lowest; None without both labels.
+def accuracy(crf: Crf, sequences: list[Sequence]) -> float:
+    """Share of lines whose Viterbi label is right."""
+    right = sum(int((crf.viterbi(x) == y).sum()) for x, y in sequences)
+    return right / max(sum(len(y) for _, y in sequences), 1)
+
+
+def page_lines(source: str | None) -> tuple[str, np.ndarray] | None:
+    """The blocks of a page as the lines of a text, and whether each is article text; None without one article element."""
+    page = read_page(source)
+    if page.articles != 1:
+        return None
+    lines, labels, part, inside = [], [], [], 0
+    for kind, text, within, barred in [*zip(page.kinds, page.texts, page.inside, page.barred), ("tag p", None, False, False)]:
+        if text is not None:
+            part.append(text)
+            inside += len(text.split()) * (1 if within and not barred else -1)
+        elif kind[4:].partition(".")[0] in BLOCK:
+            if line := " ".join("".join(part).split()):
+                lines.append(line)
+                labels.append(inside > 0)
+            part, inside = [], 0
+    return "\n".join(lines), np.array(labels, int)
+
+
+def _rows_of(kind: str, key: int, text: str, labels: np.ndarray | None, lines: int) -> pd.DataFrame:
+    found = read_text(text)
+    n = min(len(found.lines), lines)
+    label = labels[:n] if labels is not None else np.full(n, -1)
+    return pd.DataFrame({"kind": kind, "key": key, "line_no": np.arange(n), "label": label, "x": list(found.lines[:n])})
+
+
+LINES = "kind string, key long, line_no int, label int, x array<double>"
+
 
-    A document's sequence is its non-blank lines, in parts of 64; equal doc_ids with different labels are left out.
+def content_chance(x: np.ndarray, label: np.ndarray, known: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Chance that each line is content, by a logistic model of the ``known`` lines alone; both labels weigh alike."""
+    own, y = x[known], label[known]
+    weight = np.where(y > 0, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max(len(y) - y.sum(), 1)))
+    w = np.zeros(x.shape[1])
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+        w += np.linalg.solve((own * (weight * p * (1 - p))[:, None]).T @ own + ridge * np.eye(len(w)), own.T @ (weight * (y - p)) - ridge * w)
+    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+
+def sequences_of(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, documents: int = 2_000, page_count: int = 500, lines: int = 256) -> list[Sequence]:
+    """Training sequences of at most ``documents`` labelled documents and ``page_count`` pages, those whose ids hash lowest.
+
+    Each gives at most its first ``lines`` non-blank lines, in parts of 64.  Features are computed in tasks.  A model of
+    the documents' lines alone gives lines of bad documents that read like good ones' back, and takes lines of articles
+    that read like bad ones' away.  Equal doc_ids with different labels are left out, as are null labels.
     """
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     ids = ids.where("low = high").select("doc_id", F.col("low").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
-    parts = []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        x = read_text(r["text"]).lines
-        parts += [(x[k : k + SEQUENCE], int(r["label"] > 0)) for k in range(0, len(x), SEQUENCE)]
-    return train(parts) if len({y for _, y in parts}) == 2 else None
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+
+    def of_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc_id, text, label in zip(b["doc_id"], b["text"], b["label"]):
+                yield _rows_of("good" if label > 0 else "bad", doc_id, text, None, lines)
+
+    def of_pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for page_id, source in zip(b["page_id"], b["html"]):
+                if found := page_lines(source):
+                    yield _rows_of("page", page_id, *found, lines)
+
+    rows = chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label").mapInPandas(of_documents, LINES)
+    if pages is not None:
+        few = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(page_count)
+        some = pages.join(F.broadcast(few), "page_id").groupBy("page_id").agg(F.min(F.col("html").cast("string")).alias("html"))
+        rows = rows.unionByName(some.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInPandas(of_pages, LINES))
+    table = rows.toPandas().sort_values(["kind", "key", "line_no"], kind="stable").reset_index(drop=True)
+    if not {"good", "bad"} <= set(table["kind"]):
+        return []
+    x, label = np.array(table["x"].tolist()), table["label"].to_numpy().copy()
+    good, bad, page = ((table["kind"] == kind).to_numpy() for kind in ("good", "bad", "page"))
+    label[good], label[bad] = 1, 0
+    content = content_chance(x, label, good | bad)
+    label[bad & (content >= 0.5)] = 1
+    label[page & (content < 0.5)] = 0
+    starts = np.flatnonzero((table["key"].diff() != 0) | (table["kind"] != table["kind"].shift()) | (table["line_no"] % SEQUENCE == 0))
+    return [(x[a:b], label[a:b]) for a, b in zip(starts, [*starts[1:], len(x)])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, pages: DataFrame | None = None, **bounds: int) -> Crf | None:
+    """A CRF from :func:`sequences_of` (``bounds`` are its samples' sizes); None without documents of both labels."""
+    sequences = sequences_of(docs, labels, pages, **bounds)
+    return train(sequences) if sequences else None
 
 
 def quality_rules(docs: DataFrame, crf: Crf | None, min_content: float = 0.5) -> DataFrame:
