@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.functions.constants import DEFAULT_CAP, TYPE_CAPS
+from tidemark.functions.text import let
 from tidemark.operators.state import first_wins
 
 
 def classified(links: DataFrame) -> DataFrame:
     """``links(site, url, anchor, seq)`` normalised, of their own site, no binaries, the first of equal ones, with type and score."""
-    rows = links.withColumn("url", urls.normalize_url(F.col("url"))).where(F.col("url") != "")
-    rows = rows.where(urls.same_site(F.col("url"), F.col("site")) & ~urls.is_binary(F.col("url")))
+    site = F.col("site")
+    parts = let(urls.normalize_url(F.col("url")), lambda u: F.struct(u.alias("url"), (urls.same_site(u, site) & ~urls.is_binary(u) & (u != "")).alias("wanted")))
+    # As generators, so that filters and windows on their results do not have them computed again.
+    rows = links.select("site", "anchor", "seq", F.inline(F.array(parts))).where("wanted")
     rows = first_wins(rows, ["site", "url"], "seq")
-    return rows.withColumn("c", urls.classify(F.col("url"), F.col("anchor"))).select("site", "url", "anchor", "seq", "c.page_type", "c.score")
+    return rows.select("site", "url", "anchor", "seq", F.inline(F.array(urls.classify(F.col("url"), F.col("anchor")))))
 
 
 def candidates(links: DataFrame, sitemap: DataFrame, homes: DataFrame) -> DataFrame:

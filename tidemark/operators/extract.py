@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import CTA_WORDS, SOCIAL_HOSTS
 from tidemark.functions.prices import detected
-from tidemark.functions.text import clean_text, injection_flags, words
+from tidemark.functions.text import clean_text, injection_flags, let, words
 from tidemark.functions.urls import is_binary, normalize_url, same_site
 
 SCHEMA = (
@@ -159,9 +159,12 @@ def page_links(observed: DataFrame, sites: DataFrame, most_internal: int = 400,
     ``sites(page_id, site)`` gives the base domain, as ``domain`` where it has such a column.  Internal ones are the first of equal targets in page order, external
     ones are sorted; at most so many of each per page.
     """
-    rows = observed.select("page_id", F.posexplode("links").alias("seq", "l")).select("page_id", "seq", normalize_url(F.col("l.url")).alias("url"), "l.text").where("url is not null")
+    rows = observed.select("page_id", F.posexplode("links").alias("seq", "l")).where("l.url is not null")
+    # As a generator, so that the filter on its result does not have it computed again.
+    parts = let(normalize_url(F.col("l.url")), lambda u: F.struct(u.alias("url"), is_binary(u).alias("binary")))
+    rows = rows.select("page_id", "seq", "l.text", F.inline(F.array(parts))).where("not binary").drop("binary")
     base = sites.select("page_id", "site", F.col("domain" if "domain" in sites.columns else "site").alias("base"))
-    rows = rows.join(base, "page_id").where(~is_binary(F.col("url")))
+    rows = rows.join(base, "page_id")
     rows = rows.groupBy("page_id", "site", "base", "url").agg(F.min(F.struct("seq", "text")).alias("first"))
     rows = rows.select("page_id", "site", "url", "first.text", "first.seq", same_site(F.col("url"), F.col("base")).alias("internal"))
     order = Window.partitionBy("page_id", "internal").orderBy(F.when(F.col("internal"), F.col("seq")), "url")

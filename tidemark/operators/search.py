@@ -12,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from tidemark.functions.constants import STOPWORDS
 from tidemark.operators.state import new_chunks
@@ -21,6 +20,7 @@ from tidemark.operators.state import new_chunks
 BLOCK_QUERIES = 200
 #: Tokens of asked items that are sent to all tasks at most.
 BROADCAST_TOKENS = 200_000
+TOKEN = re.compile("[A-Za-z0-9]{3,}")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -80,27 +80,25 @@ def _block_topk(stored: DataFrame, rows: list, kind: str, k: int) -> DataFrame:
     return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case letter and digit runs of three characters or more that are no stopwords."""
-    found = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*sorted(STOPWORDS)))
-
-
-@F.pandas_udf(ArrayType(StructType([StructField("token", StringType()), StructField("weight", DoubleType())])))
-def weighted(tokens: pd.Series) -> pd.Series:
-    """Each text's different tokens with 1 + ln(count), scaled to unit length and rounded to six digits."""
-
-    def one(words: list[str] | None) -> list[dict]:
-        found = {w: 1 + math.log(n) for w, n in Counter(words if words is not None else ()).items()}
-        length = math.sqrt(sum(x * x for x in found.values()))
-        return [{"token": w, "weight": round(x / length, 6)} for w, x in found.items()]
-
-    return tokens.map(one)
+def lexical_weights(docs: DataFrame) -> DataFrame:
+    """Sparse lexical vectors ``doc_id, token, weight``: 1 + ln(count), scaled to unit length and rounded to six digits.
 
+    Tokens are lower-case letter and digit runs of three characters or more that are no stopwords.  A text is weighed
+    within its row, nothing is shuffled.
+    """
 
-def lexical_weights(docs: DataFrame) -> DataFrame:
-    """Sparse lexical vectors ``doc_id, token, weight``; a text is weighed within its row, nothing is shuffled."""
-    return docs.select("doc_id", F.inline(weighted(tokens(F.col("text")))))
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 256):
+                part = b.iloc[at : at + 256]
+                found = [Counter(w for w in map(str.lower, TOKEN.findall(t or "")) if w not in STOPWORDS) for t in part["text"]]
+                weights = [1 + np.log(np.fromiter(c.values(), float, len(c))) for c in found]
+                weights = [w / math.sqrt(float(w @ w)) for w in weights if len(w)]
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].repeat([len(c) for c in found]), "token": [w for c in found for w in c], "weight": np.round(np.concatenate(weights), 6) if weights else np.zeros(0),
+                })
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInPandas(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, token string, weight double")
 
 
 def lexical_search(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
