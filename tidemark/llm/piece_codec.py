@@ -3,8 +3,8 @@
 The model's protobuf is parsed and rebuilt there: normaliser, metaspace marker, scores (unigram models) or merges in
 score order (BPE models), and byte fallback.  Pieces hold the marker only at their front, so a text's ids are the ids of
 its units (a run of spaces with the word after it) in order; every distinct unit is encoded once, in multithreaded
-batches, and checked against the original library.  A unit on which the two differ takes the original's ids and is
-counted.
+batches, and decoded again.  The original library only checks: units on which it gives other ids, and units that do not
+come back from their ids, are counted.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Units whose ids a worker surely remembers; it may hold twice as many.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 500_000
 
 
 def parse(path: str):
@@ -83,22 +83,29 @@ class Codec:
         self.by_unit = marked and self.prefix and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap
         self.known = Recent(CACHE_UNITS)
         self.differing = 0
-        self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type in (CONTROL, UNKNOWN) else p.piece.replace(MARK, " ").encode() for p in self.proto.pieces]
+        #: Units whose ids do not give them back.
+        self.lost: set[str] = set()
+        self.silent = [k for k, p in enumerate(self.proto.pieces) if p.type in (CONTROL, UNKNOWN)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts or of units without their first space, checked against the original library."""
+        """Ids of texts or of units without their first space, by the rebuilt tokenizer; the original library's are compared."""
         out = []
-        for k in range(0, len(texts), 1024):
-            part = texts[k : k + 1024]
+        for k in range(0, len(texts), 4096):
+            part = texts[k : k + 4096]
+            ours = [x.ids for x in self.tokenizer.encode_batch_fast([" " + t for t in part] if self.prefix else part, add_special_tokens=False)]
             theirs = self.original.encode(part, num_threads=1)
-            ours = self.tokenizer.encode_batch_fast([" " + t for t in part] if self.prefix else part, add_special_tokens=False)
-            for text, mine, check in zip(part, ours, theirs):
-                if not text and self.by_unit:  # a last single space, which the original library has no text for
-                    check = mine.ids
-                self.differing += mine.ids != check
-                out.append(array("I", check).tobytes())
+            # The original library has no text for a last single space, and none for an empty text's prefix.
+            self.differing += sum(mine != check for text, mine, check in zip(part, ours, theirs) if text)
+            self.lost.update(text for text, again in zip(part, self.texts_of(ours)) if again != text.replace(MARK, " "))
+            out += [array("I", mine).tobytes() for mine in ours]
         return out
 
+    def texts_of(self, ids: list[list[int]]) -> list[str]:
+        """The texts of lists of ids by the rebuilt decoder, without the dummy prefix; control pieces and the unknown one have no text."""
+        silent = set(self.silent)
+        texts = self.tokenizer.decode_batch([[i for i in x if i not in silent] if not silent.isdisjoint(x) else x for x in ids], skip_special_tokens=False)
+        return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
+
     def _units(self, text: str) -> list[str]:
         if MARK in text:  # the model knows no difference
             text = text.replace(MARK, " ")
@@ -109,16 +116,24 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_unit:
             return [ids if t else b"" for t, ids in zip(texts, self._ids(texts))]
+        return [b"".join(map(self.known.__getitem__, units)) for units in self._remember(texts)]
+
+    def _remember(self, texts: list[str]) -> list[list[str]]:
+        """The units of each text, all of them encoded."""
         self.known.turn()
         split = [self._units(t) for t in texts]
         new = self.known.missing(set().union(*split))
         self.known.update(zip(new, self._ids(new)))
-        return [b"".join(map(self.known.__getitem__, units)) for units in split]
+        return split
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: pieces' characters and fallback bytes, without the dummy prefix."""
-        text = b"".join([self.surface[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+    def check(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of each text, and whether they give the text back (the marker reads as a space)."""
+        if not self.by_unit:
+            ids = self.encode(texts)
+            again = self.texts_of([np.frombuffer(x, "<u4").tolist() for x in ids])
+            return [(x, a == t.replace(MARK, " ")) for x, a, t in zip(ids, again, texts)]
+        split = self._remember(texts)
+        return [(b"".join(map(self.known.__getitem__, units)), not self.lost or self.lost.isdisjoint(units)) for units in split]
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
@@ -142,7 +157,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = kept_by_worker(f"pieces {model}", lambda: Codec(model))
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": ["" if x is None else codec.decode(np.asarray(x, "<u4").tobytes()) for x in b["ids"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": codec.texts_of([[] if x is None else np.asarray(x).tolist() for x in b["ids"]])})
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInPandas(work, "doc_id long, text string")
 
@@ -151,8 +166,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, n_byte_ids, decoded, differing`` of every row of ``docs(doc_id, text, ...)``.
 
     ``ids_crc32`` is the unsigned CRC-32 of the ids as little-endian unsigned 32-bit integers, ``n_byte_ids`` how many of
-    them are fallback bytes, ``decoded`` whether decoding gives the text back (the marker character reads as a space),
-    and ``differing`` the units first met in the row's batch on which the rebuilt tokenizer and the original library
+    them are fallback bytes, ``decoded`` whether the rebuilt decoder gives the text back (the marker character reads as a
+    space; every distinct unit is decoded once), and ``differing`` the units first met in the row's batch on which the rebuilt tokenizer and the original library
     differ, given with the batch's first row.  Null and empty texts have no ids.
     """
 
@@ -164,12 +179,11 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
             for k in range(0, len(b), 512):
                 part = b.iloc[k : k + 512]
                 texts = part["text"].tolist()
-                ids = codec.encode(texts)
-                again = [codec.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
+                ids, again = zip(*codec.check(texts))
                 new, reported = codec.differing - reported, codec.differing
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"], "n_tokens": [len(x) // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids],
-                    "n_byte_ids": [int(is_byte[np.frombuffer(x, "<u4")].sum()) for x in ids], "decoded": again, "differing": [new] + [0] * (len(ids) - 1),
+                    "n_byte_ids": [int(is_byte[np.frombuffer(x, "<u4")].sum()) for x in ids], "decoded": list(again), "differing": [new] + [0] * (len(ids) - 1),
                 })
 
     small_batches(docs.sparkSession)
