@@ -1,13 +1,14 @@
 """Main text of web pages by the maximum-scoring subsequence of their tokens.
 
-A page is read as a sequence of words and tags.  Words score positive and tags negative; words in places that labelled
-pages show to lie outside articles (or in elements that never are article text) score low or negative.  A linear scan
-finds the contiguous region with the largest sum, and elements that are no article text are left out of it.  An article
+A page is read as a sequence of words and tags.  A word scores between 0 and 1, the more the likelier its place (block and
+class words around it) is to lie inside an article; a tag costs up to ten words, the more the likelier it (with its class
+words) stands outside of articles.  A linear scan finds the contiguous region with the largest sum, and elements that are
+no article text are left out of it.  An article
 element is evidence only: text outside it counts an eighth, and its bounds cost the region, so an article element that is
 a teaser loses to a longer main text in plain elements.
 
 The weights come from pages that label themselves: those with one article or main element.  Spark counts their words and
-tags inside and outside it by place; a weight is the log-odds of being inside.
+tags inside and outside it by place; a weight is the share inside or outside.
 """
 
 from __future__ import annotations
@@ -47,10 +48,11 @@ CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure fo
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+CLASSES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 
 
-def marks_boilerplate(name: str, attributes: str) -> bool:
-    """Whether an element is no article text by its name or by the words of its class, id or role."""
+def marks_boilerplate(name: str, attributes: str, hints: frozenset[str]) -> bool:
+    """Whether an element is no article text by its name or by the words (``hints``) of its class, id or role."""
     if name in NEVER:
         return True
     for m in NAMES.finditer(attributes) if attributes else ():
@@ -59,18 +61,24 @@ def marks_boilerplate(name: str, attributes: str) -> bool:
             return True
         if key in ("class", "id", "role") and name not in ("html", "body", *ARTICLE):
             parts = {x.lower() for x in PARTS.findall(value)}
-            if HINTS & parts and not {"has", "with", "no", "without"} & parts:  # "has-sidebar" names what the element holds
+            if hints & parts and not {"has", "with", "no", "without"} & parts:  # "has-sidebar" names what the element holds
                 return True
         if key in ("class", "id", "role") and name == "article" and {"comment", "comments", "reply"} & {x.lower() for x in PARTS.findall(value)}:
             return True
     return False
 
 
+def label_of(attributes: str) -> str:
+    """The words of an element's class, id and role, sorted, after a dot; empty without any."""
+    words = {x.lower() for m in CLASSES.finditer(attributes) for x in PARTS.findall(m[1])} if attributes else ()
+    return "." + " ".join(sorted(words)) if words else ""
+
+
 @dataclass
 class Page:
     """A page's tokens: words by block, and the tags between, in page order."""
 
-    kinds: list[str] = field(default_factory=list)  # "word <place>" or "tag <name>"
+    kinds: list[str] = field(default_factory=list)  # "word <place><label>" or "tag <name><label>"
     size: list[int] = field(default_factory=list)  # words of a text, 1 for a tag
     texts: list[str | None] = field(default_factory=list)  # a text as it stands, decoded; None for a tag
     inside: list[bool] = field(default_factory=list)  # in an article or main element
@@ -78,16 +86,16 @@ class Page:
     articles: int = 0  # outermost article or main elements that are not barred
 
 
-def read_page(source: str | None) -> Page:
+def read_page(source: str | None, hints: frozenset[str] | None = None) -> Page:
     """Tokens of ``source``; unclosed, crossed and stray tags are taken as browsers do in the common cases."""
-    page, source = Page(), source or ""
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each bars
+    page, source, hints = Page(), source or "", HINTS if hints is None else hints
+    stack: list[tuple[str, bool, str, str]] = []  # open elements, whether each bars, its own label, and the nearest one from it outwards
     bars = arts = links = heads = at = 0
 
     def close(to: int) -> None:
         nonlocal bars, arts, links, heads
         while len(stack) > to:
-            name, barring = stack.pop()
+            name, barring, _, _ = stack.pop()
             bars -= barring
             arts -= name in ARTICLE
             links -= name == "a"
@@ -110,13 +118,15 @@ def read_page(source: str | None) -> Page:
         if m[7] is not None:
             text = html.unescape(m[7])
             place = "barred" if bars or heads and not arts else ("inside " if arts else "outside ") + ("link" if links else stack[-1][0] if stack and stack[-1][0] in BLOCK else "run")
-            add(f"word {place}", len(text.split()), text)
+            add(f"word {place}{stack[-1][3] if stack else ''}", len(text.split()), text)
         elif name and (m[1] or m[4]):
+            label = ""
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    label = stack[k][2]
                     close(k)
                     break
-            add(f"tag {name}", 1, None)
+            add(f"tag {name}{label}", 1, None)
         elif name:
             attributes = m[3] or m[6] or ""
             if name in CLOSES_P:
@@ -133,16 +143,17 @@ def read_page(source: str | None) -> Page:
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select"):
                         break
-            barring = marks_boilerplate(name, attributes)
+            barring = marks_boilerplate(name, attributes, hints)
             page.articles += name in ARTICLE and not arts and not bars and not barring
             if name in RAW:
                 end = re.compile(f"</{name}(?=[\\s/>])[^>]*>?", re.I).search(source, at) if not attributes.endswith("/") else None
                 at = end.end() if end else at if attributes.endswith("/") else n
                 add(f"tag {name}", 1, None)
                 continue
-            add(f"tag {name}", 1, None)
+            label = label_of(attributes)
+            add(f"tag {name}{label}", 1, None)
             if name not in VOID and not attributes.endswith("/"):
-                stack.append((name, barring))
+                stack.append((name, barring, label, label or (stack[-1][3] if stack else "")))
                 bars += barring
                 arts += name in ARTICLE
                 links += name == "a"
@@ -156,18 +167,20 @@ Weights = dict[str, float]
 def count_kinds(pages: DataFrame) -> DataFrame:
     """``kind, inside, outside``: words and tags of self-labelled pages by place, inside and outside the article.
 
-    Kind ``page`` has the number of these pages.
+    Elements that never are article text are passed over; class words are not taken as known.  Kind ``page`` has the
+    number of these pages.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: tuple[Counter, Counter] = (Counter(), Counter())
         for b in batches:
             for source in b["html"]:
-                p = read_page(source)
+                p = read_page(source, frozenset())
                 if p.articles == 1:
                     total[1]["page"] += 1
                     for kind, size, inside, barred in zip(p.kinds, p.size, p.inside, p.barred):
-                        total[inside and not barred][kind.replace("inside ", "").replace("outside ", "")] += size
+                        if not barred:
+                            total[inside][kind.replace("inside ", "").replace("outside ", "")] += size
         kinds = sorted(total[0].keys() | total[1].keys())
         yield pd.DataFrame({"kind": kinds, "inside": [total[1][k] for k in kinds], "outside": [total[0][k] for k in kinds]}).astype({"kind": str, "inside": "int64", "outside": "int64"})
 
@@ -178,39 +191,52 @@ def count_kinds(pages: DataFrame) -> DataFrame:
 def fit(pages: DataFrame, sample: int = 2_000) -> Weights:
     """Weights from at most ``sample`` pages, those whose page_ids hash lowest.
 
-    A word's weight is its place's log-odds of being inside, between 0.2 and 4; a tag's is between -0.3 and -0.02.  An
-    article's bound (``edge``) costs a quarter of the words of the mean article.  Where the sample shows nothing of a kind,
-    :func:`weight_of` has a default.
+    A word's weight is the share of its place's words that are inside an article.  A tag's is between -10.02 and -0.02, by
+    the share of such tags outside.  An article's bound (``edge``) costs a sixteenth of the words of the mean article.  A
+    label that the sample lacks gives way to the place (with any label) or tag (without one); where the sample shows
+    nothing of that either, :func:`weight_of` has a default.
     """
     ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     rows = count_kinds(pages.select("page_id", "html").join(F.broadcast(ids), "page_id")).collect()
-    words = {r["kind"]: (r["inside"], r["outside"]) for r in rows}
+    counts = {r["kind"]: (r["inside"], r["outside"]) for r in rows}
     out = {}
-    if labelled := words.pop("page", (0, 0))[0]:
-        out["edge"] = -sum(a for kind, (a, _) in words.items() if kind.startswith("word ")) / labelled / 4
-    for kind, (a, b) in words.items():
-        odds = math.log((a + 1) / (b + 1))
-        out[kind] = min(max(odds, 0.2), 4.0) if kind.startswith("word ") else max(min(odds - 3, -0.2), -3.0) / 10
+    if labelled := counts.pop("page", (0, 0))[0]:
+        out["edge"] = -sum(a for kind, (a, _) in counts.items() if kind.startswith("word ")) / labelled / 16
+    total: dict[str, list[int]] = {}
+    for kind, (a, b) in counts.items():
+        for k in {kind, kind.partition(".")[0] if kind.startswith("word ") else kind}:
+            both = total.setdefault(k, [0, 0])
+            both[0] += a
+            both[1] += b
+    for kind, (a, b) in total.items():
+        out[kind] = (a + 1) / (a + b + 2) if kind.startswith("word ") else -0.02 - 10 * (b + 1) / (a + b + 2) * (b > 0)
     return out
 
 
+def _known(weights: Weights, kind: str) -> float | None:
+    """The weight of a kind, else of the kind without its label."""
+    return weights[kind] if kind in weights else weights.get(kind.partition(".")[0])
+
+
 def weight_of(weights: Weights, kind: str, labelled: bool, inside: bool, barred: bool) -> float:
     """A token's score for each of its words, or of the tag.
 
-    On a page with article elements (``labelled``) words outside them count an eighth, and crossing an outermost one's bound
-    costs the edge.  What is barred is left out of the region anyway: it costs little, and nothing inside an article.
+    On a page with article elements (``labelled``) words outside them count an eighth, those inside a half at least, and
+    crossing an outermost one's bound costs the edge.  What is barred is left out of the region anyway: it costs little, and nothing inside an article.
     """
     if barred and inside:
         return 0.0
     if kind.startswith("tag "):
-        return weights.get("edge", -25.0) if not (inside or barred) and kind[4:] in ARTICLE else weights.get(kind, -0.1)
+        if not (inside or barred) and kind[4:].partition(".")[0] in ARTICLE:
+            return weights.get("edge", -25.0)
+        cost = _known(weights, kind)
+        return -0.1 if cost is None else cost
     if barred:
         return -0.05
-    plain = weights.get(kind.replace("inside ", "").replace("outside ", ""))
-    if inside:
-        return 1.0 if plain is None else plain
-    plain = (-0.3 if kind.endswith("link") else 1.0) if plain is None else plain
-    return plain / 8 if labelled and plain > 0 else plain
+    worth = _known(weights, kind.replace("inside ", "").replace("outside ", ""))
+    if worth is None:
+        worth = 0.0 if " link" in kind and not inside else 0.5
+    return max(worth, 0.5) if inside else worth / 8 if labelled else worth
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -235,7 +261,7 @@ def text_of(page: Page, begin: int, end: int) -> str:
     parts: list[str] = []
     for kind, text, barred in zip(page.kinds[begin:end], page.texts[begin:end], page.barred[begin:end]):
         if text is None:
-            if kind[4:] in BLOCK:
+            if kind[4:].partition(".")[0] in BLOCK:
                 parts.append(" ")
         elif not barred:
             parts.append(text)
