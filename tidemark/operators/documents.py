@@ -49,6 +49,38 @@ def competitor_overview(competitors: DataFrame, scores: DataFrame, products: Dat
     return rows.select(key, F.concat(F.lit('{"kind":"competitor_overview","sections":['), F.array_join(sections, ","), F.lit("]}")).alias("document"))
 
 
+def comparison_report(scores: DataFrame) -> DataFrame:
+    """One ``document``: a table with a row per dimension and a column per competitor of ``scores``, the few that were asked for.
+
+    ``scores`` has rows of :func:`tidemark.operators.scoring.scored`; values are rounded, unknown ones ``Insufficient data``.
+    """
+    names = [*WEIGHTS, "overall"]
+    text = lambda c: F.coalesce(F.bround(c, 0).cast("int").cast("string"), F.lit("Insufficient data"))
+    each = F.array(*[F.struct(F.lit(k).alias("n"), F.lit(dim.capitalize()).alias("dimension"), text(F.col(dim)).alias("text")) for k, dim in enumerate(names)])
+    cells = scores.select("competitor_id", F.inline(each)).groupBy("n", "dimension").agg(F.array_sort(F.collect_list(F.struct("competitor_id", "text"))).alias("l"))
+    rows = cells.agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.array("dimension"), F.col("l.text")).alias("row")))).alias("rows"), F.max("l.competitor_id").alias("who"))
+    body = F.concat(F.lit('{"columns":'), _json(F.concat(F.array(F.lit("Dimension")), "who")), F.lit(',"rows":'), _json(F.col("rows.row")), F.lit("}"))
+    return rows.select(F.concat(F.lit('{"kind":"comparison","sections":['), _section("table", "Score comparison", body), F.lit("]}")).alias("document"))
+
+
+def intelligence_report(competitors: DataFrame, changes: DataFrame, begin: Column, most: int = 100) -> DataFrame:
+    """``organization_id, document``: each organisation's active competitors, changes since ``begin`` by severity, and the newest ``most`` of them.
+
+    ``changes`` has the competitor's ``name``.  Without changes the document says so.
+    """
+    key = "organization_id"
+    rows = changes.where(F.col("detected_at") >= begin)
+    counts = rows.groupBy(key).agg(F.count_if(F.col("severity") == "high").alias("high"), F.count_if(F.col("severity") == "medium").alias("medium"))
+    told = F.struct(F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss").alias("at"), "title", "severity", F.col("name").alias("competitor"))
+    news = _bounded(rows, key, [F.col("detected_at").desc(), F.col("change_id")], told, most, "news")
+    active = competitors.groupBy(key).agg(F.count_if(F.col("status") == "active").alias("tracked"))
+    both = active.join(counts, key, "left").join(news, key, "left").na.fill(0, ["high", "medium"])
+    figures = _json(F.struct("tracked", F.coalesce(F.size("news"), F.lit(0)).alias("changes"), "high", "medium"))
+    nothing = _section("text", "What changed", F.lit('"No changes were detected in this period."'))
+    events = F.when(F.col("news").isNull(), nothing).otherwise(_section("timeline", "What changed", _json(F.col("news"))))
+    return both.select(key, F.concat(F.lit('{"kind":"intelligence","sections":['), _section("metrics", "Activity in this period", figures), F.lit(","), events, F.lit("]}")).alias("document"))
+
+
 def store(documents: DataFrame, path: str) -> None:
     """Append documents as JSON lines, a row each."""
     documents.write.mode("append").json(path)

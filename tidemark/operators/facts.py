@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +76,15 @@ def page_budget(pages: DataFrame, budget: int, chars: int) -> DataFrame:
     order = Window.partitionBy("competitor_id").orderBy((F.col("page_type") != "home").cast("int"), F.col("score").desc(), "url")
     rows = pages.withColumn("position", F.row_number().over(order)).where(F.col("position") <= budget)
     return rows.withColumn("text", F.substring("text", 1, chars))
+
+
+def extract_facts(observed: DataFrame, sites: DataFrame, facts_fn: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``competitor_id, kind, name, position, source`` of a crawl's pages, by ``facts_fn(observed, sites)``; products and features from headings by default.
+
+    ``sites(page_id, site)`` names the competitor.
+    """
+    if facts_fn is not None:
+        return facts_fn(observed, sites)
+    levels = [F.coalesce(h, F.array().cast("array<string>")) for h in ("h1", "h2", "h3")]
+    heads = observed.select("page_id", F.posexplode(F.flatten(F.array(*levels))).alias("place", "text")).join(sites.select("page_id", "site"), "page_id")
+    return catalogue_from_headings(heads.select(F.col("site").alias("competitor_id"), F.struct("page_id", "place").alias("seq"), "text"))

@@ -27,6 +27,34 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules.items()]), lambda x: x.isNotNull())
 
 
+def _length(column: str, low: int, high: int, required: bool = False) -> Column:
+    fits = F.length(column).between(low, high)
+    return fits if required else F.col(column).isNull() | fits
+
+
+def plan_rules() -> dict[str, Column]:
+    """What a pricing plan ``name, amount, currency, features, highlights, source_url`` must keep to."""
+    # The bounds of names, amounts, lists and texts.
+    return {
+        "name_length": _length("name", 1, 120, True), "amount_range": F.col("amount").isNull() | F.col("amount").between(0, 10_000_000), "currency_code": F.col("currency").isNull() | F.regexp_like("currency", F.lit("^[A-Z]{3}$")),
+        "features_many": F.coalesce(F.size("features"), F.lit(0)) <= 40, "highlights_length": _length("highlights", 0, 500), "source_url_length": _length("source_url", 0, 2048),
+    }
+
+
+def product_rules() -> dict[str, Column]:
+    """What a product ``name, description, category, features, source_url`` must keep to."""
+    return {
+        "name_length": _length("name", 1, 200, True), "description_length": _length("description", 0, 1000), "category_length": _length("category", 0, 80),
+        "features_many": F.coalesce(F.size("features"), F.lit(0)) <= 25, "source_url_length": _length("source_url", 0, 2048),
+    }
+
+
+def split_valid(rows: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows that keep all rules, and the others with the ``violations`` they have."""
+    judged = rows.withColumn("violations", violations(rules))
+    return judged.where(F.size("violations") == 0).drop("violations"), judged.where(F.size("violations") > 0)
+
+
 def is_sensitive(key: Column) -> Column:
     hits = F.lit(False)
     for part in SENSITIVE_PARTS:

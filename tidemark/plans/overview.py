@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import urls
 from tidemark.functions.constants import SEVERITIES, WEIGHTS
-from tidemark.operators import alerts, changes, dashboard, documents, inputs, quality, scoring, state
-from tidemark.plans.changes import plan_diff
+from tidemark.operators import alerts, changes, dashboard, documents, inputs, quality, reports, scoring, state
+from tidemark.plans.changes import _PLANS, plan_diff
+from tidemark.plans.changes import _RANK as _SEVERITY
 from tidemark.plans.pages import ORACLE_SQL as PAGES
 from tidemark.plans.scores import ORACLE_SQL as SCORES
 from tidemark.sources import tables as t
@@ -76,7 +77,8 @@ def change_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 def competitor_search(spark: SparkSession, d: str) -> DataFrame:
     """Active competitors by importance, tags and a text in name or domain, best score first, a page of them."""
-    rows = dashboard.find(_competitors(spark, d), status="active", importance="high", tags=["t1", "t2", "t3"], text="1")
+    live = state.scoped(_competitors(spark, d).withColumn("deleted_at", F.when(F.substring("competitor_id", -1, 1) == "7", F.col("created_at"))))
+    rows = dashboard.find(live, status="active", importance="high", tags=["t1", "t2", "t3"], text="1")
     return state.page(rows.select("competitor_id", "name", "latest_overall_score"), dashboard.order_of("score"), 10, 0)
 
 
@@ -112,6 +114,40 @@ def competitor_detail(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("competitor_id", F.col("latest_analysis.analysis_id").alias("analysis_id"), "overall", F.size("pricing_plans").alias("n_plans"), first("pricing_plans")["name"].alias("first_plan"), F.size("products").alias("n_products"), first("products").alias("first_product"), F.size("pages").alias("n_pages"), first("pages")["url"].alias("first_page")).na.fill(-1, ["n_plans", "n_products", "n_pages"])
 
 
+def comparison_report(spark: SparkSession, d: str) -> DataFrame:
+    """A document that compares three asked competitors."""
+    rows = scoring.scored(t.score_inputs(t.table(spark, d, "supplier"), t.table(spark, d, "lineitem")))
+    return documents.comparison_report(reports.selection(rows, ["s1", "s2", "s3"], "competitor_id"))
+
+
+def intelligence_report(spark: SparkSession, d: str) -> DataFrame:
+    """A document per organisation on a week's changes."""
+    known = _competitors(spark, d)
+    return documents.intelligence_report(known, dashboard.with_names(_changes(spark, d), known), F.to_timestamp(F.lit("2024-01-13")), 20)
+
+
+def alert_recipients(spark: SparkSession, d: str) -> DataFrame:
+    """How many members each organisation's matches go to by e-mail."""
+    rules = t.table(spark, d, "customer").where("c_custkey % 10 = 0").select(
+        F.col("c_custkey").alias("rule_id"), F.concat(F.lit("o"), (F.col("c_custkey") / 10 % 5).cast("int").cast("string")).alias("organization_id"), F.lit(None).cast("string").alias("competitor_id"), F.lit(True).alias("is_active"), F.array().cast("array<string>").alias("change_types"),
+        F.lit("high").alias("min_severity"), F.when(F.col("c_custkey") % 20 == 0, F.array(F.lit("email"))).otherwise(F.array(F.lit("in_app"))).alias("channels"),
+    )
+    found = alerts.match(_changes(spark, d).where("change_id % 10 = 2").withColumn("change_type", F.lit("x")), rules)
+    users = t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.when(F.col("s_suppkey") % 3 != 0, F.concat("s_name", F.lit("@mail.example"))).alias("email"), F.concat(F.lit("o"), (F.col("s_nationkey") % 5).cast("string")).alias("organization_id"))
+    rows = alerts.addressed(found, alerts.recipients(users.select("user_id", "email"), users.select("user_id", "organization_id")))
+    return rows.groupBy("organization_id").agg(F.count("*").alias("mails"), F.countDistinct("email").alias("people"))
+
+
+def plan_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Plans that break the rules on their fields."""
+    k = F.col("p_partkey")
+    rows = t.table(spark, d, "part").select(
+        k.alias("id"), F.when(k % 10 == 0, "").when(k % 10 == 1, F.repeat("p_name", 30)).otherwise(F.col("p_name")).alias("name"), F.when(k % 6 == 0, -1.0).when(k % 6 == 1, 2e7).when(k % 6 != 2, F.col("p_retailprice")).alias("amount"),
+        F.when(k % 4 == 0, "eur").when(k % 4 == 1, "EURO").when(k % 4 == 2, "EUR").alias("currency"), F.array_repeat(F.lit("f"), (k % 50).cast("int")).alias("features"), F.lit(None).cast("string").alias("highlights"), F.lit("https://a").alias("source_url"),
+    )
+    return quality.split_valid(rows, quality.plan_rules())[1].select("id", F.array_join("violations", ",").alias("violations"))
+
+
 def entity_seen(spark: SparkSession, d: str) -> DataFrame:
     """When each entity was seen first and last over its whole history."""
     return state.seen(t.table(spark, d, "orders"), ["o_custkey", "o_orderpriority"], "o_orderdate").withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in ("first_seen", "last_seen")})
@@ -198,12 +234,13 @@ _G = "g AS (SELECT event_id AS change_id, 's' || (user_id * 7 % 120) AS competit
 _RANK = "CASE threat_level WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
 _LEVEL = "(['unknown', 'low', 'moderate', 'high', 'critical'])"
 _HOST = r"regexp_replace(rtrim(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '.'), '^www\.', '')"
+_ALL = ", ".join(f"('{dim}', {n})" for n, dim in enumerate([*WEIGHTS, "overall"]))
 _DIMS = ", ".join(f"('{dim}', {n})" for n, dim in enumerate(WEIGHTS))
 
 QUERIES = {
     f.__name__: f
     for f in (
-        dashboard_overview, dashboard_landscape, recent_changes, change_timeline, competitor_search, competitor_list, report_overview, competitor_detail, entity_seen, acknowledged_changes, change_summaries, audit_trail,
+        dashboard_overview, dashboard_landscape, recent_changes, change_timeline, competitor_search, competitor_list, report_overview, comparison_report, intelligence_report, alert_recipients, plan_violations, competitor_detail, entity_seen, acknowledged_changes, change_summaries, audit_trail,
         expired_rows, token_accounting, rejected_fetches, websites, score_rationale, chart_rows, prompt_blocks, delivered,
     )
 }
@@ -219,7 +256,7 @@ FROM a LEFT JOIN b USING (organization_id) LEFT JOIN j USING (organization_id) L
     "dashboard_landscape": f"WITH {_C}, {_S} SELECT * FROM (SELECT organization_id, row_number() OVER (PARTITION BY organization_id ORDER BY overall DESC NULLS LAST, competitor_id) AS position, competitor_id, name, overall, coalesce(threat_level, 'unknown') AS threat_level FROM c LEFT JOIN s USING (competitor_id) WHERE status = 'active') WHERE position <= 12",
     "recent_changes": f"WITH {_C}, {_G} SELECT * FROM (SELECT g.organization_id, row_number() OVER (PARTITION BY g.organization_id ORDER BY detected_at DESC, change_id) AS position, change_id, name, severity, title FROM g JOIN c USING (competitor_id)) WHERE position <= 8",
     "change_timeline": f"WITH {_C}, {_G} SELECT * FROM (SELECT competitor_id, row_number() OVER (PARTITION BY competitor_id ORDER BY detected_at DESC, change_id) AS position, change_id FROM g WHERE detected_at >= TIMESTAMP '2024-01-06' AND detected_at < TIMESTAMP '2024-01-20') WHERE position <= 40",
-    "competitor_search": f"WITH {_C}, f AS (SELECT competitor_id, name, latest AS latest_overall_score FROM c WHERE status = 'active' AND k % 3 = 2 AND (k % 7 IN (1, 2, 3) OR k % 5 IN (1, 2, 3)) AND (contains(lower(name), '1') OR contains(domain, '1'))) SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 10 AS has_more FROM f ORDER BY latest_overall_score DESC NULLS LAST, competitor_id LIMIT 10",
+    "competitor_search": f"WITH {_C}, f AS (SELECT competitor_id, name, latest AS latest_overall_score FROM c WHERE status = 'active' AND k % 10 <> 7 AND k % 3 = 2 AND (k % 7 IN (1, 2, 3) OR k % 5 IN (1, 2, 3)) AND (contains(lower(name), '1') OR contains(domain, '1'))) SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 10 AS has_more FROM f ORDER BY latest_overall_score DESC NULLS LAST, competitor_id LIMIT 10",
     "competitor_list": f"WITH {_C}, f AS (SELECT * FROM c WHERE k % 3 = 1) SELECT competitor_id, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 30 AS has_more FROM f ORDER BY k % 60 DESC, competitor_id LIMIT 20 OFFSET 10",
     "report_overview": f"""WITH {_C}, {_S}, {_G},
 b AS (SELECT 's' || (p_partkey % 90) AS competitor_id, list(name ORDER BY name) AS goods FROM (SELECT p_partkey, p_name || ' ' || p_partkey AS name, row_number() OVER (PARTITION BY p_partkey % 90 ORDER BY p_name || ' ' || p_partkey) AS n FROM part WHERE p_partkey % 3 = 0) WHERE n <= 12 GROUP BY 1),
@@ -235,6 +272,17 @@ q AS (SELECT 's' || (k % 90) AS competitor_id, least(count(*), 50) AS n_plans, a
 b AS (SELECT 's' || (p_partkey % 90) AS competitor_id, least(count(*), 50) AS n_products, min(p_name || ' ' || p_partkey) AS first_product FROM part WHERE p_partkey % 2 = 1 GROUP BY 1),
 p AS (SELECT 's' || (page_id % 90) AS competitor_id, least(count(*), 50) AS n_pages, arg_min(url, n) AS first_page FROM (SELECT *, row_number() OVER (PARTITION BY page_id % 90 ORDER BY page_id % 13 DESC, url) AS n FROM pages) GROUP BY 1)
 SELECT competitor_id, analysis_id, overall, coalesce(n_plans, -1) AS n_plans, first_plan, coalesce(n_products, -1) AS n_products, first_product, coalesce(n_pages, -1) AS n_pages, first_page FROM c LEFT JOIN a USING (competitor_id) LEFT JOIN s USING (competitor_id) LEFT JOIN q USING (competitor_id) LEFT JOIN b USING (competitor_id) LEFT JOIN p USING (competitor_id)""",
+    "comparison_report": f"""WITH d AS ({SCORES['score_dimensions']}), o AS ({SCORES['score_overall']}), v AS (SELECT competitor_id, dimension, score FROM d UNION ALL SELECT competitor_id, 'overall', overall FROM o),
+c AS (SELECT z.n, z.dim, [upper(z.dim[1]) || z.dim[2:]] || list(coalesce(CAST(CAST(round_even(score, 0) AS INT) AS VARCHAR), 'Insufficient data') ORDER BY competitor_id) AS cells FROM (VALUES {_ALL}) z(dim, n) JOIN v ON v.dimension = z.dim WHERE competitor_id IN ('s1', 's2', 's3') GROUP BY z.n, z.dim)
+SELECT '{{"kind":"comparison","sections":[{{"type":"table","title":"Score comparison","body":{{"columns":["Dimension","s1","s2","s3"],"rows":' || to_json(list(cells ORDER BY n)) || '}}}}]}}' AS document FROM c""",
+    "intelligence_report": f"""WITH {_C}, {_G}, r AS (SELECT g.*, c.name FROM g JOIN c USING (competitor_id) WHERE detected_at >= TIMESTAMP '2024-01-13'), a AS (SELECT organization_id, count(*) FILTER (status = 'active') AS tracked FROM c GROUP BY 1),
+k AS (SELECT organization_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM r GROUP BY 1),
+n AS (SELECT organization_id, list({{'at': strftime(detected_at, '%Y-%m-%dT%H:%M:%S'), 'title': title, 'severity': severity, 'competitor': name}} ORDER BY p) AS news FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY detected_at DESC, change_id) AS p FROM r) WHERE p <= 20 GROUP BY 1)
+SELECT organization_id, '{{"kind":"intelligence","sections":[{{"type":"metrics","title":"Activity in this period","body":' || to_json({{'tracked': tracked, 'changes': coalesce(len(news), 0), 'high': coalesce(high, 0), 'medium': coalesce(medium, 0)}}) || '}},' || CASE WHEN news IS NULL THEN '{{"type":"text","title":"What changed","body":"No changes were detected in this period."}}' ELSE '{{"type":"timeline","title":"What changed","body":' || to_json(news) || '}}' END || ']}}' AS document FROM a LEFT JOIN k USING (organization_id) LEFT JOIN n USING (organization_id)""",
+    "alert_recipients": f"""WITH {_C}, {_G}, r AS (SELECT 'o' || (c_custkey // 10 % 5) AS organization_id FROM customer WHERE c_custkey % 20 = 0), m AS (SELECT g.organization_id FROM g JOIN r ON g.organization_id = r.organization_id WHERE severity = 'high' AND change_id % 10 = 2), u AS (SELECT DISTINCT {_ORG} AS organization_id, s_name AS email FROM supplier WHERE s_suppkey % 3 <> 0)
+SELECT organization_id, count(*) AS mails, count(DISTINCT email) AS people FROM m JOIN u USING (organization_id) GROUP BY 1""",
+    "plan_violations": """SELECT * FROM (SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 10 = 0 OR p_partkey % 10 = 1 AND length(p_name) * 30 > 120 THEN 'name_length' END, CASE WHEN p_partkey % 6 < 2 THEN 'amount_range' END, CASE WHEN p_partkey % 4 < 2 THEN 'currency_code' END, CASE WHEN p_partkey % 50 > 40 THEN 'features_many' END], lambda x: x IS NOT NULL), ',') AS violations FROM part) WHERE violations <> ''""",
+    "change_summaries": f"WITH {_PLANS} SELECT competitor_id, position, title AS headline, replace(change_type, '_', ' ') || ', ' || severity || ': ' || coalesce(before, 'nothing') || ' -> ' || coalesce(after, 'nothing') AS explanation FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY {_SEVERITY} DESC, change_type, entity_key) AS position FROM plan_changes) WHERE position <= 20",
     "entity_seen": "SELECT o_custkey, o_orderpriority, strftime(min(o_orderdate), '%Y-%m-%d') AS first_seen, strftime(max(o_orderdate), '%Y-%m-%d') AS last_seen FROM orders GROUP BY ALL",
     "acknowledged_changes": f"WITH {_C}, {_G} SELECT competitor_id, count(*) AS n, count(*) FILTER (change_id IN (SELECT event_id - 50 FROM events WHERE event_type = 'click')) AS acknowledged FROM g GROUP BY 1",
     "audit_trail": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'id,tokens_in' ELSE 'id,note' END AS keys FROM events",

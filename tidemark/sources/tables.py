@@ -13,6 +13,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def page_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
+    """A folder of crawled pages in Parquet as a stream; ``schema`` is theirs."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
 def jdbc_table(spark: SparkSession, url: str, name: str, column: str, low: int, high: int, parts: int = 32) -> DataFrame:
     """A database table read in ``parts`` ranges of a numeric column."""
     return spark.read.jdbc(url, name, column=column, lowerBound=low, upperBound=high, numPartitions=parts)
