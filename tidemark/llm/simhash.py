@@ -27,6 +27,10 @@ from tidemark.llm.common import connected_components, small_batches, written
 
 #: Variants that a task lists at once; a larger block is cut by further bits first.
 BLOCK_VARIANTS = 2_000_000
+#: Fingerprints that a task gets as one block; a block of more is cut by ``CUT_BITS`` further bits before the shuffle.
+BLOCK_ROWS, CUT_BITS = 1 << 18, 6
+#: Full blocks that are sent to all tasks at most.
+BROADCAST_BLOCKS = 100_000
 #: MinHash bands of a text, and minima in each: at a Jaccard similarity of 0.8 all bands miss a pair once in 4,600.
 BANDS, BAND_ROWS = 16, 4
 #: Components of one band's bucket whose pairs are all candidates; of more, each goes with as many others at most.
@@ -158,22 +162,42 @@ def links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
     half = (radius + 1) // 2
     ball = len(flips(64, half))
     bits = min(24, max(6, int(rows * ball / BLOCK_VARIANTS).bit_length()))
-    reach = [int(x) for x in flips(bits, half)]
     masks: dict[tuple[int, int], np.ndarray] = {}
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = np.unique(pdf["fp"].to_numpy().view(np.uint64))
-        block = np.uint64(pdf["block"].iloc[0])
-        spare = half - np.bitwise_count((fps >> np.uint64(64 - bits)) ^ block).astype(np.int64)
-        a, b = _meet(fps, spare, 64 - bits, half, masks)
+        block, lead = np.uint64(pdf["block"].iloc[0]), int(pdf["bits"].iloc[0])
+        spare = half - np.bitwise_count((fps >> np.uint64(64 - lead)) ^ block).astype(np.int64)
+        a, b = _meet(fps, spare, 64 - lead, half, masks)
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         root = _roots(len(fps), a[near], b[near])
         at = np.flatnonzero(root != np.arange(len(fps)))
         return pd.DataFrame({"a": fps[at].view(np.int64), "b": fps[root[at]].view(np.int64)})
 
-    lead = F.shiftrightunsigned("fp", 64 - bits)
-    blocks = distinct.select("fp", F.explode(F.transform(F.array(*map(F.lit, reach)), lambda m: lead.bitwiseXOR(m.cast("long")))).alias("block"))
-    return blocks.groupBy("block").applyInPandas(link, "a long, b long")
+    blocks = in_blocks(distinct.withColumns({"block": F.lit(0).cast("long"), "bits": F.lit(0)}), bits, half)
+    return blocks.groupBy("block", "bits").applyInPandas(link, "a long, b long")
+
+
+def in_blocks(placed: DataFrame, more: int, half: int) -> DataFrame:
+    """``fp, block, bits``: fingerprints ``placed`` in blocks of ``bits`` leading bits go to all blocks of ``more`` bits further that their ball reaches.
+
+    Blocks that get more than ``BLOCK_ROWS`` fingerprints, as a large group of near copies makes them, are cut again; so no
+    task gets an unbounded block.
+    """
+    bits = F.col("bits") + more
+    ahead = F.shiftrightunsigned(F.expr("shiftleft(fp, bits)"), 64 - more)
+    own = F.expr("if(bits = 0, 0L, shiftrightunsigned(fp, 64 - bits))")
+    spare = F.lit(half) - F.bit_count(own.bitwiseXOR(F.col("block")))
+    reach = F.filter(F.array(*[F.lit(int(m)) for m in flips(more, half)]), lambda m: F.bit_count(m) <= spare)
+    child = F.transform(reach, lambda m: F.shiftleft("block", more).bitwiseOR(ahead.bitwiseXOR(m.cast("long"))))
+    blocks = placed.select("fp", F.explode(child).alias("block"), bits.alias("bits"))
+    full = written(blocks.groupBy("block").agg(F.count("*").alias("n"), F.first("bits").alias("bits")).where(F.col("n") > BLOCK_ROWS), "full_blocks")
+    n, deepest = full.agg(F.count("*"), F.max("bits")).first()
+    if not n or deepest + CUT_BITS > 58:
+        return blocks
+    full = F.broadcast(full.select("block")) if n <= BROADCAST_BLOCKS else full.select("block")
+    over = written(blocks.join(full, "block", "left_semi").select("fp", "block", "bits"), "over")
+    return blocks.join(full, "block", "left_anti").select("fp", "block", "bits").unionByName(in_blocks(over, CUT_BITS, half))
 
 
 def _rooted(each: DataFrame, radius: int) -> DataFrame:
