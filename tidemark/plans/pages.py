@@ -149,12 +149,14 @@ def _rule_sql() -> tuple[str, str]:
 _BEST, _KIND = _rule_sql()
 _WORDS = "[" + ", ".join(f"'{w}'" for _, _, us, _ in PAGE_RULES for w in us) + "]"
 _NWORDS = sum(len(us) for _, _, us, _ in PAGE_RULES)
+#: From links ``l1(site, url, seq, label)`` to their types and scores.
+_RULED = rf"""l2 AS (SELECT *, trim(lower({_PATH.format('url')}), '/') AS p, list_filter(string_split(trim(lower({_PATH.format('url')}), '/'), '/'), lambda x: x <> '') AS segs FROM l1),
+l3 AS (SELECT *, {_BEST} FROM l2), l4 AS (SELECT *, greatest(1, {', '.join('s_' + r[0] for r in PAGE_RULES)}) AS best FROM l3),
+links AS (SELECT site, url, seq, CASE WHEN p = '' THEN 'home' ELSE {_KIND} END AS page_type, CASE WHEN p = '' THEN 12.0::DOUBLE ELSE round_even(best * CASE WHEN len(segs) > 1 THEN greatest(0.35::DOUBLE, 1.0::DOUBLE - 0.18::DOUBLE * (len(segs) - 1)) ELSE 1 END * CASE WHEN regexp_matches(url, '{NOISE_PATTERN}') THEN 0.3::DOUBLE ELSE 1 END, 3) END AS score FROM l4)"""
 _LINKS = rf"""l0 AS (SELECT 's' || (p_partkey % 20) || '.example.com' AS site, p_partkey AS seq, 'https://www.S' || (p_partkey % 20) || '.example.com' || CASE WHEN p_partkey % 41 = 0 THEN '/' ELSE '/' || ({_WORDS})[p_partkey % {_NWORDS} + 1] || CASE WHEN p_partkey % 3 = 0 THEN '/x' || (p_partkey % 50) ELSE '' END || CASE WHEN p_partkey % 7 = 0 THEN '/tag/a' ELSE '' END || CASE WHEN p_partkey % 11 = 0 THEN '/guide.pdf' ELSE '' END END || CASE WHEN p_partkey % 5 = 0 THEN '?utm_source=x&page=2' ELSE '#top' END AS raw,
   CASE p_partkey % 4 WHEN 0 THEN 'pricing' WHEN 1 THEN 'our story and more' ELSE '' END AS label FROM part),
 l1 AS (SELECT * FROM (SELECT site, seq, label, {_canon('raw')} AS url, row_number() OVER (PARTITION BY site, {_canon('raw')} ORDER BY seq) AS k FROM l0) WHERE k = 1 AND NOT {_BIN.format(_PATH.format('url'))}),
-l2 AS (SELECT *, trim(lower({_PATH.format('url')}), '/') AS p, list_filter(string_split(trim(lower({_PATH.format('url')}), '/'), '/'), lambda x: x <> '') AS segs FROM l1),
-l3 AS (SELECT *, {_BEST} FROM l2), l4 AS (SELECT *, greatest(1, {', '.join('s_' + r[0] for r in PAGE_RULES)}) AS best FROM l3),
-links AS (SELECT site, url, seq, CASE WHEN p = '' THEN 'home' ELSE {_KIND} END AS page_type, CASE WHEN p = '' THEN 12.0::DOUBLE ELSE round_even(best * CASE WHEN len(segs) > 1 THEN greatest(0.35::DOUBLE, 1.0::DOUBLE - 0.18::DOUBLE * (len(segs) - 1)) ELSE 1 END * CASE WHEN regexp_matches(url, '{NOISE_PATTERN}') THEN 0.3::DOUBLE ELSE 1 END, 3) END AS score FROM l4)"""
+{_RULED}"""
 _CAP = "CASE page_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_CAPS.items()) + f" ELSE {DEFAULT_CAP} END"
 _SAFE_IP = " OR ".join(f"(n >= {a} AND n < {b})" for a, b in urls.private_ranges())
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import prices, urls
 from tidemark.operators import changes, discovery, extract, inputs, scoring, state
-from tidemark.plans.pages import _canon
+from tidemark.plans.pages import _BIN, _CAP, _PATH, _RULED, _canon
 from tidemark.sources import tables as t
 
 _BRAND = lambda k: F.concat(F.lit("Brand#"), (k % 25 + 1).cast("string"))
@@ -204,6 +204,12 @@ UNION ALL SELECT {_BR.format('page_id')}, 'page', url, page_id || '-' || arg_max
     "redirected": "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'home' WHEN page_id % 3 = 0 THEN 'pricing' ELSE 'docs' END AS page_type FROM pages",
     "robots_sitemaps": "SELECT 'https://s' || s_suppkey || '.example' AS origin, unnest(CASE WHEN s_suppkey % 3 = 0 THEN ['https://s' || s_suppkey || '.example/sitemap.xml'] ELSE ['https://a.example/' || s_suppkey || '.xml', 'http://b.example/x.xml'] END) AS sitemap FROM supplier",
 }
+ORACLE_SQL["discovery_plan"] = rf"""WITH t0 AS (SELECT page_id, url, {_DOM} AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS x, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages),
+t1 AS (SELECT page_id, site, i, x, {_ABS} AS raw FROM t0 WHERE starts_with(h, '/')), t2 AS (SELECT page_id, site, {_canon('raw')} AS url, min(i) AS i, arg_min(x, i) AS x FROM t1 GROUP BY ALL),
+cand AS (SELECT DISTINCT {_DOM} AS site, 'https://' || {_DOM} || '/' AS url, '' AS label, 0 AS seq FROM pages UNION ALL SELECT site, url, lower(trim({_ENT('x')})), page_id * 1000 + row_number() OVER (PARTITION BY page_id ORDER BY i, url) + 1 FROM t2
+  UNION ALL SELECT {_DOM}, {_canon('url')}, '', page_id + 1099511627776 FROM pages),
+l1 AS (SELECT * FROM (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY seq) = 1) WHERE NOT {_BIN.format(_PATH.format('url'))} AND (site, url) NOT IN (SELECT ({_DOM}, {_canon('url')}) FROM pages WHERE page_id % 6 = 0)),
+{_RULED}, c AS (SELECT *, row_number() OVER (PARTITION BY site, page_type ORDER BY score DESC, length(url), seq) AS k FROM links), r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, length(url), seq) AS position FROM c WHERE k <= {_CAP}) SELECT site, url, page_type, score, position FROM r WHERE position <= 8"""
 # Of queries that tidemark.plans.pages and tidemark.plans.reports register.
 ORACLE_SQL["catalogue_from_headings"] = f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, {_H1} AS text FROM pages), u AS (SELECT * FROM h WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY competitor_id, lower(text) ORDER BY page_id) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY page_id) AS position FROM u) SELECT competitor_id, CASE WHEN position <= 6 THEN 'product' ELSE 'feature' END AS kind, text AS name, position, 'ai_inference' AS source FROM r WHERE position <= 18"""
