@@ -34,6 +34,15 @@ def test_page(spark):
     assert rows[2]["text"] == "" and rows[2]["prices"] == [] and rows[3]["text"] == "c"
 
 
+def test_json_ld(spark):
+    many = json.dumps({f"k{k:02}": k for k in range(40)} | {"@type": "late"})
+    page = "".join(f'<script type="application/ld+json">{x}</script>' for x in ('[{"@type": ["A", "B"]}, 3, {"@type": "C"}]', "{broken", many, "", '{"@type": null}'))
+    seen = observed(spark, ("https://a.com/", page))
+    blocks = [json.loads(x) for x in seen.first()["json_ld"]]
+    assert [len(x) for x in blocks] == [1, 1, 30, 1] and {r["type"] for r in extract.json_ld_types(seen).collect()} == {"A", "B", "C"}
+    assert len(extract.json_ld_blocks(['[{"a": 1}, {"a": 2}]'] * 15)) == 20
+
+
 def test_links_and_seo(spark):
     seen = observed(spark, ("https://www.acme.com/", HOME), ("https://www.acme.com/pricing", PRICING))
     sites = spark.createDataFrame([(0, "acme.com", "home"), (1, "acme.com", "pricing")], "page_id long, site string, page_type string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -118,7 +119,24 @@ def observe(page_id: int, url: str | None, source: str | None) -> tuple:
     m = r.meta
     links = [{**x, "url": absolute(url, x["href"])} for x in r.links]
     canonical = absolute(url, m["canonical"]) if m.get("canonical") else None
-    return (page_id, m.get("title") or None, m.get("description") or None, canonical, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), links, r.scripts[:20], ctas, text)
+    return (page_id, m.get("title") or None, m.get("description") or None, canonical, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), links, json_ld_blocks(r.scripts), ctas, text)
+
+
+def json_ld_blocks(scripts: list[str], most: int = 20, keys: int = 30) -> list[str]:
+    """The objects in JSON-LD scripts, alone or in lists, as JSON with their first ``keys`` keys; what is no JSON is skipped.
+
+    Scripts are read until there are ``most`` objects or more.
+    """
+    out: list[str] = []
+    for raw in scripts:
+        try:
+            found = json.loads(raw)
+        except ValueError:
+            continue
+        out += [json.dumps(dict(list(x.items())[:keys]), ensure_ascii=False) for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
+        if len(out) >= most:
+            break
+    return out
 
 
 def absolute(base: str | None, href: str) -> str | None:
