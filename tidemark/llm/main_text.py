@@ -14,7 +14,6 @@ tags inside and outside it by place; a weight is the share inside or outside.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
