@@ -35,8 +35,6 @@ BROADCAST_BLOCKS = 100_000
 BANDS, BAND_ROWS = 16, 4
 #: Components of a bucket whose pairs are all candidates; a bucket of more is divided by each other band.
 PIVOTS = 64
-#: Where one that two bands share still has more, its members meet in groups of about so many, and all meet its first one.
-GROUP = 8
 _MIX = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -233,12 +231,22 @@ def _all_pairs(rows: DataFrame) -> DataFrame:
     return first.select("x", F.explode(F.slice("l", F.col("k") + 2, F.size("l"))).alias("y"))
 
 
+def _chained(rows: DataFrame) -> DataFrame:
+    """``x, y`` (structs of th and root) of the members that follow each other in the groups of ``rows(key, part, th, root)``, by a hash of each key's own."""
+    member = F.struct(F.xxhash64("root", "key").alias("h"), F.struct("th", "root").alias("m"))
+    groups = rows.groupBy("key", "part").agg(F.sort_array(F.collect_list(member))["m"].alias("l")).where(F.size("l") > 1)
+    n = F.size("l") - 1
+    both = F.zip_with(F.slice("l", F.lit(1), n), F.slice("l", F.lit(2), n), lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))
+    return groups.select(F.inline(both))
+
+
 def similar(docs: DataFrame, each: DataFrame, width: int, similarity: float) -> DataFrame:
     """Edges ``(a, b)`` between roots of ``each(th, root, bands)`` that have texts at least ``similarity`` alike in shingles.
 
     Texts of one component are linked already, so a bucket has one text of each component.  A bucket of one band with more
     than ``PIVOTS`` components is not a unit: its members meet again where a second band agrees too, which of all pairs
-    with a Jaccard similarity of 0.8 one in 2,700 does not.
+    with a Jaccard similarity of 0.8 one in 2,700 does not.  Where still more meet, the group is a chain in each such
+    bucket's own order, with every member also beside the first one, so candidates grow with the group and not its square.
     """
     rows = each.select("th", "root", F.explode("bands").alias("key")).groupBy("key", "root").agg(F.min("th").alias("th"))
     rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
@@ -250,10 +258,11 @@ def similar(docs: DataFrame, each: DataFrame, width: int, similarity: float) ->
         again = again.groupBy("key", "root").agg(F.min("th").alias("th"))
         heads = again.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("th", "key").alias("h"), "th", "root")).alias("head")).where("n > 1")
         again = written(again.join(heads, "key"), "again")
-        part = F.when(F.col("n") > PIVOTS, F.pmod(F.xxhash64("root", "key"), F.ceil(F.col("n") / GROUP))).otherwise(0)
+        large = again.where(F.col("n") > PIVOTS)
         member, head = F.struct("th", "root"), F.struct("head.th", "head.root")
-        to_head = again.where((F.col("n") > PIVOTS) & (F.col("root") != F.col("head.root"))).select(F.least(member, head).alias("x"), F.greatest(member, head).alias("y"))
-        both = both.union(_all_pairs(again.withColumn("part", part))).union(to_head)
+        to_head = large.where(F.col("root") != F.col("head.root")).select(F.least(member, head).alias("x"), F.greatest(member, head).alias("y"))
+        both = both.union(_all_pairs(again.where(F.col("n") <= PIVOTS).withColumn("part", F.lit(0)))).union(to_head)
+        both = both.union(_chained(large.withColumn("part", F.pmod(F.xxhash64("root", "key"), F.ceil(F.col("n") / PIVOTS)))))
     pairs = written(both.distinct().select(F.col("x.th").alias("ta"), F.col("x.root").alias("a"), F.col("y.th").alias("tb"), F.col("y.root").alias("b")), "pairs")
     asked = pairs.select(F.col("ta").alias("th")).union(pairs.select("tb")).distinct()
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
