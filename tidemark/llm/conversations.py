@@ -272,7 +272,12 @@ def repair(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     by = ("conv_id", "turn", "role", "text")
     ordered = marked.select(*by, F.coalesce(first, F.lit(False)).alias("is_first")).repartitionByRange(*by).sortWithinPartitions(*by)
     pieces = written(ordered.mapInArrow(_pieces, _PIECE_SQL), "pieces")
-    audits = written(pieces.drop("roles", "texts").groupBy("conv_id").applyInArrow(_joined, _AUDIT_SQL), "audits")
+    whole, only = F.col("options")[0]["end"] == CLOSED, F.col("options")[0]
+    gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"), F.lit(0)).alias("gaps")
+    script = F.array(F.struct("part", "seq", only["start"].alias("state"), only["letters"].alias("letters"))).alias("scripts")
+    at_once = pieces.where(whole).select("conv_id", gaps, "blank", "duplicate", "truncated", "illegal", only["cost"].alias("cost"), only["letters"].alias("audit"), script)
+    joined = pieces.where(~whole).drop("roles", "texts").groupBy("conv_id").applyInArrow(_joined, _AUDIT_SQL)
+    audits = written(at_once.unionByName(joined), "audits")
     scripts = audits.select(F.inline("scripts"))
     repaired = pieces.join(scripts, ["part", "seq"]).select("conv_id", "part", "seq", "roles", "texts", "state", "letters")
     return audits.drop("scripts"), repaired.mapInArrow(_repaired, "conv_id long, part int, seq long, rows array<struct<role:string,text:string>>")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as vocabulary
 
-from tidemark.llm import conversations, decontam, line_dedup, line_quality, main_text, pii, piece_codec, runs, simhash, site_quality, token_store, warc
+from tidemark.llm import conversations, decontam, line_dedup, line_quality, main_text, minhash, pii, piece_codec, runs, simhash, site_quality, token_store, warc
 
 #: The public vocabularies that the queries use.
 PIECES, WORDS = vocabulary("piece_bpe_32k.model"), vocabulary("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(docs, table(spark, sf_dir, "labels"), columns=["doc_id"]).select("doc_id", "tidemark_quality.*")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=5, percent=85)
+
+
 def periodic_words(doc_id: str | None, words: list[bytes]) -> list[bytes]:
     """The words of op12: those of one document in ten are periodic from some place on."""
     hashed = zlib.crc32((doc_id or "").encode())
@@ -117,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_main_text": op9_main_text,
     "op10_site_quality": op10_site_quality,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }

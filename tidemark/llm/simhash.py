@@ -8,22 +8,24 @@ block lists the ball's variants in it.  That moves tens of rows per fingerprint
 collisions.  Within a block a chain through each variant's fingerprints is enough to join them, so a large group of
 near copies yields a spanning forest and never all its pairs.
 
-Few bits cover only the closest copies, so :func:`keep_first` can also link texts by their shingle sets: MinHash bands give
-candidates between the SimHash components, and the Jaccard similarity of each candidate pair is computed exactly.
+Few bits cover only the closest copies, and now and then texts that are less alike than a stage allows.  So
+:func:`keep_first` can take the links as candidates only: their shingle sets are compared, and the other pairs of texts
+that are alike come from the coordinates of MinHash signatures (see :mod:`tidemark.llm.minhash`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import minhash
 from tidemark.llm.common import connected_components, small_batches, written
+from tidemark.llm.shingles import shingles
 
 #: Variants that a task lists at once; a larger block is cut by further bits first.
 BLOCK_VARIANTS = 2_000_000
@@ -31,11 +33,6 @@ BLOCK_VARIANTS = 2_000_000
 BLOCK_ROWS, CUT_BITS = 1 << 18, 6
 #: Full blocks that are sent to all tasks at most.
 BROADCAST_BLOCKS = 100_000
-#: MinHash bands of a text, and minima in each: at a Jaccard similarity of 0.8 all bands miss a pair once in 4,600.
-BANDS, BAND_ROWS = 16, 4
-#: Components of a bucket whose pairs are all candidates; a bucket of more is divided by each other band.
-PIVOTS = 64
-_MIX = np.random.default_rng(11).integers(0, 2**63, (2, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -43,7 +40,11 @@ def fingerprint(text: str | None, width: int) -> int:
 
     Fewer words than ``width``: the whole sequence is the only shingle.  No words or null: 0.
     """
-    digests = shingles(text, width)
+    return of_digests(shingles(text, width))
+
+
+def of_digests(digests: np.ndarray) -> int:
+    """The fingerprint of a text whose shingles have these hashes."""
     if not len(digests):
         return 0
     counts = np.zeros(64, np.int64)
@@ -53,51 +54,16 @@ def fingerprint(text: str | None, width: int) -> int:
     return int(np.packbits(counts * 2 > len(digests), bitorder="little").view("<u8")[0])
 
 
-def shingle_texts(text: str | None, width: int) -> Iterator[bytes]:
-    """The shingles of :func:`fingerprint` in order; none of a text without words."""
-    words = (text or "").encode().lower().split()
-    line = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends]
-    return (line[s : e - 1] for s, e in zip(starts, ends[width - 1 :] or ends[-1:]))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Hashes of :func:`shingle_texts`."""
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(x, 42) for x in shingle_texts(text, width)), "<u8")
-
-
-def band_keys(digests: np.ndarray) -> np.ndarray:
-    """A key for each MinHash band of a set of shingles; none of an empty set."""
-    if not len(digests):
-        return np.zeros(0, np.int64)
-    low = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, len(digests), 1024):
-        low = np.minimum(low, ((digests[at : at + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, BAND_ROWS))], np.uint64).view(np.int64)
-
-
-def jaccard(a: str | None, b: str | None, width: int) -> float:
-    """Jaccard similarity of two texts' shingle sets; 0 where one is empty."""
-    x, y = set(shingle_texts(a, width)), set(shingle_texts(b, width))
-    return len(x & y) / len(x | y) if x and y else 0.0
-
-
-def fingerprints(docs: DataFrame, width: int, bands: bool = False) -> DataFrame:
-    """``(doc_id, th, fp)`` for every row of ``docs``: th is the text's hash, fp the unsigned fingerprint's bits as a long.
-
-    ``bands`` adds the array of band keys.
-    """
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``(doc_id, fp)`` for every row of ``docs``: fp is the unsigned fingerprint's bits as a long."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in b["text"]], np.uint64)
-            out = pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "fp": fp.view(np.int64)})
-            yield out.assign(bands=[band_keys(shingles(t, width)) for t in b["text"]]) if bands else out
+            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("th", F.xxhash64("text")).mapInPandas(work, "doc_id long, th long, fp long" + ", bands array<long>" * bands)
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInPandas(work, "doc_id string, fp long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def flips(bits: int, most: int) -> np.ndarray:
@@ -108,10 +74,11 @@ def flips(bits: int, most: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def _meet(fps: np.ndarray, spare: np.ndarray, low_bits: int, half: int, masks: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _meet(fps: np.ndarray, spare: np.ndarray, low_bits: int, half: int, masks: dict[tuple[int, int], np.ndarray], odd: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in ``fps`` that follow each other on a common variant.
 
     ``spare[i]`` is how many of the low bits fingerprint i may still flip in this block, the other bits being the block's.
+    With ``odd``, each fingerprint on a variant is paired with the one that is nearest to the variant.
     """
     sizes = np.array([len(masks.setdefault((low_bits, k), flips(low_bits, k))) for k in range(half + 1)])
     if sizes[spare].sum() > BLOCK_VARIANTS and low_bits > 2 and len(fps) > 2:
@@ -122,23 +89,28 @@ def _meet(fps: np.ndarray, spare: np.ndarray, low_bits: int, half: int, masks: d
             rest = spare - np.bitwise_count(top ^ np.uint64(q)).astype(np.int64)
             at = np.flatnonzero(rest >= 0)
             if len(at) > 1:
-                a, b = _meet(fps[at], rest[at], low_bits - cut, half, masks)
+                a, b = _meet(fps[at], rest[at], low_bits - cut, half, masks, odd)
                 left.append(at[a])
                 right.append(at[b])
         return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
     low = fps & np.uint64((1 << low_bits) - 1)
-    variants, owners = [], []
+    variants, owners, flipped = [], [], []
     for k in range(half + 1):
         at = np.flatnonzero(spare == k)
         if len(at):
             m = masks[low_bits, k]
             variants.append((low[at, None] ^ m).ravel())
             owners.append(np.repeat(at, len(m)))
+            flipped.append(np.tile(np.bitwise_count(m) + half - k, len(at)) if odd else at)
     v, owner = np.concatenate(variants), np.concatenate(owners)
-    order = np.argsort(v)
+    order = np.lexsort((np.concatenate(flipped), v)) if odd else np.argsort(v)
     v, owner = v[order], owner[order]
     same = np.flatnonzero(v[1:] == v[:-1])
-    a, b = owner[same], owner[same + 1]
+    before = same
+    if odd:
+        new = np.append(True, v[1:] != v[:-1])
+        before = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))[same]
+    a, b = owner[before], owner[same + 1]
     pairs = np.unique(np.minimum(a, b) * np.int64(len(fps)) + np.maximum(a, b))
     return pairs // len(fps), pairs % len(fps)
 
@@ -158,7 +130,11 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
-    """A spanning set of edges ``(a, b)`` over the fingerprints ``distinct(fp)`` that are at most ``radius`` bits apart."""
+    """A spanning set of edges ``(a, b)`` over the fingerprints ``distinct(fp)`` that are at most ``radius`` bits apart.
+
+    Two fingerprints that an odd radius of ``2h - 1`` allows meet on a variant that is h bits or fewer from one and fewer than h
+    from the other; so there all of a variant's fingerprints are paired with the nearest one.
+    """
     half = (radius + 1) // 2
     ball = len(flips(64, half))
     bits = min(24, max(6, int(rows * ball / BLOCK_VARIANTS).bit_length()))
@@ -168,7 +144,7 @@ def links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
         fps = np.unique(pdf["fp"].to_numpy().view(np.uint64))
         block, lead = np.uint64(pdf["block"].iloc[0]), int(pdf["bits"].iloc[0])
         spare = half - np.bitwise_count((fps >> np.uint64(64 - lead)) ^ block).astype(np.int64)
-        a, b = _meet(fps, spare, 64 - lead, half, masks)
+        a, b = _meet(fps, spare, 64 - lead, half, masks, radius % 2 == 1)
         near = np.bitwise_count(fps[a] ^ fps[b]) <= radius
         root = _roots(len(fps), a[near], b[near])
         at = np.flatnonzero(root != np.arange(len(fps)))
@@ -213,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     Rows whose fingerprints differ in at most ``radius`` bits are linked; ``component_id`` is the smallest doc_id
     reachable over links, the row's own included.  Null and wordless texts have fingerprint zero and are linked like
     any other; repeated rows are all returned; a null doc_id is returned and never is the smallest (null where its
-    component has no other).  An odd ``radius`` is reached with variants of half of it, rounded up, and checked.
+    component has no other).
     """
     small_batches(docs.sparkSession)
     each = written(fingerprints(docs, width), "fingerprints")
@@ -224,73 +200,42 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     return each.join(named, "fp").select("doc_id", text.alias("fingerprint"), "component_id")
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """``x, y`` (structs of th and root, x smaller) of all pairs in the groups of ``rows(key, part, th, root)``, which are small."""
-    groups = rows.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("th", "root"))).alias("l")).where(F.size("l") > 1)
-    first = groups.select("l", F.posexplode("l").alias("k", "x"))
-    return first.select("x", F.explode(F.slice("l", F.col("k") + 2, F.size("l"))).alias("y"))
-
-
-def _chained(rows: DataFrame) -> DataFrame:
-    """``x, y`` (structs of th and root) of the members that follow each other in the groups of ``rows(key, part, th, root)``, by a hash of each key's own."""
-    member = F.struct(F.xxhash64("root", "key").alias("h"), F.struct("th", "root").alias("m"))
-    groups = rows.groupBy("key", "part").agg(F.sort_array(F.collect_list(member))["m"].alias("l")).where(F.size("l") > 1)
-    n = F.size("l") - 1
-    both = F.zip_with(F.slice("l", F.lit(1), n), F.slice("l", F.lit(2), n), lambda x, y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))
-    return groups.select(F.inline(both))
-
-
-def similar(docs: DataFrame, each: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Edges ``(a, b)`` between roots of ``each(th, root, bands)`` that have texts at least ``similarity`` alike in shingles.
-
-    Texts of one component are linked already, so a bucket has one text of each component.  A bucket of one band with more
-    than ``PIVOTS`` components is not a unit: its members meet again where a second band agrees too, which of all pairs
-    with a Jaccard similarity of 0.8 one in 2,700 does not.  Where still more meet, the group is a chain in each such
-    bucket's own order, with every member also beside the first one, so candidates grow with the group and not its square.
-    """
-    rows = each.select("th", "root", F.explode("bands").alias("key")).groupBy("key", "root").agg(F.min("th").alias("th"))
-    rows = written(rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "buckets")
-    both = _all_pairs(rows.where(F.col("n") <= PIVOTS).withColumn("part", F.lit(0)))
-    full = rows.where(F.col("n") > PIVOTS)
-    if not full.isEmpty():
-        other = each.select("th", F.explode("bands").alias("other")).distinct()
-        again = full.select("key", "root", "th").join(other, "th").where("other <> key").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "root", "th")
-        again = again.groupBy("key", "root").agg(F.min("th").alias("th"))
-        heads = again.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("th", "key").alias("h"), "th", "root")).alias("head")).where("n > 1")
-        again = written(again.join(heads, "key"), "again")
-        large = again.where(F.col("n") > PIVOTS)
-        member, head = F.struct("th", "root"), F.struct("head.th", "head.root")
-        to_head = large.where(F.col("root") != F.col("head.root")).select(F.least(member, head).alias("x"), F.greatest(member, head).alias("y"))
-        both = both.union(_all_pairs(again.where(F.col("n") <= PIVOTS).withColumn("part", F.lit(0)))).union(to_head)
-        both = both.union(_chained(large.withColumn("part", F.pmod(F.xxhash64("root", "key"), F.ceil(F.col("n") / PIVOTS)))))
-    pairs = written(both.distinct().select(F.col("x.th").alias("ta"), F.col("x.root").alias("a"), F.col("y.th").alias("tb"), F.col("y.root").alias("b")), "pairs")
-    asked = pairs.select(F.col("ta").alias("th")).union(pairs.select("tb")).distinct()
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
-    texts = written(texts, "texts")
-    full = pairs.join(texts.select(F.col("th").alias("ta"), F.col("text").alias("x")), "ta").join(texts.select(F.col("th").alias("tb"), F.col("text").alias("y")), "tb")
+def _described(docs: DataFrame, width: int) -> DataFrame:
+    """:func:`minhash.described_rows` with the fingerprint ``fp``, in one pass over the texts."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.loc[[jaccard(x, y, width) >= similarity for x, y in zip(b["x"], b["y"])], ["a", "b"]]
+            digests = [shingles(t, width) for t in b["text"]]
+            n, ha, hb, sig = zip(*[minhash.described(x) for x in digests]) if len(b) else ((),) * 4
+            fp = np.array([of_digests(x) for x in digests], np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "th": b["th"], "n": n, "ha": ha, "hb": hb, "sig": list(sig), "fp": fp})
 
-    return full.select("a", "b", "x", "y").mapInPandas(work, "a long, b long").distinct()
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.md5("text"))
+    out = rows.mapInPandas(work, "doc_id string, th string, n long, ha long, hb long, sig array<int>, fp long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 4, similarity: float | None = None) -> DataFrame:
-    """One row of ``docs`` per component of near duplicates: that of the smallest doc_id (null last), then text hash.
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 4, percent: int = 80) -> DataFrame:
+    """One row of ``docs`` per group of near duplicates: that of the smallest doc_id (null last), then text hash.
 
-    With ``similarity``, texts whose shingle sets are at least so alike (Jaccard) are linked too.
+    Texts whose sets of shingles share ``percent`` of their union at least are linked, and a group is what links reach; so no
+    row goes that is not so alike to another of its group.  The fingerprints' links, of at most ``radius`` bits, are tried
+    first, then the pairs of :mod:`tidemark.llm.minhash`.  All texts without words are one group.
     """
     small_batches(docs.sparkSession)
-    each = written(fingerprints(docs, width, similarity is not None), "fingerprints")
-    roots = each.join(_rooted(each, radius).select("fp", "root"), "fp")
-    if similarity is not None:
-        roots = written(roots, "roots")
-        more = connected_components(similar(docs, roots, width, similarity)).select(F.col("node").alias("root"), F.col("root").alias("top"))
-        roots = roots.join(more, "root", "left").withColumn("root", F.coalesce("top", "root"))
-    first = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
+    each = written(_described(docs, width), "fingerprints")
+    classes = minhash.classes_of(each)
+    prints = written(each.where("n > 0").select("ha", "hb", "fp").distinct().join(classes.select("ha", "hb", "id"), ["ha", "hb"]).select("id", "fp"), "prints")
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("first"))
+    near = links(distinct.select("fp"), distinct.count(), radius)
+    heads = near.join(distinct.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    seeds = heads.union(prints.join(distinct, "fp").select("id", "first")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    roots = minhash.components(docs, classes, width, percent, seeds)
+    named = classes.select("ha", "hb", "id").join(roots, "id", "left").select("ha", "hb", F.coalesce("root", "id").alias("root"))
+    rows = each.select("doc_id", "th", "n", "ha", "hb").join(named, ["ha", "hb"], "left").withColumn("root", F.when(F.col("n") > 0, F.col("root")).otherwise(-1))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first"))
     first = first.select(F.col("first.none").alias("none"), F.coalesce("first.doc_id", F.lit(0)).alias("did"), F.col("first.th").alias("th"))
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
-    rows = docs.withColumns({"tidemark_none": F.col("doc_id").isNull(), "tidemark_did": did, "tidemark_th": F.xxhash64(F.col("text").cast("string"))})
-    match = (F.col("tidemark_none") == F.col("none")) & (F.col("tidemark_did") == F.col("did")) & (F.col("tidemark_th") == F.col("th"))
+    rows = docs.withColumns({"tidemark_none": F.col("doc_id").isNull(), "tidemark_did": did, "tidemark_th": F.md5(F.col("text").cast("string"))})
+    match = (F.col("tidemark_none") == F.col("none")) & (F.col("tidemark_did") == F.col("did")) & F.col("tidemark_th").eqNullSafe(F.col("th"))
     return rows.join(first, match, "left_semi").dropDuplicates(["tidemark_none", "tidemark_did", "tidemark_th"]).select(docs.columns)
