@@ -31,7 +31,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates, that with the smallest doc_id."""
-    return simhash.keep_first(docs, width=5, radius=4, similarity=0.8)
+    return simhash.keep_first(docs, width=5, radius=4, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
