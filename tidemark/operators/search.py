@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.constants import STOPWORDS
 from tidemark.operators.state import new_chunks
+from tidemark.operators.vector_index import VectorIndex, vector_topk
 
-#: Query vectors in one block; the block is sent to every task that scans the stored vectors.
-BLOCK_QUERIES = 200
 #: Tokens of asked items that are sent to all tasks at most.
 BROADCAST_TOKENS = 200_000
 TOKEN = re.compile("[A-Za-z0-9]{3,}")
@@ -32,54 +31,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def vector_topk(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, similarity, position`` of the ``k`` most similar rows of ``stored(vec_id, vec)`` for each query.
-
-    A stated query set of any size goes against all rows in blocks of about ``BLOCK_QUERIES``: a block's vectors are sent
-    to the tasks, which multiply Arrow batches of stored vectors with them and keep each batch's best ``k`` of a query, so
-    no query's rows meet in one task.  A query_id's rows are in one block.  Similarities are rounded to four digits; where
-    a vector has no length or another number of components they are null and come last.
-    """
-    blocks, out = max(1, -(-queries.count() // BLOCK_QUERIES)), None
-    for n in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "vec").collect()
-        if rows:
-            found = _block_topk(stored, rows, queries.schema["query_id"].dataType.simpleString(), k)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        return stored.select(F.lit(None).cast("long").alias("query_id"), "vec_id", F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("position")).limit(0)
-    return out
-
-
-def _unit(vectors: list, size: int) -> np.ndarray:
-    """Vectors at unit length, a row each; those without a length or with another size are not-a-number."""
-    out = np.full((len(vectors), size), np.nan)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == size and all(x is not None for x in v):
-            out[i] = v
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return out / np.where((norm := np.linalg.norm(out, axis=1, keepdims=True)) == 0, np.nan, norm)
-
-
-def _block_topk(stored: DataFrame, rows: list, kind: str, k: int) -> DataFrame:
-    """:func:`vector_topk` of one block of query rows."""
-    ids, size = [r["query_id"] for r in rows], max((len(r["vec"]) for r in rows if r["vec"] is not None), default=0)
-    units = _unit([r["vec"] for r in rows], size).T
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            near = np.round(_unit(b["vec"].tolist(), size) @ units, 4)
-            order = np.lexsort((np.broadcast_to(b["vec_id"].to_numpy()[:, None], near.shape), np.where(np.isnan(near), np.inf, -near)), axis=0)[:k]
-            at = np.arange(len(ids))
-            yield pd.DataFrame({
-                "query_id": [ids[q] for _ in range(len(order)) for q in at], "vec_id": b["vec_id"].to_numpy()[order].ravel(), "similarity": pd.Series(near[order, at].ravel(), dtype="Float64").mask(np.isnan(near[order, at].ravel())),
-            })
-
-    best = stored.select("vec_id", "vec").mapInPandas(work, f"query_id {kind}, vec_id {stored.schema['vec_id'].dataType.simpleString()}, similarity double")
-    order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc_nulls_last(), "vec_id")
-    return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-
-
 def lexical_weights(docs: DataFrame) -> DataFrame:
     """Sparse lexical vectors ``doc_id, token, weight``: 1 + ln(count), scaled to unit length and rounded to six digits.
 
@@ -125,14 +76,17 @@ def embed_new(docs: DataFrame, stored: DataFrame, dimensions: int = 256, most: i
     return fresh.select("competitor_id", "doc_id", F.col("part").alias("seq"), "chunk", "content_hash", hashed_vector(dimensions)(F.col("chunk")).alias("vector"))
 
 
-def chunk_search(embedded: DataFrame, names: DataFrame, asked: DataFrame, k: int, dimensions: int = 256, competitor: str | None = None, most_chars: int = 600) -> DataFrame:
+def chunk_search(embedded: DataFrame, names: DataFrame, asked: DataFrame, k: int, dimensions: int = 256, competitor: str | None = None, most_chars: int = 600, index: VectorIndex | None = None, probes: int | None = None) -> DataFrame:
     """The ``k`` chunks nearest to each row of ``asked(query_id, text)``, with their competitor's name and the start of their text.
 
     ``embedded`` is :func:`embed_new` with a ``vec_id`` per chunk; ``is_lexical`` tells that the vectors are hashed words.
+    With an ``index`` of the same vectors the search probes that; it has all competitors, so it takes no ``competitor``.
     """
+    if index is not None and competitor is not None:
+        raise ValueError("an index is searched for all competitors")
     rows = embedded if competitor is None else embedded.where(F.col("competitor_id") == competitor)
     queries = asked.select("query_id", hashed_vector(dimensions)(F.col("text")).alias("vec"))
-    found = vector_topk(rows.select("vec_id", F.col("vector").alias("vec")), queries, k)
+    found = vector_topk(rows.select("vec_id", F.col("vector").alias("vec")), queries, k) if index is None else index.search(queries, k, probes)
     shown = rows.select("vec_id", "competitor_id", F.substring("chunk", 1, most_chars).alias("content")).join(names.select("competitor_id", "name"), "competitor_id")
     return found.join(shown, "vec_id").withColumn("is_lexical", F.lit(True))
 
