@@ -553,6 +553,17 @@ def test_region_is_found_without_names(spark, monkeypatch, hidden):
     assert np.mean(found) >= 0.98 and sum(w != x for w, x in zip(want, whole)) > 0.9 * len(want)
 
 
+def test_the_region_makes_the_result(spark):
+    """On all given pages the result is the article's text, and the whole page in the region's place is another."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = main_text.fit(pages)
+    sources = [r["html"] for r in pages.collect()]
+    for source in sources:
+        known, page = main_text.read_page(source), main_text.read_page(source, frozenset())
+        want = main_text.text_of(known, known.inside.index(True), len(known.inside) - known.inside[::-1].index(True))
+        assert main_text.extract(source, weights) == want != main_text.text_of(page, 0, len(page.kinds), weights)
+
+
 # 10
 def test_site_quality(spark):
     good = [(k, prose(k, 60).capitalize() + ".", "clean" if k % 2 else "mixed") for k in range(120)]

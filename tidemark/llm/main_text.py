@@ -8,7 +8,8 @@ element is evidence only: text outside it counts an eighth, and its bounds cost
 a teaser loses to a longer main text in plain elements.
 
 The weights come from pages that label themselves: those with one article or main element.  Spark counts their words and
-tags inside and outside it by place; a weight is the share inside or outside.
+tags inside and outside it by place; a weight is the share inside or outside.  Known class words (``HINTS``) serve as labels
+there, of adverts within an article for example; pages are read without them.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ HINTS = frozenset(
     "breadcrumbs toc pagination pager footer masthead topbar toolbar share sharing social follow related recommended recommendations more-stories "
     "trending widget comment comments reply replies respond disqus discussion complementary contentinfo copyright legal disclaimer skip hidden".split()
 )
+#: A labelled place within articles of whose words a smaller share is their text is none of it.
+OUTSIDE = 0.2
 #: End tags that an opening tag implies: an open element of the set is closed first.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -166,8 +169,9 @@ Weights = dict[str, float]
 def count_kinds(pages: DataFrame) -> DataFrame:
     """``kind, inside, outside``: words and tags of self-labelled pages by place, inside and outside the article.
 
-    Elements that never are article text are passed over; class words are not taken as known.  Kind ``page`` has the
-    number of these pages.
+    Elements that never are article text are passed over; what stands in an element with known class words counts as
+    outside; ``nested`` kinds have the words within articles alone, by whether they do.  Kind ``page`` has the number of
+    these pages.
     """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,9 +181,12 @@ def count_kinds(pages: DataFrame) -> DataFrame:
                 p = read_page(source, frozenset())
                 if p.articles == 1:
                     total[1]["page"] += 1
-                    for kind, size, inside, barred in zip(p.kinds, p.size, p.inside, p.barred):
+                    for kind, size, inside, barred, hinted in zip(p.kinds, p.size, p.inside, p.barred, read_page(source).barred):
                         if not barred:
-                            total[inside][kind.replace("inside ", "").replace("outside ", "")] += size
+                            kind = kind.replace("inside ", "").replace("outside ", "")
+                            total[inside and not hinted][kind] += size
+                            if inside and "." in kind and kind.startswith("word "):
+                                total[not hinted]["nested " + kind] += size
         kinds = sorted(total[0].keys() | total[1].keys())
         yield pd.DataFrame({"kind": kinds, "inside": [total[1][k] for k in kinds], "outside": [total[0][k] for k in kinds]}).astype({"kind": str, "inside": "int64", "outside": "int64"})
 
@@ -198,7 +205,8 @@ def fit(pages: DataFrame, sample: int = 2_000) -> Weights:
     ids = pages.where("page_id is not null").select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
     rows = count_kinds(pages.select("page_id", "html").join(F.broadcast(ids), "page_id")).collect()
     counts = {r["kind"]: (r["inside"], r["outside"]) for r in rows}
-    out = {}
+    out = {k: a / (a + b) for k, (a, b) in counts.items() if k.startswith("nested ") and a + b}
+    counts = {k: v for k, v in counts.items() if not k.startswith("nested ")}
     if labelled := counts.pop("page", (0, 0))[0]:
         out["edge"] = -sum(a for kind, (a, _) in counts.items() if kind.startswith("word ")) / labelled / 16
     total: dict[str, list[int]] = {}
@@ -255,22 +263,22 @@ def scores_of(page: Page, weights: Weights) -> list[float]:
     return [weight_of(weights, k, page.articles > 0, i, b) * n for k, n, i, b in zip(page.kinds, page.size, page.inside, page.barred)]
 
 
-def text_of(page: Page, begin: int, end: int) -> str:
-    """The text of a region without elements that are no article text."""
+def text_of(page: Page, begin: int, end: int, weights: Weights | None = None) -> str:
+    """The text of a region without elements that are no article text, by themselves or, within articles, by the ``weights`` of their labels."""
     parts: list[str] = []
     for kind, text, barred in zip(page.kinds[begin:end], page.texts[begin:end], page.barred[begin:end]):
         if text is None:
             if kind[4:].partition(".")[0] in BLOCK:
                 parts.append(" ")
-        elif not barred:
+        elif not barred and not (weights and weights.get("nested " + kind.replace("inside ", "").replace("outside ", ""), 1.0) < OUTSIDE):
             parts.append(text)
     return " ".join("".join(parts).split())
 
 
 def extract(source: str | None, weights: Weights) -> str:
     """The main text: blocks in page order joined by one space, white space inside a block as one space."""
-    page = read_page(source)
-    return text_of(page, *best_region(scores_of(page, weights)))
+    page = read_page(source, frozenset())
+    return text_of(page, *best_region(scores_of(page, weights)), weights)
 
 
 def main_texts(pages: DataFrame, weights: Weights) -> DataFrame:
