@@ -114,13 +114,15 @@ class Candidates:
 
     def lists(self) -> DataFrame:
         """``value, id`` of the lists of coordinate values."""
-        return self._several(self.sets.select("id", F.explode("prefix").alias("value")))
+        return self._several(self.sets.select("id", F.explode("prefix").alias("value"), F.lit(0).alias("m")))
 
     def rare_lists(self, of: DataFrame) -> DataFrame:
-        """``value, id`` of lists of shingles for the sets ``of(id)``, each under its rarest ones.
+        """``value, id, n, room`` of lists of shingles for the sets ``of(id)``, each under its rarest ones.
 
         A set of n shingles shares ``percent`` of them at least with a set that is as alike as asked, so one of its rarest
         ``n - ceil(n * percent / 100) + 1`` is among that one's.  Shingles that are in one set only take places of these.
+        ``room`` is how many of the set's shingles are not rarer: two sets share no more than the lesser room of the first
+        list in which they meet.
         """
         width = self.width
 
@@ -131,15 +133,17 @@ class Candidates:
         texts = self.texts.join(of.distinct(), "id").select("id", "text")
         rows = written(texts.mapInPandas(work, "id long, all array<long>").select("id", F.explode("all").alias("value")), "shingles")
         shared = rows.join(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value")
-        shared = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "value")))["value"].alias("values")).join(self.sets.select("id", "n"), "id")
+        shared = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("values")).join(self.sets.select("id", "n"), "id")
         places = F.size("values") - F.ceil(F.col("n") * self.percent / 100).cast("int") + 1
-        return self._several(shared.select("id", F.explode(F.slice("values", F.lit(1), F.greatest(places, F.lit(0)))).alias("value")))
+        taken = shared.select("id", "n", F.size("values").alias("of"), F.posexplode(F.slice("values", F.lit(1), F.greatest(places, F.lit(0)))).alias("at", "v"))
+        return self._several(taken.select("v.value", "id", "n", (F.col("of") - F.col("at")).alias("room"), "v.m"))
 
     @staticmethod
     def _several(rows: DataFrame) -> DataFrame:
-        """The lists ``rows(value, id)`` of two members or more; of lists with the same members one."""
-        members = rows.groupBy("value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("n > 1")
-        return written(rows.join(members.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value"), "value", "left_semi"), "lists")
+        """The lists ``rows(value, id, m, ...)`` of two members or more; of lists with the same members the first by m, then value."""
+        members = rows.groupBy("value").agg(F.min("m").alias("m"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("k > 1")
+        first = members.groupBy("k", "x", "y").agg(F.min(F.struct("m", "value"))["value"].alias("value")).select("value")
+        return written(rows.drop("m").join(first, "value", "left_semi"), "lists")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)``, a smaller, that are as alike as asked; pairs tested before are left out."""
@@ -169,24 +173,26 @@ def headed(lists: DataFrame, turn: int) -> DataFrame:
     return lists.join(heads, "value").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
-def across(lists: DataFrame, sets: DataFrame, floor: int) -> DataFrame:
-    """``a, b``: the members of ``lists(value, id, root)`` with different roots whose signatures agree in ``floor`` coordinates.
+def across(lists: DataFrame, sets: DataFrame, floor: int, percent: int) -> DataFrame:
+    """``a, b``: the members of ``lists(value, id, n, room, root)`` with different roots that may be as alike as asked.
 
-    A list of more than ``BLOCK`` members is cut into blocks, and each two blocks are a task's work.
+    Their room (see :meth:`Candidates.rare_lists`) allows it, and their signatures agree in ``floor`` coordinates.  A list of
+    more than ``BLOCK`` members is cut into blocks, and each two blocks are a task's work.
     """
     sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     rows = lists.join(sizes, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.join(sets.select("id", "sig"), "id").select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "sig")
+    rows = rows.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "room").join(sets.select("id", "sig"), "id")
 
     def work(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         if len(b) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ids, roots, own, sig = b["id"].to_numpy(), b["root"].to_numpy(), b["own"].to_numpy(), np.stack(b["sig"].to_list())
-        left, right = [], []
+        ids, roots, own, n, room = (b[c].to_numpy() for c in ("id", "root", "own", "n", "room"))
+        sig, left, right = np.stack(b["sig"].to_list()), [], []
         for k in np.flatnonzero(own == key[1]):
             # Within one block each pair is met once; of two blocks the first one's members meet the second's.
-            others = np.flatnonzero((roots != roots[k]) & ((own == key[2]) if key[1] != key[2] else (ids > ids[k])))
+            others = (roots != roots[k]) & ((own == key[2]) if key[1] != key[2] else (ids > ids[k]))
+            others = np.flatnonzero(others & ((100 + percent) * np.minimum(room, room[k]) >= percent * (n + n[k])))
             near = others[(sig[others] == sig[k]).sum(axis=1) >= floor]
             left.append(np.full(len(near), ids[k]))
             right.append(ids[near])
@@ -208,8 +214,8 @@ def _merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _open(lists: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
-    """``value, id, root`` of the lists of ``least`` members or more that have several roots."""
-    rows = written(lists.join(roots, "id", "left").select("value", "id", F.coalesce("root", "id").alias("root")), "rooted")
+    """``lists(value, id, ...)`` with ``root``, of which are left those of ``least`` members or more with several roots."""
+    rows = written(lists.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
     mixed = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where((F.col("low") != F.col("high")) & (F.col("n") >= least)).select("value")
     return written(rows.join(mixed, "value", "left_semi"), "open")
 
@@ -230,7 +236,7 @@ def components(docs: DataFrame, classes: DataFrame, width: int, percent: int, se
         left = _open(left.select("value", "id"), roots)
     if not left.isEmpty():
         rare = _open(found.rare_lists(left.select("id")), roots, 2)
-        roots = _merged(roots, found.confirmed(across(rare, found.sets, found.floor)))
+        roots = _merged(roots, found.confirmed(across(rare, found.sets, found.floor, percent)))
     return roots
 
 
