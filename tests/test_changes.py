@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from tidemark.operators import alerts, changes
@@ -78,3 +80,23 @@ def test_rules(spark):
     out = alerts.notifications(alerts.match(change, rules)).collect()
     assert sorted((r["change_id"], r["rule_id"], r["channel"]) for r in out) == [("c1", 1, "in_app"), ("c1", 2, "email"), ("c1", 2, "in_app"), ("c2", 1, "in_app")]
     assert len({r["notification_id"] for r in out}) == 4
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_rules_meet_changes_by_equality(spark, monkeypatch, most):
+    """Against all pairs, sent to all tasks or dealt over slots; the shuffled plan joins on more than the organisation."""
+    monkeypatch.setattr(alerts, "BROADCAST_RULES", most)
+    rng = random.Random(2)
+    kinds, levels = ["a", "b", "c"], ["low", "medium", "high"]
+    rules = [(k, rng.choice("xy"), rng.choice([None, 1, 2]), rng.sample(kinds, rng.randrange(4)), rng.choice(levels), ["in_app"], rng.random() < 0.8) for k in range(40)]
+    rows = [(k, rng.choice(["x", "y", None]), rng.randrange(3), rng.choice([*kinds, "d", None]), rng.choice([*levels, "odd", None])) for k in range(200)]
+    want = {
+        (c[0], r[0]) for c in rows for r in rules
+        if r[6] and c[1] == r[1] and r[2] in (None, c[2]) and c[3] is not None and (not r[3] or c[3] in r[3]) and c[4] in levels and levels.index(c[4]) >= levels.index(r[4])
+    }
+    left = spark.createDataFrame(rows, "change_id int, organization_id string, competitor_id int, change_type string, severity string")
+    right = spark.createDataFrame(rules, "rule_id int, organization_id string, competitor_id int, change_types array<string>, min_severity string, channels array<string>, is_active boolean")
+    found = alerts.match(left, right)
+    assert sorted((r["change_id"], r["rule_id"]) for r in found.collect()) == sorted(want) and set(left.columns) < set(found.columns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "asked_type" in plan and "asked_severity" in plan and ("slot" in plan) == (most == 0)

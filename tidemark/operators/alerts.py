@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.constants import SEVERITIES
 from tidemark.functions.text import rank_of
 
-#: Rules that are sent to all tasks at most; more are joined on their organisation by a shuffle.
-BROADCAST_RULES = 100_000
+#: Rules that are sent to all tasks at most; more are joined by a shuffle.
+BROADCAST_RULES = 20_000
+#: Parts over which an organisation's rules of one type and severity are dealt in that shuffle.
+SLOTS = 8
+#: Stands for any type.
+ANY = "*"
 
 
 def clean_rules(rules: DataFrame, types: list[str], channels: list[str]) -> DataFrame:
@@ -18,17 +23,38 @@ def clean_rules(rules: DataFrame, types: list[str], channels: list[str]) -> Data
     return rules.withColumn("violation", F.when(F.array_contains("channels", "webhook") & F.col("webhook_url").isNull(), "webhook_url_missing"))
 
 
+def indexed(rules: DataFrame) -> DataFrame:
+    """Active rules as rows ``organization_id, asked_type, asked_severity, ..., slot``: one for each type and severity that meets them.
+
+    A rule without types has one row per severity with the type ``*``; severities are the fixed few, so a rule has at most
+    that many rows per type.  A change then meets a rule by equality alone.
+    """
+    r = rules.where("is_active").select("rule_id", "organization_id", F.col("competitor_id").alias("rule_competitor"), "change_types", "min_severity", "channels")
+    types = F.when(F.size("change_types") > 0, F.array_distinct("change_types")).otherwise(F.array(F.lit(ANY)))
+    levels = F.filter(F.array(*map(F.lit, SEVERITIES)), lambda s: rank_of(s) >= rank_of(F.col("min_severity")))
+    r = r.withColumn("asked_type", F.explode(types)).withColumn("asked_severity", F.explode(levels))
+    return r.withColumn("slot", F.pmod(F.xxhash64("rule_id"), F.lit(SLOTS)))
+
+
 def match(changes: DataFrame, rules: DataFrame) -> DataFrame:
     """``changes(change_id, organization_id, competitor_id, change_type, severity)`` with each active rule that asks for them.
 
-    An equality join on the organisation; a rule's competitor, types and least severity are checked on its matches.
+    An equality join on organisation, type (or any), severity and a slot: rules are dealt over ``SLOTS`` slots and each change
+    goes to all of them, so a large organisation's rules of one kind are several tasks' work.  The competitor is checked
+    last.  Few rules are sent to all tasks; their number is checked.  A change without one of these fields meets no rule.
     """
-    r = rules.where("is_active").select("rule_id", "organization_id", F.col("competitor_id").alias("rule_competitor"), "change_types", "min_severity", "channels")
-    r = F.broadcast(r) if r.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else r
+    r = rules.where("is_active")
+    few = r.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
+    r = indexed(rules)
+    kinds = F.explode(F.array_distinct(F.array(F.col("change_type"), F.lit(ANY)))).alias("asked_type")
+    asked = changes.select("*", F.col("severity").alias("asked_severity"), kinds).where("change_type is not null")
+    if few:
+        found = asked.join(F.broadcast(r.drop("slot")), ["organization_id", "asked_type", "asked_severity"])
+    else:
+        slots = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).alias("slot")
+        found = asked.select("*", slots).join(r, ["organization_id", "asked_type", "asked_severity", "slot"]).drop("slot")
     own = F.col("rule_competitor").isNull() | (F.col("rule_competitor") == F.col("competitor_id"))
-    asked = (F.size("change_types") == 0) | F.array_contains("change_types", F.col("change_type"))
-    severe = rank_of(F.col("severity")) >= rank_of(F.col("min_severity"))
-    return changes.join(r, "organization_id").where(own & asked & severe)
+    return found.where(own).drop("asked_type", "asked_severity")
 
 
 def notifications(matches: DataFrame) -> DataFrame:

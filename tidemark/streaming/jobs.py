@@ -5,23 +5,14 @@ Every micro-batch is written under its own number and overwritten if it runs aga
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.text import rank_of
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which the driver and all executors must share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+from tidemark.operators import alerts
+from tidemark.operators.buckets import BucketTable
+from tidemark.streaming.keyed import ROCKSDB
 
 
 def events(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
@@ -31,34 +22,23 @@ def events(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def dealt(spark: SparkSession, folder: str, files: int = 5, late: int = 97, by: int = 1) -> DataFrame:
-    """The events as a stream of ``files`` micro-batches, in the order of time but for every ``late``-th event, which comes ``by`` batches later.
+def run(stream: DataFrame, handle: Callable[[DataFrame, int, str], None], folder: str, mode: str = "append") -> None:
+    """Work off what is there, a micro-batch at a time, with ``handle(batch, number, folder)``.
 
-    The batches are written to the shared folder one after another, so their files have the order of their writing.
+    The checkpoint is in ``folder``: a call with the same one goes on where the last one ended or failed.  Keyed state is in
+    RocksDB.
     """
-    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    bounds = events.agg(F.min("ts"), F.max("ts")).first()
-    out = f"{shared_folder(spark)}/dealt"
-    if bounds[0] is None:
-        events.write.parquet(out)
-    else:
-        begin, width = bounds[0].timestamp(), max((bounds[1] - bounds[0]).total_seconds(), 1.0)
-        part = F.least(F.floor((F.col("ts").cast("double") - begin) / width * files), F.lit(files - 1))
-        rows = events.withColumn("_p", F.least(part + (F.pmod(F.col("event_id") + 1, F.lit(late)) == 0).cast("int") * by, F.lit(files - 1)))
-        for k in range(files):
-            rows.where(F.col("_p") == k).drop("_p").coalesce(1).write.mode("append").parquet(out)
-    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(out)
-
-
-def run(stream: DataFrame, handle: Callable[[DataFrame, int, str], None], mode: str = "append") -> DataFrame | None:
-    """Work off what is there, a micro-batch at a time; returns what ``handle(batch, number, folder)`` wrote under ``out``."""
-    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-        .foreachBatch(lambda batch, number: handle(batch, number, folder)).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    conf, (name, provider) = stream.sparkSession.conf, ROCKSDB
+    before = conf.get(name, None)
+    conf.set(name, provider)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+            .foreachBatch(lambda batch, number: handle(batch, number, folder)).start()
+        )
+        query.awaitTermination()
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 def append(batch: DataFrame, number: int, folder: str) -> None:
@@ -92,111 +72,33 @@ def monthly_usage(stream: DataFrame, key: str, value: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.bround(F.sum(value), 2).alias("total"))
 
 
-def value_changes(keys: list[str], value: str, noise: float) -> Callable[[DataFrame, int, str], None]:
-    """A micro-batch handler that compares each value with its key's last one, within the batch or in the state table.
-
-    A row older than its key's last one, from an earlier batch, is passed over: what it followed is no longer known.
-    """
-
-    def handle(batch: DataFrame, number: int, folder: str) -> None:
-        spark = batch.sparkSession
-        cols = [*keys, "ts", "event_id", value]
-        rows = batch.select(*cols, F.lit(True).alias("fresh"))
-        if number:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/state/batch={number - 1}").select(*cols, F.lit(False).alias("fresh")))
-        order = Window.partitionBy(*keys).orderBy("ts", "event_id")
-        seen = rows.withColumn("before", F.lag(value).over(order)).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("ts").desc(), F.col("event_id").desc())))
-        seen = seen.persist()
-        ratio = F.abs(F.col(value) - F.col("before")) / F.nullif(F.abs("before"), F.lit(0.0))
-        # The state's row is first in time for its key, or what came before it is late.
-        known = F.min(F.when(~F.col("fresh"), F.struct("ts", "event_id"))).over(Window.partitionBy(*keys))
-        seen = seen.withColumn("late", F.coalesce(F.struct("ts", "event_id") < known, F.lit(False)))
-        append(seen.where(F.col("fresh") & ~F.col("late") & (ratio >= noise)).select(*keys, "event_id", "before", F.col(value).alias("after")), number, folder)
-        seen.where("_n = 1").select(*cols).write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
-        seen.unpersist()
-
-    return handle
-
-
 def alert_matches(stream: DataFrame, rules: DataFrame) -> DataFrame:
-    """Changes joined with a static table of rules on their type, and at least the rule's severity."""
-    return stream.join(rules, "event_type").where(rank_of(F.col("severity")) >= rank_of(F.col("min_severity")))
+    """Changes ``stream(change_id, organization_id, competitor_id, change_type, severity)`` with each rule that asks for them; see :mod:`tidemark.operators.alerts`."""
+    return alerts.match(stream, rules)
 
 
-def catalogue(keys: list[str], values: list[str]) -> Callable[[DataFrame, int, str], None]:
-    """A micro-batch handler that keeps each key's values with when it was seen first and last; ``is_current`` is true for keys of the last batch.
+def catalogue(table: BucketTable, keys: list[str], values: list[str]) -> Callable[[DataFrame, int, str], None]:
+    """A micro-batch handler that keeps each key's values in ``table`` with when it was seen first and last, and in which batch.
 
-    The new state is written whole under the batch's number, so a batch that runs again gives the same.
+    Only the buckets of the batch's keys are rewritten, under the batch's number.  A late row does not replace newer values.
     """
 
-    def handle(batch: DataFrame, number: int, folder: str) -> None:
-        spark = batch.sparkSession
+    def combine(old: DataFrame, batch: DataFrame) -> DataFrame:
         best = F.max_by(F.struct(*values), F.struct("ts", "event_id")).alias("n")
-        new = batch.groupBy(*keys).agg(best, F.min("ts").alias("first"), F.max("ts").alias("last"))
-        columns = [*keys, *values, "first_seen", "last_seen", "is_current"]
-        if number:
-            old = spark.read.parquet(f"{folder}/out/batch={number - 1}")
-        else:
-            old = new.select(*keys, *[F.col(f"n.{v}").alias(v) for v in values], F.col("first").alias("first_seen"), F.col("last").alias("last_seen"), F.lit(False).alias("is_current")).limit(0)
+        new = batch.groupBy(*keys).agg(best, F.min("ts").alias("first"), F.max("ts").alias("last"), F.first("number").alias("in_batch"))
         both = old.join(new, keys, "full_outer")
-        # A late row does not replace newer values.
         newer = F.col("n").isNotNull() & (F.col("last_seen").isNull() | (F.col("last") >= F.col("last_seen")))
-        both = both.select(
-            *keys, *[F.when(newer, F.col(f"n.{v}")).otherwise(F.col(v)).alias(v) for v in values], F.least("first_seen", "first").alias("first_seen"), F.greatest("last_seen", "last").alias("last_seen"), F.col("n").isNotNull().alias("is_current")
-        )
-        append(both.select(*columns), number, folder)
-
-    return handle
-
-
-def last_batch(rows: DataFrame) -> DataFrame:
-    """Of a handler's output, what the last micro-batch wrote."""
-    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+        return both.select(
+            *keys, *[F.when(newer, F.col(f"n.{v}")).otherwise(F.col(v)).alias(v) for v in values],
+            F.least("first_seen", "first").alias("first_seen"), F.greatest("last_seen", "last").alias("last_seen"), F.coalesce("in_batch", "seen_in").alias("seen_in"),
+        )
 
+    def handle(batch: DataFrame, number: int, folder: str) -> None:
+        table.merge(batch.withColumn("number", F.lit(number)), combine, number)
 
-def revoked_families(stream: DataFrame, late: str = "1 hour") -> DataFrame:
-    """``family, token, revoked_at``: the first second use of a token of each family in ``stream(family, token, ts, event_id)``.
-
-    Keyed state holds a family's used tokens until it is revoked, and then only that it is.
-    """
+    return handle
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used, revoked = state.get if state.exists else ([], False)
-        seen, out = set(used), None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for token, ts in zip(rows["token"], rows["ts"]):
-            if revoked:
-                break
-            if token in seen:
-                out, revoked = pd.DataFrame({"family": [key[0]], "token": [token], "revoked_at": [ts]}), True
-            seen.add(token)
-        state.update(([] if revoked else sorted(seen), revoked))
-        if out is not None:
-            yield out
-
-    rows = stream.withWatermark("ts", late).groupBy("family")
-    return rows.applyInPandasWithState(update, "family long, token long, revoked_at timestamp", "used array<long>, revoked boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def stuck_jobs(stream: DataFrame, minutes: int = 45, attempts: int = 3, late: str = "1 minute") -> DataFrame:
-    """``job_id, attempts, action`` of ``stream(job_id, ts, event_id, kind)``: jobs that nothing finished within ``minutes`` of their start.
-
-    ``kind`` is ``start`` or ``finish``.  A timer on event time runs per started job; when it fires the job is queued again,
-    or failed after ``attempts`` starts.
-    """
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tries, running = state.get if state.exists else (0, False)
-        if state.hasTimedOut:
-            state.update((tries, False))
-            yield pd.DataFrame({"job_id": [key[0]], "attempts": [tries], "action": ["fail" if tries >= attempts else "requeue"]})
-            return
-        began = None
-        for kind, ts in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["kind", "ts"]].itertuples(index=False):
-            tries, running, began = (tries + 1, True, ts) if kind == "start" else (tries, False, None)
-        state.update((tries, running))
-        if running and began is not None:
-            state.setTimeoutTimestamp(max(int(began.timestamp() * 1000) + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
-
-    rows = stream.withWatermark("ts", late).groupBy("job_id")
-    return rows.applyInPandasWithState(update, "job_id long, attempts int, action string", "tries int, running boolean", "append", GroupStateTimeout.EventTimeTimeout)
+def current(table: BucketTable) -> DataFrame:
+    """A catalogue's rows, with ``is_current`` for the keys of its last batch."""
+    return table.rows().withColumn("is_current", F.col("seen_in") == F.lit(table.version())).drop("seen_in")
