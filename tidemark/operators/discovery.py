@@ -9,6 +9,7 @@ from tidemark.functions import urls
 from tidemark.functions.constants import DEFAULT_CAP, TYPE_CAPS
 from tidemark.functions.text import let
 from tidemark.operators.state import first_wins
+from tidemark.sources.tables import shared_folder
 
 
 def classified(links: DataFrame) -> DataFrame:
@@ -71,6 +72,35 @@ def sitemap_urls(files: DataFrame, most: int = 500) -> DataFrame:
     return rows.withColumn("_n", rank).where(F.col("_n") <= most).select("site", "url", "kind")
 
 
+def sitemap_tree(roots: DataFrame, files: DataFrame, depth: int = 3, most_files: int = 50, most: int = 500) -> DataFrame:
+    """``site, url, level``: pages that the sitemaps of ``roots(site, url)`` and the sitemaps nested in them list; ``files(url, xml)`` has their texts.
+
+    Level by level, a site's new sitemaps are joined with the files and what they nest is the next level's, without those
+    visited before: a cycle ends there.  At most ``depth`` levels, ``most_files`` sitemaps (by level, then URL) and ``most``
+    pages (by level, then URL) of a site are taken.  A page that several levels list has the first one.
+    """
+    spark = roots.sparkSession
+    files = files.select(urls.normalize_url(F.col("url")).alias("map"), "xml")
+    folder = shared_folder(spark, "sitemaps")
+    kept = lambda df, name: (df.write.parquet(f"{folder}/{name}"), spark.read.schema(df.schema).parquet(f"{folder}/{name}"))[1]
+    front = kept(roots.select("site", urls.normalize_url(F.col("url")).alias("map")).where("map is not null").distinct(), "front0")
+    visited, pages = front, None
+    for level in range(depth):
+        listed = kept(sitemap_urls(front.join(files, "map").select("site", "xml"), most), f"listed{level}")
+        found = listed.where("kind = 'page'").select("site", "url", F.lit(level).alias("level"))
+        pages = found if pages is None else pages.unionByName(found)
+        new = listed.where("kind = 'nested'").select("site", F.col("url").alias("map")).distinct().join(visited, ["site", "map"], "left_anti")
+        room = visited.groupBy("site").agg(F.count("*").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("site").orderBy("map"))
+        front = kept(new.withColumn("_k", rank).join(room, "site").where(F.col("_k") + F.col("n") <= most_files).select("site", "map"), f"front{level + 1}")
+        if front.isEmpty():
+            break
+        visited = visited.unionByName(front)
+    first = pages.groupBy("site", "url").agg(F.min("level").alias("level"))
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("level", "url"))
+    return first.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+
+
 def robots_sitemaps(files: DataFrame, most: int = 10) -> DataFrame:
     """``origin, sitemap`` of ``files(origin, body)``: the directives in order, or the default place without any."""
     found = F.filter(F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap\s*:\s*(\S+)"), F.lit(1)), lambda u: F.regexp_like(u, F.lit("(?i)^https?://")))

@@ -19,7 +19,7 @@ from tidemark.functions.urls import is_binary, normalize_url, same_site
 
 SCHEMA = (
     "page_id long, title string, meta_description string, canonical string, lang string, open_graph map<string,string>, h1 array<string>, h2 array<string>, h3 array<string>, "
-    "links array<struct<href: string, url: string, text: string>>, json_ld array<string>, ctas array<string>, text string"
+    "links array<struct<href: string, url: string, text: string>>, json_ld_scripts array<string>, ctas array<string>, text string"
 )
 #: Elements whose text is not read: what is no content, and a page's chrome.
 UNREAD = frozenset("script style noscript template svg iframe form nav header footer aside head title".split())
@@ -119,24 +119,21 @@ def observe(page_id: int, url: str | None, source: str | None) -> tuple:
     m = r.meta
     links = [{**x, "url": absolute(url, x["href"])} for x in r.links]
     canonical = absolute(url, m["canonical"]) if m.get("canonical") else None
-    return (page_id, m.get("title") or None, m.get("description") or None, canonical, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), links, json_ld_blocks(r.scripts), ctas, text)
+    return (page_id, m.get("title") or None, m.get("description") or None, canonical, m.get("lang"), r.graph, *(r.heads[h][:25] for h in ("h1", "h2", "h3")), links, r.scripts, ctas, text)
 
 
-def json_ld_blocks(scripts: list[str], most: int = 20, keys: int = 30) -> list[str]:
-    """The objects in JSON-LD scripts, alone or in lists, as JSON with their first ``keys`` keys; what is no JSON is skipped.
+def json_ld_blocks(scripts: Column, most: int = 20, keys: int = 30) -> Column:
+    """The objects in an array of JSON-LD scripts, alone or in lists, as JSON with their first ``keys`` keys; what is no JSON is skipped.
 
-    Scripts are read until there are ``most`` objects or more.
+    No script is read once there are ``most`` objects.
     """
-    out: list[str] = []
-    for raw in scripts:
-        try:
-            found = json.loads(raw)
-        except ValueError:
-            continue
-        out += [json.dumps(dict(list(x.items())[:keys]), ensure_ascii=False) for x in (found if isinstance(found, list) else [found]) if isinstance(x, dict)]
-        if len(out) >= most:
-            break
-    return out
+    first = lambda x: F.slice(F.json_object_keys(x), 1, keys)
+    cut = lambda x: F.to_json(F.map_filter(F.from_json(x, "map<string,variant>"), lambda k, _: F.array_contains(first(x), k)))
+    listed = lambda raw: F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))
+    objects = lambda raw: F.filter(listed(raw), lambda x: F.json_object_keys(x).isNotNull())
+    found = F.filter(scripts, lambda raw: F.try_parse_json(raw).isNotNull())
+    taken = F.aggregate(found, F.array().cast("array<string>"), lambda out, raw: F.when(F.size(out) >= most, out).otherwise(F.concat(out, objects(raw))))
+    return F.transform(taken, cut)
 
 
 def absolute(base: str | None, href: str) -> str | None:
@@ -150,20 +147,26 @@ def absolute(base: str | None, href: str) -> str | None:
     return url if url.startswith(("http://", "https://")) else None
 
 
-def observations(pages: DataFrame) -> DataFrame:
+def observations(pages: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Title, description, canonical URL, language, Open Graph, headings, links, JSON-LD, calls to action, readable text.
 
     One parse per page of ``pages(page_id, html)``; with a column ``url`` links are resolved against it.  The text is that
-    of the main element, else of an element of role main, else of the body, without chrome.
+    of the main element, else of an element of role main, else of the body, without chrome.  With ``columns`` only these
+    come from the parser, next to page_id.
     """
-    names = [x.split()[0] for x in re.split(r", (?=\w+ (?:string|map|array|long))", SCHEMA)]
+    kinds = {x.split()[0]: x for x in re.split(r", (?=\w+ (?:string|map|array|long))", SCHEMA)}
+    wanted = [k for k in kinds if columns is None or k == "page_id" or k in columns or k == "json_ld_scripts" and "json_ld" in columns]
+    names = list(kinds)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([observe(*x) for x in zip(b["page_id"], b["url"], b["html"])], columns=names)
+            yield pd.DataFrame([observe(*x) for x in zip(b["page_id"], b["url"], b["html"])], columns=names)[wanted]
 
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    return pages.select("page_id", url.alias("url"), "html").mapInPandas(work, SCHEMA)
+    rows = pages.select("page_id", url.alias("url"), "html").mapInPandas(work, ", ".join(kinds[k] for k in wanted))
+    if "json_ld_scripts" not in wanted:
+        return rows
+    return rows.withColumn("json_ld", json_ld_blocks(F.col("json_ld_scripts"))).drop("json_ld_scripts")
 
 
 def hashes_and_prices(observed: DataFrame) -> DataFrame:

@@ -38,12 +38,16 @@ def upsert(stored: DataFrame, batch: DataFrame, keys: list[str], values: list[st
     )
 
 
-def fingerprint(pages: DataFrame, keys: list[str], budget: int = 500) -> DataFrame:
-    """SHA-256 per key over its pages' URLs and hashes in URL order: of the first ``budget`` pages by URL, as many as a crawl may have."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("url", "text_hash"))
-    pages = pages.withColumn("_n", rank).where(F.col("_n") <= budget)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("url", "text_hash"))), lambda p: F.concat(p["url"], p["text_hash"]))
-    return pages.groupBy(*keys).agg(F.sha2(F.array_join(parts, ""), 256).alias("fingerprint"))
+def fingerprint(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """SHA-256 per key over the set of its pages' URLs and hashes, in whatever order and number they come.
+
+    Each page's own SHA-256 is added up in four parts of 64 bits, so no page is left out and no list of pages is held; sums
+    combine before the shuffle.  A null URL or hash is an empty one.
+    """
+    page = F.sha2(F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("text_hash", F.lit(""))), 256)
+    sums = [F.sum(F.conv(F.substring("_h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_{k}") for k in range(4)]
+    total = pages.withColumn("_h", page).groupBy(*keys).agg(F.count("*").cast("string").alias("_n"), *sums)
+    return total.select(*keys, F.sha2(F.concat_ws(",", "_n", *[f"_{k}" for k in range(4)]), 256).alias("fingerprint"))
 
 
 def unchanged(current: DataFrame, analyses: DataFrame) -> DataFrame:

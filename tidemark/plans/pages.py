@@ -69,6 +69,22 @@ def sitemap_scan(spark: SparkSession, d: str) -> DataFrame:
     return discovery.sitemap_urls(pages.groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("xml")))
 
 
+def sitemap_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of three levels of sitemaps made of their URLs: an index, eight maps per site, one more below each, and a way back to the index."""
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("raw", "page_id"))
+    pages = t.table(spark, d, "pages").select(urls.domain(F.col("url")).alias("site"), F.regexp_extract("url", "^([^?#]*)", 1).alias("raw"), "page_id").withColumn("_n", rank).where("_n <= 500")
+    loc = lambda *x: F.concat(F.lit("<url><loc>"), *x, F.lit("</loc></url>"))
+    at = lambda name, *k: F.concat(F.lit("https://"), F.col("site"), F.lit(f"/{name}"), *k, F.lit(".xml"))
+    k = (F.col("page_id") % 8).cast("string")
+    sites = pages.select("site").distinct()
+    index = sites.select(at("sitemap").alias("url"), F.concat(*[loc(at("map", F.lit(str(i)))) for i in range(8)]).alias("xml"))
+    files = pages.groupBy("site", k.alias("k"), (F.col("page_id") % 2 == 1).alias("deep")).agg(F.array_join(F.collect_list(loc(F.col("raw"))), "").alias("own"))
+    odd = files.where("deep").select(at("deep", F.col("k")).alias("url"), F.concat("own", loc(at("sitemap"))).alias("xml"))
+    maps = sites.select("site", F.explode(F.array(*[F.lit(str(i)) for i in range(8)])).alias("k")).join(files.where("not deep").drop("deep"), ["site", "k"], "left")
+    maps = maps.select(at("map", F.col("k")).alias("url"), F.concat(F.coalesce("own", F.lit("")), loc(at("deep", F.col("k")))).alias("xml"))
+    return discovery.sitemap_tree(sites.select("site", at("sitemap").alias("url")), index.unionByName(maps).unionByName(odd))
+
+
 def page_observations(spark: SparkSession, d: str) -> DataFrame:
     o = extract.observations(t.table(spark, d, "pages"))
     return o.select("page_id", "title", "lang", F.element_at("h1", 1).alias("h1"), F.size("links").alias("n_links"), F.size("open_graph").alias("n_graph"), F.col("meta_description").isNull().alias("no_description"))
@@ -160,7 +176,7 @@ l1 AS (SELECT * FROM (SELECT site, seq, label, {_canon('raw')} AS url, row_numbe
 _CAP = "CASE page_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in TYPE_CAPS.items()) + f" ELSE {DEFAULT_CAP} END"
 _SAFE_IP = " OR ".join(f"(n >= {a} AND n < {b})" for a, b in urls.private_ranges())
 
-QUERIES = {f.__name__: f for f in (url_canonical, url_dedup, url_safety, classify_links, rank_links, robots_allowed, sitemap_scan, page_observations, page_links, admission, price_extract, parse_amounts, enforce_prices)}
+QUERIES = {f.__name__: f for f in (url_canonical, url_dedup, url_safety, classify_links, rank_links, robots_allowed, sitemap_scan, sitemap_tree, page_observations, page_links, admission, price_extract, parse_amounts, enforce_prices)}
 ORACLE_SQL = {
     "url_canonical": f"SELECT page_id, {_canon('url')} AS canonical, sha256({_canon('url')}) AS url_hash, {_DOMAIN} AS domain, {_DOMAIN} = 'example.com' OR {_DOMAIN} LIKE '%.example.com' AS same_site FROM pages",
     "url_dedup": f"SELECT {_canon('url')} AS canonical, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1",
@@ -173,6 +189,8 @@ SELECT id, url, CASE m WHEN 0 THEN CASE WHEN {_SAFE_IP} THEN 'private_address' E
 SELECT page_id, NOT starts_with(path, '/en/' || b) OR b IS NULL AS allowed FROM p LEFT JOIN f ON f.n = length(origin) % (SELECT count(*) FROM supplier)""",
     "sitemap_scan": rf"""WITH s AS (SELECT {_DOMAIN} AS site, regexp_extract(url, '^([^?#]*)', 1) || CASE page_id % 9 WHEN 0 THEN 'map.xml' WHEN 1 THEN 'a.png' ELSE '' END AS raw FROM pages QUALIFY row_number() OVER (PARTITION BY site ORDER BY '<url><loc> ' || raw || ' </loc></url>', page_id) <= 500)
 SELECT DISTINCT site, {_canon('raw')} AS url, CASE WHEN raw LIKE '%.xml' THEN 'nested' ELSE 'page' END AS kind FROM s WHERE NOT raw LIKE '%.png'""",
+    "sitemap_tree": rf"""WITH s AS (SELECT {_DOMAIN} AS site, regexp_extract(url, '^([^?#]*)', 1) AS raw, page_id FROM pages QUALIFY row_number() OVER (PARTITION BY site ORDER BY raw, page_id) <= 500)
+SELECT site, {_canon('raw')} AS url, min(CASE WHEN page_id % 2 = 1 THEN 2 ELSE 1 END) AS level FROM s GROUP BY ALL""",
     "page_links": """SELECT page_id, href, min(i) - 1 AS first_seq FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a href="([^"]*)"', 1), 1) AS i FROM pages) WHERE href <> '' AND NOT regexp_matches(href, '(?i)^(#|mailto:|tel:|javascript:|data:)') GROUP BY ALL""",
     "admission": "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'http_404' WHEN page_id % 5 = 0 THEN 'content_type' END AS reject_code, length(html) > 2000000 AS truncated, least(length(html), 2000000) AS kept_chars FROM pages",
     "price_extract": "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'monthly' WHEN 1 THEN 'one_time' ELSE 'unknown' END AS period, CAST(printf('%.2f', p_retailprice) AS DOUBLE) AS amount, CASE WHEN p_partkey % 2 = 0 THEN 'EUR' ELSE 'USD' END AS currency FROM part",

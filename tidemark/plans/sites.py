@@ -26,7 +26,7 @@ def _sites(spark: SparkSession, d: str, by_brand: bool = False) -> DataFrame:
 
 def resolved_links(spark: SparkSession, d: str) -> DataFrame:
     """Each page's link targets, resolved and normalised, in their order."""
-    rows = extract.page_links(extract.observations(t.table(spark, d, "pages")), _sites(spark, d))
+    rows = extract.page_links(extract.observations(t.table(spark, d, "pages"), ["links"]), _sites(spark, d))
     return rows.select("page_id", "url", "internal", "position")
 
 

@@ -95,7 +95,8 @@ def record_violations(spark: SparkSession, d: str) -> DataFrame:
 _KEY = r"trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) || '|' || (['monthly','yearly','one_time'])[p_size % 3 + 1]"
 _FIRST = "SELECT * FROM (SELECT p_brand AS competitor_id, {key} AS key, {amount} AS amount, row_number() OVER (PARTITION BY p_brand, {key} ORDER BY p_partkey) AS k FROM part WHERE p_partkey % {m} <> 0) WHERE k = 1"
 _INJ = """CASE WHEN conv_id % 5 = 0 THEN 'instruction_override' END, CASE WHEN regexp_matches(t, '(?im)^\\s*(system|assistant|human|user)\\s*:') THEN 'role_injection' END, CASE WHEN conv_id % 5 = 1 THEN 'persona_override' END, CASE WHEN conv_id % 5 = 2 THEN 'fence_escape' END, CASE WHEN conv_id % 5 = 2 THEN 'tool_invocation' END, CASE WHEN conv_id % 5 = 1 THEN 'exfiltration_request' END"""
-_FP = "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, sha256(string_agg(url || '#' || page_id || sha256({text}), '' ORDER BY url || '#' || page_id)) AS fingerprint FROM pages WHERE page_id % {m} <> 0 GROUP BY 1"
+_FP = """SELECT competitor_id, sha256(concat_ws(',', count(*), sum(('0x' || h[1:16])::UBIGINT), sum(('0x' || h[17:32])::UBIGINT), sum(('0x' || h[33:48])::UBIGINT), sum(('0x' || h[49:64])::UBIGINT))) AS fingerprint
+FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, sha256(url || '#' || page_id || chr(10) || sha256({text})) AS h FROM pages WHERE page_id % {m} <> 0) GROUP BY 1"""
 _OLD, _NEW = _FP.format(text="html", m=8), _FP.format(text="CASE WHEN page_id % 5 = 0 THEN html || '!' ELSE html END", m=7)
 
 QUERIES = {f.__name__: f for f in (latest_per_key, latest_by_aggregate, catalog_upsert, content_fingerprint, unchanged_reuse, new_chunks, retention_prune, competitor_page, injection_flags, sanitize_text, key_scrub, record_violations)}
