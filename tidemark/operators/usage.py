@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.constants import MONITOR_HOURS, PLAN_LIMITS
+from tidemark.sources.tables import shared_folder
 
 
 def monthly(events: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
@@ -49,6 +50,31 @@ def short_gaps(requests: DataFrame, key: str, seconds: float) -> DataFrame:
     return requests.withColumn("gap", gap).where(F.col("gap") < seconds)
 
 
+def start_times(requests: DataFrame, key: str, seconds: float) -> DataFrame:
+    """``requests(key, ts, event_id, ...)`` with ``start``: the earliest time that keeps starts of one key ``seconds`` apart, in order of ts and event_id.
+
+    A start is the later of the request's time and the start before it plus the gap.  So with a request's number i among its
+    key's, ``start - i * gap`` is the greatest ``ts - i * gap`` so far: a prefix maximum.  Requests are dealt in ranges of key
+    and time, each range numbers and scans its own, and what the ranges of a key before it add is taken from one row per key
+    and range; so a key's queue of any length is several tasks' work.  Requests without a key or time have no start.
+    """
+    spark = requests.sparkSession
+    folder, gap = shared_folder(spark, "queues"), F.lit(round(seconds * 1_000_000)).cast("long")
+    due = requests.where(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    dealt = due.repartitionByRange(key, "_us", "event_id").withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(f"{folder}/dealt")
+    rows = spark.read.schema(dealt.schema).parquet(f"{folder}/dealt")
+    own = Window.partitionBy("_range", key).orderBy("_us", "event_id")
+    rows = rows.withColumn("_i", F.row_number().over(own))
+    rows = rows.withColumn("_m", F.max(F.col("_us") - F.col("_i") * gap).over(own))
+    ranges = rows.groupBy(key, "_range").agg(F.count("*").alias("_n"), F.max("_m").alias("_top"))
+    before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranges = ranges.withColumn("_past", F.max(F.col("_top") - F.col("_off") * gap).over(before)).select(key, "_range", "_off", "_past")
+    start = F.greatest("_past", F.col("_m") - F.col("_off") * gap) + (F.col("_off") + F.col("_i")) * gap
+    return rows.join(ranges, [key, "_range"]).withColumn("start", F.timestamp_micros(start)).drop("_us", "_range", "_i", "_m", "_off", "_past")
+
+
 def rate_limit(requests: DataFrame, keys: list[str], window: str, limit: int) -> DataFrame:
     """Requests per key and fixed window, and whether they are over the limit."""
     rows = requests.groupBy(F.window("ts", window).alias("w"), *keys).agg(F.count("*").alias("n"))

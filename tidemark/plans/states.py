@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.operators import quality, state
+from tidemark.sources import daily
 from tidemark.sources import tables as t
 
 
@@ -57,6 +60,16 @@ def retention_prune(spark: SparkSession, d: str) -> DataFrame:
     return done.groupBy("user_id").agg(F.count_if("cleared").alias("cleared"), F.sum(F.length("props")).alias("chars"))
 
 
+def retention_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Events stored by day, of which old days lose their texts and older ones go."""
+    path, today = t.shared_folder(spark, "daily"), date(2024, 1, 20)
+    t.append_by_date(_events(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"), "props"), path, "ts")
+    daily.clear_texts(spark, path, "event_id long, ts timestamp, props string", "ts", "props", today, 7)
+    daily.drop_days(spark, path, "ts", today, 14)
+    rows = spark.read.schema("event_id long, ts timestamp, props string, ts_date date").parquet(path)
+    return rows.groupBy(F.date_format("ts_date", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.sum(F.length("props")).alias("chars"))
+
+
 def competitor_page(spark: SparkSession, d: str) -> DataFrame:
     """A page of customers by name search, segment and sort, with the total."""
     rows = t.table(spark, d, "customer").where((F.col("c_mktsegment") != "BUILDING") & F.col("c_name").ilike("%1%"))
@@ -99,7 +112,7 @@ _FP = """SELECT competitor_id, sha256(concat_ws(',', count(*), sum(('0x' || h[1:
 FROM (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS competitor_id, sha256(url || '#' || page_id || chr(10) || sha256({text})) AS h FROM pages WHERE page_id % {m} <> 0) GROUP BY 1"""
 _OLD, _NEW = _FP.format(text="html", m=8), _FP.format(text="CASE WHEN page_id % 5 = 0 THEN html || '!' ELSE html END", m=7)
 
-QUERIES = {f.__name__: f for f in (latest_per_key, latest_by_aggregate, catalog_upsert, content_fingerprint, unchanged_reuse, new_chunks, retention_prune, competitor_page, injection_flags, sanitize_text, key_scrub, record_violations)}
+QUERIES = {f.__name__: f for f in (latest_per_key, latest_by_aggregate, catalog_upsert, content_fingerprint, unchanged_reuse, new_chunks, retention_prune, retention_by_day, competitor_page, injection_flags, sanitize_text, key_scrub, record_violations)}
 ORACLE_SQL = {
     "latest_per_key": "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS k FROM events) WHERE k <= 2",
     "latest_by_aggregate": "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events) WHERE k = 1",
@@ -111,6 +124,7 @@ SELECT coalesce(o.competitor_id, n.competitor_id) AS competitor_id, coalesce(o.k
 f AS (SELECT source, h, min(seq) AS seq FROM l WHERE doc_id % 4 <> 0 AND (source, h) NOT IN (SELECT (source, h) FROM l WHERE doc_id % 4 = 0) GROUP BY ALL)
 SELECT source AS competitor_id, h AS content_hash, seq FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS k FROM f) WHERE k <= 200""",
     "retention_prune": "SELECT user_id, count(*) FILTER (ts < TIMESTAMP '2024-01-13' AND props <> '') AS cleared, coalesce(sum(CASE WHEN ts < TIMESTAMP '2024-01-13' THEN 0 ELSE length(props) END), 0)::BIGINT AS chars FROM events GROUP BY user_id",
+    "retention_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, sum(CASE WHEN ts::DATE < DATE '2024-01-13' THEN 0 ELSE length(props) END)::BIGINT AS chars FROM events WHERE ts::DATE >= DATE '2024-01-06' GROUP BY 1",
     "competitor_page": "WITH f AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment <> 'BUILDING' AND c_name ILIKE '%1%') SELECT *, (SELECT count(*) FROM f) AS total, (SELECT count(*) FROM f) > 40 AS has_more FROM f ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 20 OFFSET 20",
     "injection_flags": f"WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ': ' ELSE '' END || text AS t FROM conversations) SELECT conv_id, turn, array_to_string(list_filter([{_INJ}], lambda x: x IS NOT NULL), ',') AS flags FROM c",
     "key_scrub": """SELECT event_id, '{"props":' || replace(props, ' ', '') || ',"id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"user":{"Password":"[redacted]","n":[1,{"csrf_x":"[redacted]"}]}}' ELSE ',"tokens_in":7,"cookie":"[redacted]"}' END AS props FROM events""",
