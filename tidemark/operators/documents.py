@@ -112,7 +112,7 @@ def rationale(dims: DataFrame) -> DataFrame:
         "positioning": (("value_proposition_count", "target_audience_count", "has_positioning_statement"), F.concat(n("value_proposition_count"), F.lit(" value proposition(s), "), n("target_audience_count"), F.lit(" audience(s)."))),
         "seo": (
             ("pages_crawled", "pages_missing_title", "pages_missing_meta_description", "pages_missing_h1", "has_sitemap", "has_blog"),
-            F.concat(F.lit("Across "), n("pages_crawled"), F.lit(" crawled page(s): "), F.coalesce(F.nullif(F.concat_ws(
+            F.concat(F.lit("Pages read: "), n("pages_crawled"), F.lit("; "), F.coalesce(F.nullif(F.concat_ws(
                 ", ", *[F.when(F.col(c) > 0, F.concat(n(c), F.lit(t))) for c, t in (("pages_missing_title", " without a title"), ("pages_missing_meta_description", " without a meta description"), ("pages_missing_h1", " without an H1"))]
             ), F.lit("")), F.lit("nothing missing")), F.when(F.col("has_sitemap"), "; sitemap found").otherwise("; no sitemap"), F.when(F.col("has_blog"), "; blog present.").otherwise(".")),
         ),

@@ -132,7 +132,7 @@ def alert_recipients(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_custkey").alias("rule_id"), F.concat(F.lit("o"), (F.col("c_custkey") / 10 % 5).cast("int").cast("string")).alias("organization_id"), F.lit(None).cast("string").alias("competitor_id"), F.lit(True).alias("is_active"), F.array().cast("array<string>").alias("change_types"),
         F.lit("high").alias("min_severity"), F.when(F.col("c_custkey") % 20 == 0, F.array(F.lit("email"))).otherwise(F.array(F.lit("in_app"))).alias("channels"),
     )
-    found = alerts.match(_changes(spark, d).where("change_id % 10 = 2").withColumn("change_type", F.lit("x")), rules)
+    found = alerts.match(_changes(spark, d).withColumn("change_type", F.lit("x")), rules)
     users = t.table(spark, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.when(F.col("s_suppkey") % 3 != 0, F.concat("s_name", F.lit("@mail.example"))).alias("email"), F.concat(F.lit("o"), (F.col("s_nationkey") % 5).cast("string")).alias("organization_id"))
     rows = alerts.addressed(found, alerts.recipients(users.select("user_id", "email"), users.select("user_id", "organization_id")))
     return rows.groupBy("organization_id").agg(F.count("*").alias("mails"), F.countDistinct("email").alias("people"))
@@ -201,7 +201,7 @@ def websites(spark: SparkSession, d: str) -> DataFrame:
 
 def score_rationale(spark: SparkSession, d: str) -> DataFrame:
     rows = documents.rationale(t.score_inputs(t.table(spark, d, "supplier"), t.table(spark, d, "lineitem")))
-    return rows.where("dimension in ('product', 'seo')").select("competitor_id", "dimension", "rationale", F.size("inputs").alias("n_inputs"))
+    return rows.select("competitor_id", "dimension", "rationale", F.size("inputs").alias("n_inputs"))
 
 
 def chart_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -279,7 +279,7 @@ SELECT '{{"kind":"comparison","sections":[{{"type":"table","title":"Score compar
 k AS (SELECT organization_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM r GROUP BY 1),
 n AS (SELECT organization_id, list({{'at': strftime(detected_at, '%Y-%m-%dT%H:%M:%S'), 'title': title, 'severity': severity, 'competitor': name}} ORDER BY p) AS news FROM (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY detected_at DESC, change_id) AS p FROM r) WHERE p <= 20 GROUP BY 1)
 SELECT organization_id, '{{"kind":"intelligence","sections":[{{"type":"metrics","title":"Activity in this period","body":' || to_json({{'tracked': tracked, 'changes': coalesce(len(news), 0), 'high': coalesce(high, 0), 'medium': coalesce(medium, 0)}}) || '}},' || CASE WHEN news IS NULL THEN '{{"type":"text","title":"What changed","body":"No changes were detected in this period."}}' ELSE '{{"type":"timeline","title":"What changed","body":' || to_json(news) || '}}' END || ']}}' AS document FROM a LEFT JOIN k USING (organization_id) LEFT JOIN n USING (organization_id)""",
-    "alert_recipients": f"""WITH {_C}, {_G}, r AS (SELECT 'o' || (c_custkey // 10 % 5) AS organization_id FROM customer WHERE c_custkey % 20 = 0), m AS (SELECT g.organization_id FROM g JOIN r ON g.organization_id = r.organization_id WHERE severity = 'high' AND change_id % 10 = 2), u AS (SELECT DISTINCT {_ORG} AS organization_id, s_name AS email FROM supplier WHERE s_suppkey % 3 <> 0)
+    "alert_recipients": f"""WITH {_C}, {_G}, r AS (SELECT 'o' || (c_custkey // 10 % 5) AS organization_id FROM customer WHERE c_custkey % 20 = 0), m AS (SELECT g.organization_id FROM g JOIN r ON g.organization_id = r.organization_id WHERE severity = 'high'), u AS (SELECT DISTINCT {_ORG} AS organization_id, s_name AS email FROM supplier WHERE s_suppkey % 3 <> 0)
 SELECT organization_id, count(*) AS mails, count(DISTINCT email) AS people FROM m JOIN u USING (organization_id) GROUP BY 1""",
     "plan_violations": """SELECT * FROM (SELECT p_partkey AS id, array_to_string(list_filter([CASE WHEN p_partkey % 10 = 0 OR p_partkey % 10 = 1 AND length(p_name) * 30 > 120 THEN 'name_length' END, CASE WHEN p_partkey % 6 < 2 THEN 'amount_range' END, CASE WHEN p_partkey % 4 < 2 THEN 'currency_code' END, CASE WHEN p_partkey % 50 > 40 THEN 'features_many' END], lambda x: x IS NOT NULL), ',') AS violations FROM part) WHERE violations <> ''""",
     "change_summaries": f"WITH {_PLANS} SELECT competitor_id, position, title AS headline, replace(change_type, '_', ' ') || ', ' || severity || ': ' || coalesce(before, 'nothing') || ' -> ' || coalesce(after, 'nothing') AS explanation FROM (SELECT *, row_number() OVER (PARTITION BY competitor_id ORDER BY {_SEVERITY} DESC, change_type, entity_key) AS position FROM plan_changes) WHERE position <= 20",
@@ -293,9 +293,15 @@ SELECT competitor_id, count(*) FILTER (code IS NULL) AS accepted, count(code) AS
     "websites": f"""SELECT page_id, CASE WHEN page_id % 5 IN (0, 3, 4) THEN u END AS url, CASE WHEN page_id % 5 IN (0, 3, 4) THEN {_HOST} END AS domain, CASE page_id % 5 WHEN 1 THEN 'scheme_not_allowed' WHEN 2 THEN 'url_required' END AS error_code, CASE WHEN page_id % 5 IN (0, 3, 4) THEN regexp_extract(u, '^([a-z]+://[^/?#]*)', 1) || '/favicon.ico' END AS favicon_url
 FROM (SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN regexp_replace(canonical, '^[a-z]+:', 'https:') ELSE canonical END AS u FROM pages JOIN ({PAGES['url_canonical']}) USING (page_id))""",
     "score_rationale": f"""WITH x AS (SELECT s_suppkey AS k, coalesce(n, 0) AS n, coalesce(parts, 0) AS parts, coalesce(disc, 0) AS disc, coalesce(ret, 0) AS ret, coalesce(firsts, 0) AS firsts FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n, count(DISTINCT l_partkey) AS parts, count(*) FILTER (l_discount > 0.05::DOUBLE) AS disc, count(*) FILTER (l_returnflag = 'R') AS ret, count(*) FILTER (l_linenumber = 1) AS firsts FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey),
-y AS (SELECT k, n % 12 AS crawled, least(disc % 3, n % 12) AS mt, least(ret % 3, n % 12) AS md, least(firsts % 3, n % 12) AS mh, n % 9 AS pc, least(disc % 9, n % 9) AS pd FROM x)
+y AS (SELECT k, n % 12 AS crawled, least(disc % 3, n % 12) AS mt, least(ret % 3, n % 12) AS md, least(firsts % 3, n % 12) AS mh, n % 9 AS pc, least(disc % 9, n % 9) AS pd, n, parts, disc, ret, firsts FROM x)
 SELECT 's' || k AS competitor_id, 'product' AS dimension, pc || ' product(s) found, ' || pd || ' with a description.' AS rationale, 3 AS n_inputs FROM y
-UNION ALL SELECT 's' || k, 'seo', 'Across ' || crawled || ' crawled page(s): ' || coalesce(nullif(concat_ws(', ', CASE WHEN mt > 0 THEN mt || ' without a title' END, CASE WHEN md > 0 THEN md || ' without a meta description' END, CASE WHEN mh > 0 THEN mh || ' without an H1' END), ''), 'nothing missing') || CASE WHEN k % 2 = 0 THEN '; sitemap found' ELSE '; no sitemap' END || CASE WHEN k % 7 = 0 THEN '; blog present.' ELSE '.' END, 6 FROM y""",
+UNION ALL SELECT 's' || k, 'seo', 'Pages read: ' || crawled || '; ' || coalesce(nullif(concat_ws(', ', CASE WHEN mt > 0 THEN mt || ' without a title' END, CASE WHEN md > 0 THEN md || ' without a meta description' END, CASE WHEN mh > 0 THEN mh || ' without an H1' END), ''), 'nothing missing') || CASE WHEN k % 2 = 0 THEN '; sitemap found' ELSE '; no sitemap' END || CASE WHEN k % 7 = 0 THEN '; blog present.' ELSE '.' END, 6 FROM y
+UNION ALL SELECT 's' || k, 'pricing', least(firsts % 6, ret % 6) || ' of ' || ret % 6 || ' plan(s) show a price.', 4 FROM y
+UNION ALL SELECT 's' || k, 'features', parts % 30 || ' feature(s) found.', 1 FROM y
+UNION ALL SELECT 's' || k, 'positioning', disc % 5 || ' value proposition(s), ' || ret % 4 || ' audience(s).', 3 FROM y
+UNION ALL SELECT 's' || k, 'marketing', firsts % 6 || ' channel(s), ' || disc % 4 || ' social profile(s), ' || n % 5 || ' call(s) to action.', 4 FROM y
+UNION ALL SELECT 's' || k, 'brand', parts % 7 || ' Open Graph tag(s), ' || n % 40 || ' external link(s).', 3 FROM y
+UNION ALL SELECT 's' || k, 'sentiment', ret % 8 || ' review(s).', 2 FROM y""",
     "chart_rows": f"WITH d AS ({SCORES['score_dimensions']}) SELECT competitor_id, dimension, coalesce(score, 0) AS score FROM d WHERE dimension <> 'positioning' AND dimension IN (SELECT dimension FROM d WHERE score IS NOT NULL)",
     "prompt_blocks": """WITH p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS k FROM documents),
 b AS (SELECT source AS competitor_id, sum(length('## ' || CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'https://d/' || doc_id END || chr(10) || 'https://d/' || doc_id || chr(10)) + least(length(text), 6000)) + 2 * (count(*) - 1) AS n FROM p WHERE k <= 12 GROUP BY 1) SELECT competitor_id, n::BIGINT AS n_chars, (n // 4)::BIGINT AS tokens FROM b""",
