@@ -130,10 +130,12 @@ def page_states(pages: DataFrame, new: bool) -> DataFrame:
 
 def score_inputs(supplier: DataFrame, lineitem: DataFrame) -> DataFrame:
     """The 32 features of a competitor, from counts over a supplier's line items; some have none at all."""
-    agg = lineitem.groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.countDistinct("l_partkey").alias("parts"), F.count_if(F.col("l_discount") > 0.05).alias("disc"), F.count_if(F.col("l_returnflag") == "R").alias("ret"),
-        F.count_if(F.col("l_linenumber") == 1).alias("firsts"), F.avg("l_quantity").alias("qty"),
+    # By supplier and part first: distinct parts are then plain rows, and both steps combine before their shuffle.
+    per = lineitem.groupBy("l_suppkey", "l_partkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_discount") > 0.05).alias("disc"), F.count_if(F.col("l_returnflag") == "R").alias("ret"),
+        F.count_if(F.col("l_linenumber") == 1).alias("firsts"), F.sum("l_quantity").alias("q"), F.count("l_quantity").alias("nq"),
     )
+    agg = per.groupBy("l_suppkey").agg(*[F.sum(c).alias(c) for c in ("n", "disc", "ret", "firsts")], F.count("l_partkey").alias("parts"), F.try_divide(F.sum("q"), F.sum("nq")).alias("qty"))
     rows = supplier.join(agg, F.col("s_suppkey") == F.col("l_suppkey"), "left").na.fill(0, ["n", "parts", "disc", "ret", "firsts"])
     k = F.col("s_suppkey")
     n, flag = lambda c, m: (F.col(c) % m).cast("int"), lambda m: k % m == 0
