@@ -33,31 +33,48 @@ from tidemark.llm.shingles import alike, shingles
 COORDINATES = 64
 #: Chance that a pair of exactly the similarity asked for agrees in too few coordinates.
 MISS = 1e-6
+#: Coordinates of the finer signature, of eight bits each, of sets whose lists stay in several components.
+FINE = 512
 #: Members of a list that a task compares with each other, or with as many others, at once.
 BLOCK = 2_048
 #: Orders in which the heads of lists are chosen, by list: a text meets about so many heads or more.
 ORDERS = 4
 _MIX = np.random.default_rng(11).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FINE_MIX = np.random.default_rng(12).integers(0, 2**63, (2, FINE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def match_floor(percent: int, miss: float = MISS) -> int:
-    """Coordinates in which two sets of that Jaccard similarity agree at least, but for the chance ``miss``."""
-    share, below = percent / 100, 0.0
-    for k in range(COORDINATES + 1):
-        below += comb(COORDINATES, k) * share**k * (1 - share) ** (COORDINATES - k)
+def match_floor(percent: int, miss: float = MISS, coordinates: int = COORDINATES, chance: float = 0.0) -> int:
+    """Coordinates in which two sets of that Jaccard similarity agree at least, but for the chance ``miss``.
+
+    ``chance`` is that of coordinates that differ to look equal.
+    """
+    share, below = percent / 100 + (1 - percent / 100) * chance, 0.0
+    for k in range(coordinates + 1):
+        below += comb(coordinates, k) * share**k * (1 - share) ** (coordinates - k)
         if below > miss:
             return k
-    return COORDINATES
+    return coordinates
+
+
+def _least(digests: np.ndarray, mix: np.ndarray) -> np.ndarray:
+    """The least value of each hash function of ``mix`` over a set's digests, mixed again."""
+    low = np.full(mix.shape[1], 2**64 - 1, np.uint64)
+    step = 65_536 // mix.shape[1]
+    for at in range(0, len(digests), step):
+        low = np.minimum(low, ((digests[at : at + step, None] ^ mix[0]) * mix[1]).min(axis=0))
+    return low * np.uint64(0x9E3779B97F4A7C15)
 
 
 def signature(digests: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over a set's digests, as 32 bits; empty for an empty set."""
+    """The signature of a set's digests, 32 bits a coordinate; empty for an empty set."""
     if not len(digests):
         return np.zeros(0, np.int32)
-    low = np.full(COORDINATES, 2**64 - 1, np.uint64)
-    for at in range(0, len(digests), 1024):
-        low = np.minimum(low, ((digests[at : at + 1024, None] ^ _MIX[0]) * _MIX[1]).min(axis=0))
-    return ((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (_least(digests, _MIX) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def fine_signature(digests: np.ndarray) -> bytes:
+    """``FINE`` coordinates of eight bits."""
+    return (_least(digests, _FINE_MIX) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def described(digests: np.ndarray) -> tuple[int, int, int, np.ndarray]:
@@ -122,16 +139,18 @@ class Candidates:
         A set of n shingles shares ``percent`` of them at least with a set that is as alike as asked, so one of its rarest
         ``n - ceil(n * percent / 100) + 1`` is among that one's.  Shingles that are in one set only take places of these.
         ``room`` is how many of the set's shingles are not rarer: two sets share no more than the lesser room of the first
-        list in which they meet.
+        list in which they meet.  Leaves ``id, fine`` of these sets in ``self.fine``.
         """
         width = self.width
 
         def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield pd.DataFrame({"id": b["id"], "all": [np.unique(shingles(t, width)).view(np.int64) for t in b["text"]]})
+                every = [np.unique(shingles(t, width)) for t in b["text"]]
+                yield pd.DataFrame({"id": b["id"], "all": [x.view(np.int64) for x in every], "fine": [fine_signature(x) for x in every]})
 
         texts = self.texts.join(of.distinct(), "id").select("id", "text")
-        rows = written(texts.mapInPandas(work, "id long, all array<long>").select("id", F.explode("all").alias("value")), "shingles")
+        of_sets = written(texts.mapInPandas(work, "id long, all array<long>, fine binary"), "shingles")
+        self.fine, rows = of_sets.select("id", "fine"), of_sets.select("id", F.explode("all").alias("value"))
         shared = rows.join(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value")
         shared = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("values")).join(self.sets.select("id", "n"), "id")
         places = F.size("values") - F.ceil(F.col("n") * self.percent / 100).cast("int") + 1
@@ -173,22 +192,23 @@ def headed(lists: DataFrame, turn: int) -> DataFrame:
     return lists.join(heads, "value").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
-def across(lists: DataFrame, sets: DataFrame, floor: int, percent: int) -> DataFrame:
+def across(lists: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
     """``a, b``: the members of ``lists(value, id, n, room, root)`` with different roots that may be as alike as asked.
 
-    Their room (see :meth:`Candidates.rare_lists`) allows it, and their signatures agree in ``floor`` coordinates.  A list of
-    more than ``BLOCK`` members is cut into blocks, and each two blocks are a task's work.
+    Their room (see :meth:`Candidates.rare_lists`) allows it, and their signatures ``fine(id, fine)`` agree in enough
+    coordinates.  A list of more than ``BLOCK`` members is cut into blocks, and each two blocks are a task's work.
     """
+    floor = match_floor(percent, coordinates=FINE, chance=1 / 256)
     sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     rows = lists.join(sizes, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "room").join(sets.select("id", "sig"), "id")
+    rows = rows.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "room").join(fine, "id")
 
     def work(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         if len(b) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         ids, roots, own, n, room = (b[c].to_numpy() for c in ("id", "root", "own", "n", "room"))
-        sig, left, right = np.stack(b["sig"].to_list()), [], []
+        sig, left, right = np.frombuffer(b"".join(b["fine"]), np.uint8).reshape(len(b), FINE), [], []
         for k in np.flatnonzero(own == key[1]):
             # Within one block each pair is met once; of two blocks the first one's members meet the second's.
             others = (roots != roots[k]) & ((own == key[2]) if key[1] != key[2] else (ids > ids[k]))
@@ -236,7 +256,7 @@ def components(docs: DataFrame, classes: DataFrame, width: int, percent: int, se
         left = _open(left.select("value", "id"), roots)
     if not left.isEmpty():
         rare = _open(found.rare_lists(left.select("id")), roots, 2)
-        roots = _merged(roots, found.confirmed(across(rare, found.sets, found.floor, percent)))
+        roots = _merged(roots, found.confirmed(across(rare, found.fine, percent)))
     return roots
 
 
