@@ -12,7 +12,8 @@ shingles is posted under each of its coordinate-value pairs.  Sets that are as a
 A list's members are not paired with each other.  Each is first compared with one head of every list that it is in, and what
 that links is one component.  Where a list's members are then still in several components (pages of one template, say), its
 sets are posted once more, under their rarest shingles: sets that are as alike as asked cannot share none of these.  What
-still meets is compared in blocks of bounded size, and only across components, as links within one add nothing to it.
+still meets is compared in blocks of bounded size, and only across components, as links within one add nothing to it; a block
+yields links only.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ MISS = 1e-6
 #: Coordinates of the finer signature, of eight bits each, of sets whose lists stay in several components.
 FINE = 512
 #: Members of a list that a task compares with each other, or with as many others, at once.
-BLOCK = 2_048
+BLOCK, BLOCK_SHINGLES = 2_048, 2_000_000
 #: Orders in which the heads of lists are chosen, by list: a text meets about so many heads or more.
 ORDERS = 4
 _MIX = np.random.default_rng(11).integers(0, 2**63, (2, COORDINATES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +140,7 @@ class Candidates:
         A set of n shingles shares ``percent`` of them at least with a set that is as alike as asked, so one of its rarest
         ``n - ceil(n * percent / 100) + 1`` is among that one's.  Shingles that are in one set only take places of these.
         ``room`` is how many of the set's shingles are not rarer: two sets share no more than the lesser room of the first
-        list in which they meet.  Leaves ``id, fine`` of these sets in ``self.fine``.
+        list in which they meet.  Leaves ``id, all, fine`` of these sets, their shingles' hashes and finer signatures, in ``self.open_sets``.
         """
         width = self.width
 
@@ -149,8 +150,8 @@ class Candidates:
                 yield pd.DataFrame({"id": b["id"], "all": [x.view(np.int64) for x in every], "fine": [fine_signature(x) for x in every]})
 
         texts = self.texts.join(of.distinct(), "id").select("id", "text")
-        of_sets = written(texts.mapInPandas(work, "id long, all array<long>, fine binary"), "shingles")
-        self.fine, rows = of_sets.select("id", "fine"), of_sets.select("id", F.explode("all").alias("value"))
+        self.open_sets = written(texts.mapInPandas(work, "id long, all array<long>, fine binary"), "shingles")
+        rows = self.open_sets.select("id", F.explode("all").alias("value"))
         shared = rows.join(rows.groupBy("value").agg(F.count("*").alias("m")).where("m > 1"), "value")
         shared = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("values")).join(self.sets.select("id", "n"), "id")
         places = F.size("values") - F.ceil(F.col("n") * self.percent / 100).cast("int") + 1
@@ -192,32 +193,33 @@ def headed(lists: DataFrame, turn: int) -> DataFrame:
     return lists.join(heads, "value").where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
 
-def across(lists: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: the members of ``lists(value, id, n, room, root)`` with different roots that may be as alike as asked.
+def across(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the members of ``lists(value, id, n, room, root)`` with different roots that are as alike as asked.
 
-    Their room (see :meth:`Candidates.rare_lists`) allows it, and their signatures ``fine(id, fine)`` agree in enough
-    coordinates.  A list of more than ``BLOCK`` members is cut into blocks, and each two blocks are a task's work.
+    Their room (see :meth:`Candidates.rare_lists`) has to allow it and their finer signatures in ``sets(id, all, fine)`` to agree
+    in enough coordinates; then the hashes of their shingles are compared.  A list is cut into blocks of at most ``BLOCK``
+    members and about ``BLOCK_SHINGLES`` shingles, and each two blocks are a task's work.
     """
     floor = match_floor(percent, coordinates=FINE, chance=1 / 256)
-    sizes = lists.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    sizes = lists.groupBy("value").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     rows = lists.join(sizes, "value").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "room").join(fine, "id")
+    rows = rows.select("value", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "root", "n", "room").join(sets, "id")
 
     def work(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         if len(b) < 2:
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ids, roots, own, n, room = (b[c].to_numpy() for c in ("id", "root", "own", "n", "room"))
-        sig, left, right = np.frombuffer(b"".join(b["fine"]), np.uint8).reshape(len(b), FINE), [], []
+        ids, roots, own, n, room, every = (b[c].to_numpy() for c in ("id", "root", "own", "n", "room", "all"))
+        sig, found = np.frombuffer(b"".join(b["fine"]), np.uint8).reshape(len(b), FINE), []
         for k in np.flatnonzero(own == key[1]):
             # Within one block each pair is met once; of two blocks the first one's members meet the second's.
             others = (roots != roots[k]) & ((own == key[2]) if key[1] != key[2] else (ids > ids[k]))
             others = np.flatnonzero(others & ((100 + percent) * np.minimum(room, room[k]) >= percent * (n + n[k])))
-            near = others[(sig[others] == sig[k]).sum(axis=1) >= floor]
-            left.append(np.full(len(near), ids[k]))
-            right.append(ids[near])
-        x, y = np.concatenate(left or [ids[:0]]), np.concatenate(right or [ids[:0]])
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            for j in others[(sig[others] == sig[k]).sum(axis=1) >= floor]:
+                both = len(np.intersect1d(every[k], every[j], assume_unique=True))
+                if 100 * both >= percent * (n[k] + n[j] - both):
+                    found.append((min(ids[k], ids[j]), max(ids[k], ids[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return rows.groupBy("value", "p", "q").applyInPandas(work, "a long, b long")
 
@@ -256,7 +258,7 @@ def components(docs: DataFrame, classes: DataFrame, width: int, percent: int, se
         left = _open(left.select("value", "id"), roots)
     if not left.isEmpty():
         rare = _open(found.rare_lists(left.select("id")), roots, 2)
-        roots = _merged(roots, found.confirmed(across(rare, found.fine, percent)))
+        roots = _merged(roots, found.confirmed(across(rare, found.open_sets, percent)))
     return roots
 
 
