@@ -12,7 +12,7 @@ from tidemark.operators.buckets import BucketTable
 from tidemark.plans.usage import ORACLE_SQL as BATCH
 from tidemark.sources import crawls
 from tidemark.sources import tables as t
-from tidemark.streaming import delivery, jobs, keyed
+from tidemark.streaming import delivery, jobs, keyed, merged
 
 #: How late events of the given tables come at most: every 97th comes with the next third of the month.
 LATE, PARTS, EVERY = "15 days", 3, 97
@@ -53,7 +53,7 @@ def stream_usage(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     """Values that differ by a tenth from the user's last one of the same type; late ones correct what followed them."""
-    return keyed.settled(worked(spark, d, lambda s: keyed.value_changes(s, ["user_id", "event_type"], "value", 0.1, LATE)))
+    return keyed.settled(worked(spark, d, lambda s: s, handle=merged.value_changes(["user_id", "event_type"], "value", 0.1, LATE)))
 
 
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def stream_catalogue(spark: SparkSession, d: str) -> DataFrame:
 def stream_replays(spark: SparkSession, d: str) -> DataFrame:
     """Families that are revoked by the second use of a token: users are families, events of one key their tokens."""
     used = lambda s: s.select(F.col("user_id").alias("family"), (F.col("event_id") % 12).alias("token"), "ts", "event_id")
-    rows = keyed.settled(worked(spark, d, lambda s: keyed.revoked_families(used(s), "60 days", LATE)))
+    rows = keyed.settled(worked(spark, d, used, handle=merged.revoked_families("60 days", LATE)))
     return rows.select("family", "token", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("revoked_at"))
 
 
@@ -87,7 +87,7 @@ def stream_stuck_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Jobs that nothing finished in time, as far as the watermark says so: purchases start a user's job, views finish it."""
     kind = F.when(F.col("event_type") == "purchase", "start").when(F.col("event_type") == "view", "finish")
     rows = lambda s: s.select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("kind")).where("kind is not null")
-    out = worked(spark, d, lambda s: keyed.stuck_jobs(rows(s), late=LATE))
+    out = worked(spark, d, rows, handle=merged.stuck_jobs(late=LATE))
     return out.select("job_id", F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss").alias("started_at"), "attempts", "action")
 
 
