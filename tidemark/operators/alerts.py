@@ -83,3 +83,22 @@ def addressed(matches: DataFrame, recipients: DataFrame) -> DataFrame:
     """Each organisation's matches by e-mail with all of its recipients: a row per change, rule and recipient."""
     mail = matches.where(F.array_contains("channels", "email")).select("change_id", "rule_id", "organization_id")
     return mail.join(recipients, "organization_id")
+
+
+def mail_totals(changes: DataFrame, rules: DataFrame, recipients: DataFrame) -> DataFrame:
+    """``organization_id, mails, people``: how many mails the matches of changes and e-mail rules make, and to how many addresses.
+
+    The same as counting a row per change, rule and address, but none is made: changes are counted by what rules ask for,
+    rules by what they ask, and an organisation's addresses once; the counts are multiplied.
+    """
+    kinds = F.explode(F.array_distinct(F.array(F.col("change_type"), F.lit(ANY)))).alias("asked_type")
+    told = changes.where("change_type is not null").groupBy("organization_id", "competitor_id", "change_type", F.col("severity").alias("asked_severity")).agg(F.count("*").alias("n"))
+    told = told.select("organization_id", "competitor_id", kinds, "asked_severity", "n")
+    keys = ["organization_id", "asked_type", "asked_severity"]
+    asked = indexed(rules.where(F.array_contains("channels", "email"))).groupBy(*keys, "rule_competitor").agg(F.count("*").alias("m"))
+    own = told.join(asked.where("rule_competitor is not null").withColumnRenamed("rule_competitor", "competitor_id"), [*keys, "competitor_id"])
+    all_ = told.join(asked.where("rule_competitor is null").drop("rule_competitor"), keys)
+    each = [df.select("organization_id", (F.col("n") * F.col("m")).alias("matches")) for df in (own, all_)]
+    matches = each[0].unionByName(each[1]).groupBy("organization_id").agg(F.sum("matches").alias("matches"))
+    people = recipients.select("organization_id", "email").distinct().groupBy("organization_id").agg(F.count("*").alias("people"))
+    return matches.join(people, "organization_id").select("organization_id", (F.col("matches") * F.col("people")).alias("mails"), "people")
