@@ -17,7 +17,9 @@ def usage_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 def quota_status(spark: SparkSession, d: str) -> DataFrame:
     """Plan limits against orders as analyses and line items as pages, per customer."""
-    per = t.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("analyses"), F.bround(F.sum("o_totalprice") / 1000).cast("long").alias("pages"))
+    # As decimals, whose sum does not depend on the order: one that ends in 500 is rounded to even.
+    total = F.sum(F.col("o_totalprice").cast("decimal(24,6)"))
+    per = t.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("analyses"), F.bround(total / 1000).cast("long").alias("pages"))
     plan = F.array(*map(F.lit, PLAN_LIMITS))[(F.col("c_custkey") % 4).cast("int")]
     rows = t.table(spark, d, "customer").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").na.fill(0, ["analyses", "pages"])
     return usage.quota_status(rows.select(F.col("c_custkey").alias("organization_id"), plan.alias("plan"), (F.col("c_nationkey") % 12).alias("competitors"), "analyses", "pages"))
