@@ -51,6 +51,7 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def hashed_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Signed feature-hashed vectors of all documents, as their first component's size and length."""
+    t.small_batches(spark)
     v = t.table(spark, d, "documents").select("doc_id", search.hashed_vector(256)(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("dimensions"), F.size(F.filter("v", lambda x: x != 0)).alias("used"))
 
