@@ -86,14 +86,14 @@ def sitemap_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def page_observations(spark: SparkSession, d: str) -> DataFrame:
-    o = extract.observations(t.table(spark, d, "pages"))
+    o = extract.observations(t.table(spark, d, "pages"), ["title", "lang", "h1", "links", "open_graph", "meta_description"])
     return o.select("page_id", "title", "lang", F.element_at("h1", 1).alias("h1"), F.size("links").alias("n_links"), F.size("open_graph").alias("n_graph"), F.col("meta_description").isNull().alias("no_description"))
 
 
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     """Distinct link targets of each page as they stand, first of equal ones."""
     pages = t.table(spark, d, "pages")
-    o = extract.observations(pages).select("page_id", F.posexplode("links").alias("seq", "l")).select("page_id", "seq", F.col("l.href").alias("href"))
+    o = extract.observations(pages, ["links"]).select("page_id", F.posexplode("links").alias("seq", "l")).select("page_id", "seq", F.col("l.href").alias("href"))
     good = ~F.regexp_like("href", F.lit("(?i)^(#|mailto:|tel:|javascript:|data:)")) & (F.col("href") != "")
     return o.where(good).groupBy("page_id", "href").agg(F.min("seq").cast("long").alias("first_seq"))
 
