@@ -16,8 +16,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import small_batches
+
 #: Stored rows and queries that a task compares at once.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 1_024
+#: Of these, vectors that are compared with all stored rows or centroids in one matrix.
+MATRIX_ROWS = 64
 #: Rows that the centroids are fitted on, and centroids, at most.
 SAMPLE_ROWS, MOST_LISTS = 20_000, 4_096
 #: Queries that the number of lists to probe is measured with, at most.
@@ -47,20 +51,27 @@ def nearest(stored: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Similarities are rounded to four digits; equal ones go by vec_id, and where a vector has no length or another number of
     components they are null and come last.  Each pair of blocks keeps its best ``k`` per query, which are then merged.
     """
+    small_batches(stored.sparkSession, 1_024)
     count = lambda df, c, n: df.groupBy("list").agg(F.ceil(F.count("*") / n).alias(c))
     sizes = count(stored, "rows", BLOCK_ROWS).join(count(queries, "queries", BLOCK_QUERIES), "list")
     of = {name: df.schema[name].dataType.simpleString() for df, name in ((queries, "query_id"), (stored, "vec_id"))}
 
     def work(s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        near = np.full((len(q), len(s)), np.nan)
         lengths = q["vec"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-        for size in set(lengths.tolist()) - {-1} if len(s) else ():
-            at = np.flatnonzero(lengths == size)
-            near[at] = np.round(unit_rows(q["vec"].iloc[at].tolist(), size) @ unit_rows(s["vec"].tolist(), size).T, 4)
-        ids = s["vec_id"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, near.shape), np.where(np.isnan(near), np.inf, -near)), axis=1)[:, :k]
-        found = np.take_along_axis(near, order, axis=1).ravel()
-        return pd.DataFrame({"query_id": q["query_id"].repeat(order.shape[1]).to_numpy(), "vec_id": ids[order].ravel(), "similarity": pd.Series(found, dtype="Float64").mask(np.isnan(found))})
+        of_size = {size: unit_rows(s["vec"].tolist(), size).T for size in set(lengths.tolist()) - {-1} if len(s)}
+        ids, best, sims = s["vec_id"].to_numpy(), [], []
+        for first in range(0, len(q), MATRIX_ROWS):
+            part = q["vec"].iloc[first : first + MATRIX_ROWS]
+            near = np.full((len(part), len(s)), np.nan)
+            for size, columns in of_size.items():
+                at = np.flatnonzero(lengths[first : first + MATRIX_ROWS] == size)
+                near[at] = np.round(unit_rows(part.iloc[at].tolist(), size) @ columns, 4)
+            order = np.lexsort((np.broadcast_to(ids, near.shape), np.where(np.isnan(near), np.inf, -near)), axis=1)[:, :k]
+            best.append(ids[order])
+            sims.append(np.take_along_axis(near, order, axis=1))
+        best, found = (np.concatenate(x) if x else np.empty((0, 0)) for x in (best, sims))
+        found = found.ravel()
+        return pd.DataFrame({"query_id": q["query_id"].repeat(best.shape[1]).to_numpy(), "vec_id": best.ravel(), "similarity": pd.Series(found, dtype="Float64").mask(np.isnan(found))})
 
     rows = _blocked(stored.select("list", "vec_id", "vec"), sizes, "rows", "vec_id", "queries")
     asked = _blocked(queries.select("list", "query_id", "vec"), sizes, "queries", "query_id", "rows")
@@ -117,9 +128,12 @@ class VectorIndex:
 def _nearest_lists(centroids: np.ndarray, probes: int):
     @F.pandas_udf("array<int>")
     def lists(vectors: pd.Series) -> pd.Series:
-        near = unit_rows(vectors.tolist(), centroids.shape[1]) @ centroids.T
-        order = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-        return pd.Series([[-1] if np.isnan(n[0]) else o for n, o in zip(near, order)])
+        out: list = []
+        for at in range(0, len(vectors), MATRIX_ROWS):
+            near = unit_rows(vectors.iloc[at : at + MATRIX_ROWS].tolist(), centroids.shape[1]) @ centroids.T
+            order = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            out += [[-1] if np.isnan(n[0]) else o for n, o in zip(near, order.astype(np.int32))]
+        return pd.Series(out, dtype=object)
 
     return lists
 
@@ -136,6 +150,7 @@ def build(stored: DataFrame, path: str, lists: int | None = None, seed: int = 1)
     assigned and written.  Rows go to tasks in ranges of list and hash, so a large list is several tasks' files.
     """
     spark = stored.sparkSession
+    small_batches(spark, 1_024)
     some = stored.where(_has_length(F.col("vec"))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select(array_to_vector("vec").alias("features")).persist()
     taken = some.count()
     count = max(1, min(lists or round(stored.count() ** 0.5), MOST_LISTS, taken))
